@@ -38,7 +38,7 @@ def _order(ts: str, order_by: Sequence[str]) -> list[Column]:
     return [F.col(ts).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order_by]]
 
 
-def _null_free_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+def _null_free_keys(df: DataFrame, keys: Sequence[str]) -> list[tuple[str, Column]]:
     """Encode possibly-NULL keys as (null bitmask, coalesced values) so that a
     plain equi-join groups exactly like a window's PARTITION BY."""
     types = dict((f.name, f.dataType) for f in df.schema.fields)
@@ -46,10 +46,8 @@ def _null_free_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list
     out = []
     for i, k in enumerate(keys):
         mask = mask + F.when(F.col(k).isNull(), F.lit(1 << i)).otherwise(F.lit(0))
-        name = f"__k{i}"
-        df = df.withColumn(name, F.coalesce(F.col(k), _zero(types[k])))
-        out.append(name)
-    return df.withColumn("__kmask", mask), ["__kmask", *out]
+        out.append((f"__k{i}", F.coalesce(F.col(k), _zero(types[k]))))
+    return [("__kmask", mask), *out]
 
 
 def _zero(t: T.DataType) -> Column:
@@ -80,23 +78,36 @@ def with_validity(df: DataFrame, key: str | Sequence[str], start: str,
 
     cols = df.columns
     ts = F.col(start)
-    seg = F.coalesce(_SPLITS[split](ts).cast("long"), F.lit(_LOWEST_SEGMENT))
-    enc, kcols = _null_free_keys(df, keys)
-    enc = enc.withColumn("__seg", seg)
+    seg = F.coalesce(_SPLITS[split](ts).cast("long"), F.lit(_LOWEST_SEGMENT)).alias("__seg")
+    kx = _null_free_keys(df, keys)
+    kcols = [n for n, _ in kx]
+    # The encoded key replaces the key in the shuffled rows (decoded at the end).
+    enc = df.select(*[F.col(c) for c in cols if c not in keys], *[e.alias(n) for n, e in kx], seg)
 
     w = Window.partitionBy(*kcols, "__seg").orderBy(*_order(start, order_by))
     local = (enc.withColumn("__next", F.lead(start, 1).over(w))
                 .withColumn("__has_next", F.lead(F.lit(True), 1).over(w).isNotNull()))
 
-    # First start of every (key, segment); a key has at most one row per segment.
-    firsts = enc.groupBy(*kcols, "__seg").agg(F.min(start).alias("__first"))
+    # First start of every (key, segment), via the distinct (key, start) pairs.
+    # The inner aggregate sits one Project above the input, so Catalyst drops
+    # left joins in the input that only repeat rows (a history fan-out), and
+    # its partial step collapses repeats before the shuffle. The outer one
+    # reads the inner's aggregate output, which keeps the inner from being
+    # optimised away.
+    pairs = df.groupBy(*[e.alias(n) for n, e in kx], F.col(start).alias("__start")) \
+              .agg(F.max(start).alias("__s"))
+    seg_of_pair = F.coalesce(_SPLITS[split](F.col("__s")).cast("long"), F.lit(_LOWEST_SEGMENT))
+    firsts = pairs.groupBy(*kcols, seg_of_pair.alias("__seg")).agg(F.min("__s").alias("__first"))
     wk = Window.partitionBy(*kcols).orderBy("__seg")
     nexts = firsts.select(*kcols, "__seg", F.lead("__first", 1).over(wk).alias("__next_seg_start"))
 
     joined = local.join(nexts, on=[*kcols, "__seg"], how="left")
     end_col = F.when(F.col("__has_next"), F.coalesce(F.col("__next"), open_end())) \
                .otherwise(F.coalesce(F.col("__next_seg_start"), open_end()))
-    return joined.select(*[F.col(c) for c in cols], end_col.alias(end)) \
+    decoded = {k: F.when((F.col("__kmask").bitwiseAND(F.lit(1 << i))) == 0, F.col(f"__k{i}"))
+               for i, k in enumerate(keys)}
+    return joined.select(*[decoded[c].alias(c) if c in decoded else F.col(c) for c in cols],
+                         end_col.alias(end)) \
                  .withColumn(current, F.col(end) == open_end())
 
 
