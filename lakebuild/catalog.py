@@ -275,6 +275,18 @@ def q_run_all(spark, sf):
     return read_table(spark, out["FactMarketHistory"])
 
 
+def q_fact_market_stream(spark, sf):
+    """PL6 as an incremental Structured Streaming load over the batch files."""
+    from .streaming import stream_fact_market_history
+    raw = fx.write_raw(spark, sf)
+    base = scratch_path(spark, "stream", unique=True)
+    write_table(_dim_security(spark, sf), f"{base}/dimsecurity")
+    stream_fact_market_history(spark, raw.raw("Batch*/DailyMarket.txt"),
+                               read_table(spark, f"{base}/dimsecurity"), f"{base}/fact",
+                               checkpoint=f"{base}/_checkpoint")
+    return read_table(spark, f"{base}/fact")
+
+
 QUERIES: dict[str, Query] = {
     "stg_industry": q_stg_industry,
     "scan_lines_by_pattern": q_scan_lines_by_pattern,
@@ -309,4 +321,5 @@ QUERIES: dict[str, Query] = {
     "table_overwrite": q_table_overwrite,
     "sql_view_dim_security": q_sql_view_dim_security,
     "run_all": q_run_all,
+    "fact_market_stream": q_fact_market_stream,
 }
