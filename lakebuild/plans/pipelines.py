@@ -155,8 +155,12 @@ def stage_industry(spark: SparkSession, paths: LakePaths, fmt: str = "parquet")
 
 def stage_finwire(spark: SparkSession, paths: LakePaths, typed: bool = False, fmt: str = "parquet",
                   glob: str = FINWIRE_GLOB, name_regex: str | None = FINWIRE_REGEX,
-                  staged: bool = False) -> None:
-    """PL2: raw FINWIRE<yyyy>Q<n> files -> bronze finwire_cmp / _sec / _fin."""
+                  staged: bool = True) -> None:
+    """PL2: raw FINWIRE<yyyy>Q<n> files -> bronze finwire_cmp / _sec / _fin.
+
+    ``staged`` reads the raw text once into record-type partitions, so each
+    of the three tables is cut from its own partition (see ``write_split``).
+    """
     lines = read_lines(spark, paths.raw(glob), name_regex=name_regex)
     targets = {"CMP": (LAYOUT_CMP, paths.bronze("finwire_cmp")),
                "SEC": (LAYOUT_SEC, paths.bronze("finwire_sec")),
