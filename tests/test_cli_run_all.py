@@ -13,8 +13,9 @@ def test_cli_runs_every_step_through_files(spark, tmp_path, capsys):
     out = dict(line.split("\t") for line in capsys.readouterr().out.strip().splitlines())
     fact = read_table(spark, out["FactMarketHistory"])
     expected = QUERIES["fact_market_history"](spark, SF)
-    assert fact.count() == expected.count() > 0
+    n = fact.count()
+    assert n == expected.count() > 0
     assert fact.exceptAll(expected.select(*fact.columns)).count() == 0
-    # running the same steps again overwrites rather than appends
+    # running the same step again overwrites rather than appends
     main(["fact", "--root", root, "--raw-root", raw.root])
-    assert read_table(spark, out["FactMarketHistory"]).count() == fact.count()
+    assert read_table(spark, out["FactMarketHistory"]).count() == n
