@@ -62,7 +62,8 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    spark = get_spark(f"local[{cpus}]", app_name="lakebuild-bench", shuffle_partitions=2 * cpus,
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
+    spark = get_spark(f"local[{cpus}]", app_name="lakebuild-bench", shuffle_partitions=parts,
                       extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     s = time.perf_counter()
     raw = fx.write_raw(spark, sf_dir)

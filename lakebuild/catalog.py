@@ -240,6 +240,27 @@ def q_fact_market_history(spark, sf):
     return pl.build_fact_market_history(_market(spark, sf), _dim_security(spark, sf))
 
 
+def q_fact_market_history_left(spark, sf):
+    """V17: keep market rows without a valid security version (NULL keys)."""
+    return pl.build_fact_market_history(_market(spark, sf), _dim_security(spark, sf), how="left")
+
+
+def q_fact_market_history_distinct(spark, sf):
+    """V3: batches combined with UNION (batch 1 delivered twice)."""
+    return pl.build_fact_market_history(_market(spark, sf, distinct=True, redelivered=True),
+                                        _dim_security(spark, sf))
+
+
+def q_dim_security_current(spark, sf):
+    """V15 alternative: securities keyed to the current company version only."""
+    return _portable(pl.build_dim_security(_sec(spark, sf), _dim_company(spark, sf), versions="current"))
+
+
+def q_financial_as_of(spark, sf):
+    """V15 alternative: figures keyed to the company version valid at the record stamp."""
+    return pl.build_financial(_fin(spark, sf), _dim_company(spark, sf), versions="as_of")
+
+
 def q_sql_view_dim_security(spark, sf):
     """dim_security written as Spark SQL over named views (SK4, PR6)."""
     register_views(spark, finwire_sec=_sec(spark, sf), dimcompany=_dim_company(spark, sf))
@@ -316,6 +337,10 @@ QUERIES: dict[str, Query] = {
     "point_in_time_inner": q_point_in_time_inner,
     "point_in_time_left": q_point_in_time_left,
     "fact_market_history": q_fact_market_history,
+    "fact_market_history_left": q_fact_market_history_left,
+    "fact_market_history_distinct": q_fact_market_history_distinct,
+    "dim_security_current": q_dim_security_current,
+    "financial_as_of": q_financial_as_of,
     "fact_partition_read": q_fact_partition_read,
     "table_overwrite": q_table_overwrite,
     "sql_view_dim_security": q_sql_view_dim_security,
