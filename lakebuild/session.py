@@ -18,6 +18,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "static",
+    "spark.scheduler.mode": "FAIR",  # independent pipeline steps share executors
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
