@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .layouts import LAYOUT_CMP, LAYOUT_FIN, LAYOUT_SEC, FieldSpec
 from .paths import LakePaths
 from .session import ensure_checkpoint_dir, scratch_path
+from .functions.scalars import compact_date, compact_stamp
 from .sinks import write_delimited, write_lines
 
 
@@ -39,7 +40,7 @@ def cents(x: Column) -> Column:
 
 def pts(ts: Column, key: Column) -> Column:
     """Record stamp: the day plus ``key % 86400`` seconds, as yyyyMMdd-HHmmss."""
-    return F.date_format(F.timestamp_add("SECOND", (key % 86400).cast("int"), ts), "yyyyMMdd-HHmmss")
+    return compact_stamp(F.timestamp_add("SECOND", (key % 86400).cast("int"), ts))
 
 
 def fixed_line(layout: tuple[FieldSpec, ...], values: dict[str, Column],
@@ -108,7 +109,7 @@ def cmp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sec_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") == 1)
-    day = F.date_format(F.col("l_shipdate"), "yyyyMMdd")
+    day = compact_date(F.col("l_shipdate"))
     vals = {
         "PTS": pts(F.col("l_shipdate"), F.col("l_orderkey")),
         "RECTYPE": F.lit("SEC"),
@@ -137,10 +138,10 @@ def fin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     vals = {
         "PTS": pts(F.col("o_orderdate"), k),
         "RECTYPE": F.lit("FIN"),
-        "YEAR": _s(F.year("o_orderdate")),
-        "QUARTER": _s(F.quarter("o_orderdate")),
-        "QTR_START_DATE": F.date_format(F.date_trunc("quarter", F.col("o_orderdate")), "yyyyMMdd"),
-        "POSTING_DATE": F.date_format(F.col("o_orderdate"), "yyyyMMdd"),
+        "YEAR": _s(F.year(F.to_date("o_orderdate"))),
+        "QUARTER": _s(F.quarter(F.to_date("o_orderdate"))),
+        "QTR_START_DATE": compact_date(F.trunc(F.to_date("o_orderdate"), "quarter")),
+        "POSTING_DATE": compact_date(F.col("o_orderdate")),
         "REVENUE": gappy(money(c)),
         "EARNINGS": gappy(money(F.floor(c / 10))),
         "EPS": gappy(money(F.floor(c / 1000))),
@@ -171,7 +172,7 @@ def market_feed(spark: SparkSession, sf_dir: str, batch: int) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber").isin(list(MARKET_LINES[batch])))
     c = cents(F.col("l_extendedprice"))
     cols = [
-        F.date_format(F.col("l_shipdate"), "yyyy-MM-dd").alias("DM_DATE"),
+        F.to_date("l_shipdate").cast("string").alias("DM_DATE"),
         symbol(F.col("l_partkey")).alias("DM_S_SYMB"),
         money(c).alias("DM_CLOSE"),
         money(F.floor(c * 101 / 100)).alias("DM_HIGH"),

@@ -54,5 +54,21 @@ def version_key(pts: str | Column, entity_id: str | Column) -> Column:
 
 
 def iso_text(ts: str | Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` text of a timestamp (portable across engines)."""
-    return F.date_format(col_of(ts), "yyyy-MM-dd HH:mm:ss")
+    """``yyyy-MM-dd HH:mm:ss`` text of a ``timestamp_ntz``.
+
+    A plain cast: unlike ``date_format`` it does not pass through the session
+    time zone, so wall times inside a DST gap are printed unchanged.
+    """
+    return col_of(ts).cast("timestamp_ntz").cast("string")
+
+
+def compact_stamp(ts: str | Column) -> Column:
+    """``yyyyMMdd-HHmmss`` text of a ``timestamp_ntz`` (zone-free)."""
+    t = iso_text(ts)
+    return F.concat(F.substring(t, 1, 4), F.substring(t, 6, 2), F.substring(t, 9, 2), F.lit("-"),
+                    F.substring(t, 12, 2), F.substring(t, 15, 2), F.substring(t, 18, 2))
+
+
+def compact_date(d: str | Column) -> Column:
+    """``yyyyMMdd`` text of a date or ``timestamp_ntz`` (zone-free)."""
+    return F.regexp_replace(F.to_date(col_of(d)).cast("string"), "-", "")

@@ -27,3 +27,17 @@ def test_entry_smoke(spark):
     df = entry(spark)
     assert df.count() > 0
     assert "YearID" in df.columns
+
+
+@pytest.mark.parametrize("name", ["stg_finwire_cmp", "dim_company", "fact_market_history"])
+def test_results_do_not_depend_on_session_time_zone(spark, name):
+    """All timestamps are timestamp_ntz and all text is formatted zone-free: at sf0.01 some
+    record stamps fall in the US spring-forward gap, which a zone-based format would shift."""
+    sf = "/root/testdata/sf0.01"
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        ok, msg = compare(spark, duck(sf), name, queries()[name], oracle_sql()[name], sf)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert ok, msg
