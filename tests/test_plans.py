@@ -42,3 +42,26 @@ def test_lookup_shuffles_facts_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert df.count() > 0
+
+
+def test_validity_window_is_split_by_day(spark):
+    """The SCD2 window partitions by (key, day), not by key alone, so one hot key
+    is spread over many tasks; the plain plan remains available."""
+    from lakebuild.operators import with_validity
+    o = spark.read.parquet(f"{SF}/orders.parquet")
+    split = with_validity(o, "o_custkey", "o_orderdate", ["o_orderkey"])
+    opt = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "__seg" in opt and "Window [lead(o_orderdate" in opt
+    plain = with_validity(o, "o_custkey", "o_orderdate", ["o_orderkey"], split=None)
+    assert "__seg" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_partitioned_write_rebalances_on_partition_column(spark, tmp_path):
+    """REBALANCE lets AQE split a hot partition value and merge small ones before the write."""
+    from pyspark.sql import functions as F
+    df = spark.range(0, 100).select((F.col("id") % 3).alias("YearID"), "id")
+    hinted = df.hint("rebalance", "YearID")
+    assert "RebalancePartitions [YearID" in hinted._jdf.queryExecution().optimizedPlan().toString()
+    from lakebuild.sinks import write_table
+    write_table(df, "file:" + str(tmp_path / "t"), partition_by=["YearID"])
+    assert spark.read.parquet("file:" + str(tmp_path / "t")).count() == 100
