@@ -46,3 +46,24 @@ def test_hot_symbol_is_split_and_exact(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_hot_key_history_spreads_over_tasks(spark):
+    from lakebuild.operators import with_validity
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keep all 4 shuffle partitions
+    try:
+        df = spark.range(0, 6000).select(
+            F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise((F.col("id") % 50).cast("string")).alias("k"),
+            (F.lit("2020-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.col("id") % 365)).alias("ts"),
+            F.col("id"))
+
+        def tasks_for_hot(split):
+            out = with_validity(df, "k", "ts", ["id"], split=split).withColumn("pid", F.spark_partition_id())
+            per_task = out.filter("k = 'HOT'").groupBy("pid").agg(F.max("end_timestamp").alias("m"))
+            return per_task.filter(F.col("m").isNotNull()).count()  # keeps the window in the plan
+
+        assert tasks_for_hot(None) == 1
+        assert tasks_for_hot("day") == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
