@@ -5,7 +5,7 @@ DailyMarket batches 1-3) is written once from the test tables at
 ``$BENCH_SF_DIR``. Timed: ``run_all`` (PL1-PL6, each step reading what the
 previous one wrote; independent steps run concurrently) on
 ``local[$BENCH_CPUS]``; one warm-up run, then the median wall time of
-``$BENCH_RUNS`` runs. Per-step times overlap. Prints one JSON line.
+``$BENCH_RUNS`` (default 5) runs. Per-step times overlap. Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def one_run(spark, raw: LakePaths) -> tuple[float, dict[str, float]]:
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
     spark = get_spark(f"local[{cpus}]", app_name="lakebuild-bench", shuffle_partitions=parts,
                       extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})

@@ -103,3 +103,18 @@ def test_parse_is_one_projection_without_python(spark):
     df = spark.createDataFrame([("x",)], "value string")
     plan = parse_fixed_width(df, LAYOUT_FIN, "FIN", typed=True)._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "EvalPython" not in plan
+
+
+def test_non_ascii_lines_slice_by_characters(spark):
+    # Python slicing counts code points; a multi-byte character must not shift later fields
+    vals = {"PTS": "20240131-101500", "RECTYPE": "CMP", "COMPANY_NAME": "Société Générale ÄÖÜ 株式会社",
+            "CIK": "0000000042", "STATUS": "ACTV", "INDUSTRY_ID": "AB", "DESCRIPTION": "naïve café"}
+    line = _line(LAYOUT_CMP, vals)
+    ascii_line = _line(LAYOUT_CMP, dict(vals, COMPANY_NAME="Plain Name", DESCRIPTION="plain"))
+    df = spark.createDataFrame([(line,), (ascii_line,)], "value string")
+    rows = {r.CIK + r.COMPANY_NAME: r for r in parse_fixed_width(df, LAYOUT_CMP, "CMP").collect()}
+    r = rows["0000000042Société Générale ÄÖÜ 株式会社"]
+    assert (r.STATUS, r.INDUSTRY_ID, r.DESCRIPTION) == ("ACTV", "AB", "naïve café")
+    assert rows["0000000042Plain Name"].DESCRIPTION == "plain"
+    expected = {f.name: (line[f.start:f.end] if f.end else line[f.start:]).strip(" ") for f in LAYOUT_CMP}
+    assert r.asDict() == expected
