@@ -21,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from lakebuild import fixtures as fx  # noqa: E402
 from lakebuild.paths import LakePaths  # noqa: E402
 from lakebuild.plans import pipelines as pl  # noqa: E402
-from lakebuild.session import get_spark, scratch_path  # noqa: E402
+from lakebuild.session import get_spark, scratch_path, size_input_splits  # noqa: E402
 
 
 def raw_bytes(spark, root: str) -> int:
@@ -54,6 +54,8 @@ def main():
     raw = fx.write_raw(spark, sf_dir)
     setup = time.perf_counter() - s
     nbytes = raw_bytes(spark, raw.raw())
+    # Input splits sized to the data (about three per core, 4 MB..128 MB).
+    split = size_input_splits(spark, nbytes, cpus)
     one_run(spark, raw)  # warm-up: JIT, file-system caches
     results = [one_run(spark, raw) for _ in range(runs)]
     per_step = {k: round(statistics.median(r[1][k] for r in results), 3) for k in results[0][1]}
@@ -72,6 +74,7 @@ def main():
         "all_totals": [round(x, 3) for x in totals],
         "setup_sec": round(setup, 1),
         "cpus": cpus,
+        "split_bytes": split,
         "spark": spark.version,
     }))
 

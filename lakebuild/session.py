@@ -79,3 +79,17 @@ def local_fs_path(path: str) -> str | None:
     if "://" in path:
         return None
     return os.path.abspath(path)
+
+
+def size_input_splits(spark: SparkSession, input_bytes: int, cores: int | None = None,
+                      splits_per_core: int = 3) -> int:
+    """Set ``spark.sql.files.maxPartitionBytes`` from the input size.
+
+    About ``splits_per_core`` read tasks per core, between 4 MB and 128 MB:
+    small inputs still use every core (downstream stages inherit the file
+    count), large inputs keep Spark's usual 128 MB splits.
+    """
+    cores = cores or spark.sparkContext.defaultParallelism
+    split = min(128 << 20, max(4 << 20, input_bytes // max(1, splits_per_core * cores)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    return split
