@@ -27,11 +27,13 @@ from ..functions.scalars import open_end
 
 _SPLITS = {
     "day": lambda ts: F.unix_date(F.to_date(ts)),
-    "hour": lambda ts: F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(3_600_000_000)),
+    "hour": lambda ts: F.unix_date(F.to_date(ts)) * 24 + F.hour(ts),
     "month": lambda ts: F.year(ts) * 12 + F.month(ts),
     "year": lambda ts: F.year(ts),
 }
 _LOWEST_SEGMENT = -(2 ** 62)  # segment code for NULL starts (they sort first)
+# Segment codes must not decrease as the start grows; all are computed on the
+# wall-clock value (no session time zone involved).
 
 
 def _order(ts: str, order_by: Sequence[str]) -> list[Column]:
