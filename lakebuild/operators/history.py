@@ -64,12 +64,25 @@ def _zero(t: T.DataType) -> Column:
 
 def with_validity(df: DataFrame, key: str | Sequence[str], start: str,
                   order_by: Sequence[str] = (), end: str = "end_timestamp",
-                  current: str = "iscurrent", split: str | None = "day") -> DataFrame:
+                  current: str = "iscurrent", split: str | None = "day",
+                  copies: str | None = None) -> DataFrame:
     """Append ``end`` and ``current`` columns describing each version's interval.
 
     ``order_by`` must name every column in which versions with the same start
     can differ, so that ties are broken the same way by every engine.
+
+    ``copies`` names a column saying how many identical copies a row stands
+    for (e.g. a lookup fan-out). Identical copies sort next to each other, so
+    all but the last get an empty interval ``[start, start)`` and the last
+    gets the row's real end: the window runs on the distinct rows and the
+    copies are only materialised in the output.
     """
+    if copies:
+        inner = with_validity(df, key, start, [c for c in order_by if c != copies], end, current, split)
+        rep = F.sequence(F.lit(1), F.col(copies).cast("int"))
+        out = inner.withColumn("__copy", F.explode(rep))
+        out = out.withColumn(end, F.when(F.col("__copy") < F.col(copies), F.col(start)).otherwise(F.col(end)))
+        return out.withColumn(current, F.col(end) == open_end()).drop("__copy", copies)
     keys = [key] if isinstance(key, str) else list(key)
     if split is None:
         w = Window.partitionBy(*keys).orderBy(*_order(start, order_by))

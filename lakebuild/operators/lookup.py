@@ -11,9 +11,16 @@ hit)``; unresolved references give NULL.
 * ``"current"`` - the current version only (one row per entity),
 * ``"as_of"`` - the version valid at the fact's own instant ``at``.
 
-Both joins key on the same fact column, so after the first one the facts are
-already hash-partitioned for the second: the fact side shuffles once. Hot
-reference values are split by AQE's skew-join handling (left side).
+Plans. For ``"all"`` and ``"current"`` the rows a fact gets depend only on
+its reference value, so they are precomputed on the dimension side as a
+*resolution table* - per value either the id hit with multiplicity
+``k_id * max(k_name, 1)`` (the row product of the two left joins), or each
+name hit with its count - and the facts take ONE left join to it, expanding
+multiplicities afterwards. The fact side is shuffled once, and because that
+join sits directly on two shuffles AQE can split a hot reference value (a
+chain of two joins on the same partitioning could not be split). For
+``"as_of"`` the hits depend on each fact's instant, so the two joins stay;
+the second reuses the first one's partitioning.
 """
 
 from __future__ import annotations
@@ -22,29 +29,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def resolution_table(dim: DataFrame, id_col: str, name_col: str) -> DataFrame:
+    """(value, hit, multiplicity) for every reference value that resolves.
+
+    Same rows as the two left joins + ``coalesce`` would give a fact whose
+    reference is ``value``; all work is on the (smaller) dimension side.
+    """
+    ids = dim.groupBy(F.col(id_col).alias("__v")).agg(F.count(F.lit(1)).alias("__k_id"))
+    names = dim.groupBy(F.col(name_col).alias("__v"), F.col(id_col).alias("__hit")) \
+               .agg(F.count(F.lit(1)).alias("__k"))
+    n_names = names.groupBy("__v").agg(F.sum("__k").alias("__k_name"))
+    by_id = ids.join(n_names, "__v", "left").select(
+        "__v", F.col("__v").alias("__hit"),
+        (F.col("__k_id") * F.greatest(F.coalesce(F.col("__k_name"), F.lit(0)), F.lit(1))).alias("__mult"))
+    by_name = names.join(ids, "__v", "left_anti").select("__v", "__hit", F.col("__k").alias("__mult"))
+    return by_id.unionByName(by_name)
+
+
+def expand_copies(df: DataFrame, copies: str) -> DataFrame:
+    """Turn a row with ``copies = n`` into n identical rows (column dropped)."""
+    rep = F.array_repeat(F.lit(0), F.col(copies).cast("int"))
+    return df.withColumn("__copy", F.explode(rep)).drop("__copy", copies)
+
+
 def resolve_reference(facts: DataFrame, ref: str, dim: DataFrame, id_col: str, name_col: str,
                       out: str = "sku_company_id", versions: str = "all", at: Column | None = None,
                       start: str = "effective_timestamp", end: str = "end_timestamp",
-                      current: str = "iscurrent") -> DataFrame:
+                      current: str = "iscurrent", copies: str | None = None) -> DataFrame:
+    """Resolve ``facts[ref]`` to ``out``.
+
+    With ``copies`` the repeated rows are not materialised: each distinct
+    result row carries its repeat count in that column (see ``expand_copies``;
+    ``with_validity`` accepts it directly), so later stages handle fewer rows.
+    """
     if versions not in ("all", "current", "as_of"):
         raise ValueError("versions must be all|current|as_of")
     if versions == "current":
         dim = dim.filter(F.col(current))
-    extra = [F.col(start).alias("__s"), F.col(end).alias("__e")] if versions == "as_of" else []
-    by_id = dim.select(F.col(id_col).alias("__id_key"), F.col(id_col).alias("__id_hit"), *extra)
-    extra_n = [F.col(start).alias("__sn"), F.col(end).alias("__en")] if versions == "as_of" else []
-    by_name = dim.select(F.col(name_col).alias("__name_key"), F.col(id_col).alias("__name_hit"), *extra_n)
-    if versions == "as_of":
-        if at is None:
-            raise ValueError("versions='as_of' needs the fact instant `at`")
-        facts = facts.withColumn("__at", at)
-        c1 = (facts[ref] == by_id["__id_key"]) & (by_id["__s"] <= facts["__at"]) & (facts["__at"] < by_id["__e"])
-        step = facts.join(by_id, c1, "left")
-        c2 = (step[ref] == by_name["__name_key"]) & (by_name["__sn"] <= step["__at"]) & (step["__at"] < by_name["__en"])
-        step = step.join(by_name, c2, "left")
-        drop = ["__id_key", "__id_hit", "__s", "__e", "__name_key", "__name_hit", "__sn", "__en", "__at"]
-    else:
-        step = facts.join(by_id, facts[ref] == by_id["__id_key"], "left")
-        step = step.join(by_name, step[ref] == by_name["__name_key"], "left")
-        drop = ["__id_key", "__id_hit", "__name_key", "__name_hit"]
-    return step.withColumn(out, F.coalesce(F.col("__id_hit"), F.col("__name_hit"))).drop(*drop)
+    if versions != "as_of":
+        r = resolution_table(dim, id_col, name_col)
+        j = facts.join(r, facts[ref] == r["__v"], "left")
+        j = (j.withColumn("__n", F.coalesce(F.col("__mult"), F.lit(1)).cast("int"))
+              .withColumn(out, F.col("__hit")).drop("__v", "__hit", "__mult"))
+        if copies:
+            return j.withColumnRenamed("__n", copies)
+        return expand_copies(j, "__n")
+    if at is None:
+        raise ValueError("versions='as_of' needs the fact instant `at`")
+    by_id = dim.select(F.col(id_col).alias("__id_key"), F.col(id_col).alias("__id_hit"),
+                       F.col(start).alias("__s"), F.col(end).alias("__e"))
+    by_name = dim.select(F.col(name_col).alias("__name_key"), F.col(id_col).alias("__name_hit"),
+                         F.col(start).alias("__sn"), F.col(end).alias("__en"))
+    facts = facts.withColumn("__at", at)
+    c1 = (facts[ref] == by_id["__id_key"]) & (by_id["__s"] <= facts["__at"]) & (facts["__at"] < by_id["__e"])
+    step = facts.join(by_id, c1, "left")
+    c2 = (step[ref] == by_name["__name_key"]) & (by_name["__sn"] <= step["__at"]) & (step["__at"] < by_name["__en"])
+    step = step.join(by_name, c2, "left")
+    drop = ["__id_key", "__id_hit", "__s", "__e", "__name_key", "__name_hit", "__sn", "__en", "__at"]
+    res = step.withColumn(out, F.coalesce(F.col("__id_hit"), F.col("__name_hit"))).drop(*drop)
+    return res.withColumn(copies, F.lit(1)) if copies else res

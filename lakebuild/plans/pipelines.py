@@ -78,8 +78,9 @@ def build_dim_security(sec: DataFrame, dim_company: DataFrame, versions: str = "
     every company version, so a security row is repeated once per version.
     """
     at = parse_timestamp("PTS", on_error=on_error)
+    # The fan-out copies stay a count until after the window (see with_validity).
     r = resolve_reference(sec, "CO_NAME_OR_CIK", dim_company, "Companyid", "Name",
-                          out="sku_company_id", versions=versions, at=at)
+                          out="sku_company_id", versions=versions, at=at, copies="__copies")
     dim = r.select(
         concat_keys("SYMBOL", "EX_ID", "sku_company_id", skip_nulls=skip_nulls).alias("SK_SecurityID"),
         F.col("SYMBOL"),
@@ -94,8 +95,10 @@ def build_dim_security(sec: DataFrame, dim_company: DataFrame, versions: str = "
         F.col("DIVIDEND"),
         F.lit(1).alias("BatchID"),
         at.alias("effective_timestamp"),
+        F.col("__copies"),
     )
-    return with_validity(dim, "SYMBOL", "effective_timestamp", SECURITY_TIEBREAK, split=split)
+    return with_validity(dim, "SYMBOL", "effective_timestamp", SECURITY_TIEBREAK, split=split,
+                         copies="__copies")
 
 
 # ---------------------------------------------------------------- PL5

@@ -75,3 +75,16 @@ def test_split_plan_shuffles_big_side_once(spark):
     v = with_validity(o, "o_custkey", "o_orderdate", ["o_orderkey"])
     plan = v._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("split", [None, "day"])
+def test_copies_equal_expanding_first(spark, split):
+    from lakebuild.operators.lookup import expand_copies
+    data = [("k", T(2020, 1, 1), "a", 3), ("k", T(2020, 1, 1), "b", 2), ("k", T(2020, 2, 1), "a", 1),
+            ("k", T(2020, 2, 1), "a", 2),  # identical to the next row apart from its count
+            ("j", T(2020, 1, 5), "z", 4), ("j", None, "n", 2)]
+    df = spark.createDataFrame(data, "k string, ts timestamp_ntz, v string, n int")
+    compact = with_validity(df, "k", "ts", ["v"], split=split, copies="n")
+    expanded = with_validity(expand_copies(df, "n"), "k", "ts", ["v"], split=split)
+    assert _rows(compact) == _rows(expanded)
+    assert compact.count() == sum(r[3] for r in data)

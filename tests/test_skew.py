@@ -67,3 +67,39 @@ def test_hot_key_history_spreads_over_tasks(spark):
         assert tasks_for_hot("day") == int(spark.conf.get("spark.sql.shuffle.partitions"))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_hot_reference_in_lookup_is_split_and_exact(spark):
+    from lakebuild.operators import resolve_reference
+    facts = spark.range(0, 30000).select(
+        F.col("id"),
+        F.when(F.col("id") % 3 == 0, F.lit("0000000007"))               # hot company id
+         .when(F.col("id") % 3 == 1, F.concat(F.lit("Name"), (F.col("id") % 500).cast("string")))
+         .otherwise(F.lpad((F.col("id") % 500).cast("string"), 10, "0")).alias("ref"))
+    dim = spark.range(0, 500).select(F.lpad(F.col("id").cast("string"), 10, "0").alias("Companyid"),
+                                     F.concat(F.lit("Name"), F.col("id").cast("string")).alias("Name"))
+    expected = sorted(tuple(r) for r in resolve_reference(facts, "ref", dim, "Companyid", "Name", out="cid")
+                      .groupBy("cid").count().collect())
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        j = resolve_reference(facts, "ref", dim, "Companyid", "Name", out="cid")
+        j.collect()
+        final = j._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in final, final
+        got = sorted(tuple(r) for r in j.groupBy("cid").count().collect())
+        assert got == expected
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
