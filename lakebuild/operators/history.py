@@ -81,7 +81,9 @@ def with_validity(df: DataFrame, key: str | Sequence[str], start: str,
         inner = with_validity(df, key, start, [c for c in order_by if c != copies], end, current, split)
         rep = F.sequence(F.lit(1), F.col(copies).cast("int"))
         out = inner.withColumn("__copy", F.explode(rep))
-        out = out.withColumn(end, F.when(F.col("__copy") < F.col(copies), F.col(start)).otherwise(F.col(end)))
+        # an earlier copy ends where its twin starts (a NULL start gives the open end, as LEAD would)
+        earlier = F.coalesce(F.col(start), open_end())
+        out = out.withColumn(end, F.when(F.col("__copy") < F.col(copies), earlier).otherwise(F.col(end)))
         return out.withColumn(current, F.col(end) == open_end()).drop("__copy", copies)
     keys = [key] if isinstance(key, str) else list(key)
     if split is None:
