@@ -32,20 +32,34 @@ def _portable(df: DataFrame, cols=("end_timestamp",)) -> DataFrame:
 
 
 # ------------------------------------------------------------ shared inputs
+# The raw layer (text files) is written once per process from the test tables;
+# every query reads it back through the library's own readers.
+def _raw(spark, sf):
+    return fx.write_raw(spark, sf)
+
+
+def _lines(spark, sf):
+    return read_lines(spark, _raw(spark, sf).raw(pl.FINWIRE_GLOB), name_regex=pl.FINWIRE_REGEX)
+
+
+def _industry(spark, sf):
+    return read_delimited(spark, _raw(spark, sf).batch(1, "Industry.txt"), INDUSTRY_COLUMNS)
+
+
 def _cmp(spark, sf, typed=False):
-    return parse_fixed_width(fx.finwire_lines(spark, sf), LAYOUT_CMP, "CMP", typed=typed)
+    return parse_fixed_width(_lines(spark, sf), LAYOUT_CMP, "CMP", typed=typed)
 
 
 def _sec(spark, sf, typed=False):
-    return parse_fixed_width(fx.finwire_lines(spark, sf), LAYOUT_SEC, "SEC", typed=typed)
+    return parse_fixed_width(_lines(spark, sf), LAYOUT_SEC, "SEC", typed=typed)
 
 
 def _fin(spark, sf, typed=False):
-    return parse_fixed_width(fx.finwire_lines(spark, sf), LAYOUT_FIN, "FIN", typed=typed)
+    return parse_fixed_width(_lines(spark, sf), LAYOUT_FIN, "FIN", typed=typed)
 
 
 def _dim_company(spark, sf, how="inner"):
-    return pl.build_dim_company(_cmp(spark, sf), fx.industry_feed(spark, sf), how=how)
+    return pl.build_dim_company(_cmp(spark, sf), _industry(spark, sf), how=how)
 
 
 def _dim_security(spark, sf):
@@ -53,9 +67,9 @@ def _dim_security(spark, sf):
 
 
 def _market(spark, sf, distinct=False, redelivered=False):
-    batches = [(fx.market_feed(spark, sf, n), str(n)) for n in (1, 2, 3)]
+    batches = pl.market_batches(spark, _raw(spark, sf))
     if redelivered:  # batch 1 delivered twice: the repeats a UNION must remove
-        batches.insert(1, (fx.market_feed(spark, sf, 1), "1"))
+        batches.insert(1, batches[0])
     return union_batches(batches, distinct=distinct)
 
 
@@ -129,7 +143,7 @@ def q_stg_finwire_fin_typed(spark, sf):
 # ------------------------------------------------------------ joins, flags, keys
 def _company_industry(spark, sf, how):
     cmp = _cmp(spark, sf)
-    ind = fx.industry_feed(spark, sf).select(F.col("IN_ID"), F.col("IN_NAME"))
+    ind = _industry(spark, sf).select(F.col("IN_ID"), F.col("IN_NAME"))
     return (cmp.join(ind, cmp["INDUSTRY_ID"] == ind["IN_ID"], how)
                .select("PTS", "CIK", "COMPANY_NAME", "INDUSTRY_ID", "IN_NAME"))
 
