@@ -14,7 +14,7 @@ from .layouts import LAYOUT_CMP, LAYOUT_FIN, LAYOUT_SEC, FieldSpec
 from .paths import LakePaths
 from .session import ensure_checkpoint_dir, scratch_path
 from .functions.scalars import compact_date, compact_stamp
-from .sinks import write_delimited, write_lines
+from .sinks import write_delimited
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -237,11 +237,3 @@ def write_raw(spark: SparkSession, sf_dir: str, root: str | None = None) -> Lake
         write_delimited(market_feed(spark, sf_dir, n), paths.batch(n, "DailyMarket.txt"))
     _WRITTEN[key] = paths
     return paths
-
-
-def raw_market_files(paths: LakePaths) -> dict[int, str]:
-    return {n: paths.batch(n, "DailyMarket.txt") for n in (1, 2, 3)}
-
-
-def write_finwire_text(df: DataFrame, path: str) -> None:
-    write_lines(df, path)

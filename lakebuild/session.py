@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -72,15 +71,6 @@ def scratch_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     return "/".join([root, *segs])
 
 
-def local_fs_path(path: str) -> str | None:
-    """The local path behind a ``file:`` URI or plain path, else None."""
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    if "://" in path:
-        return None
-    return os.path.abspath(path)
-
-
 def size_input_splits(spark: SparkSession, input_bytes: int, cores: int | None = None,
                       splits_per_core: int = 3) -> int:
     """Set ``spark.sql.files.maxPartitionBytes`` from the input size.
