@@ -36,3 +36,24 @@ def test_incremental_load_is_exactly_once(spark, tmp_path):
     stream_fact_market_history(spark, glob, dim, sink, checkpoint=ckpt)
     rows = sorted((r.SK_DateID, r.BatchID, r.Volume) for r in read_table(spark, sink).collect())
     assert rows == [("2020-01-02", "1", "10"), ("2020-05-05", "2", "30"), ("2021-03-04", "1", "20")]
+
+
+def test_many_micro_batches_same_result(spark, tmp_path):
+    """One file per trigger: several micro-batches, same table as one batch."""
+    dim = spark.createDataFrame([("S1", "S1NYSE1", "1", T(2020, 1, 1))],
+                                "SYMBOL string, SK_SecurityID string, SK_CompanyID string, "
+                                "effective_timestamp timestamp_ntz")
+    dim = with_validity(dim, "SYMBOL", "effective_timestamp", ["SK_SecurityID"])
+    raw = tmp_path / "raw"
+    for b in range(1, 5):
+        lines = [f"2020-0{b}-0{d}|S1|{b}.0{d}|1|1|{b * 10 + d}" for d in range(1, 4)]
+        if b > 1:
+            lines = [f"I|{b}{d}|" + line for d, line in enumerate(lines)]
+        _write(str(raw / f"Batch{b}" / "DailyMarket.txt"), lines)
+    glob = "file:" + str(raw / "Batch*" / "DailyMarket.txt")
+    sink, ckpt = "file:" + str(tmp_path / "fact"), "file:" + str(tmp_path / "ckpt")
+    q = stream_fact_market_history(spark, glob, dim, sink, checkpoint=ckpt, max_files_per_trigger=1)
+    assert len(q.recentProgress) >= 4  # one micro-batch per landed file
+    out = read_table(spark, sink)
+    assert out.count() == 12
+    assert sorted(r.BatchID for r in out.select("BatchID").distinct().collect()) == ["1", "2", "3", "4"]
