@@ -11,6 +11,8 @@ loss or duplicates.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,9 @@ def stream_fact_market_history(spark: SparkSession, market_glob: str, dim_securi
     it is re-read per micro-batch, so a refreshed dimension is picked up.
     Runs with ``availableNow``: processes what is there, then stops.
     """
-    checkpoint = checkpoint or scratch_path(spark, "stream-checkpoints", "fact_market_history", unique=True)
+    # default: one stable checkpoint per sink, so every run continues the last one
+    checkpoint = checkpoint or scratch_path(spark, "stream-checkpoints",
+                                            hashlib.sha1(sink.encode()).hexdigest()[:16])
     market = market_line_stream(spark, market_glob, max_files_per_trigger=max_files_per_trigger)
     fact = build_fact_market_history(market, dim_security)
     q = (fact.writeStream.format("parquet")

@@ -57,3 +57,16 @@ def test_many_micro_batches_same_result(spark, tmp_path):
     out = read_table(spark, sink)
     assert out.count() == 12
     assert sorted(r.BatchID for r in out.select("BatchID").distinct().collect()) == ["1", "2", "3", "4"]
+
+
+def test_default_checkpoint_is_stable_per_sink(spark, tmp_path):
+    dim = spark.createDataFrame([("S1", "S1NYSE1", "1", T(2020, 1, 1))],
+                                "SYMBOL string, SK_SecurityID string, SK_CompanyID string, "
+                                "effective_timestamp timestamp_ntz")
+    dim = with_validity(dim, "SYMBOL", "effective_timestamp", ["SK_SecurityID"])
+    raw = tmp_path / "raw"
+    _write(str(raw / "Batch1" / "DailyMarket.txt"), ["2020-01-02|S1|1.00|1.10|0.90|10"])
+    glob, sink = "file:" + str(raw / "Batch*" / "DailyMarket.txt"), "file:" + str(tmp_path / "fact")
+    stream_fact_market_history(spark, glob, dim, sink)
+    stream_fact_market_history(spark, glob, dim, sink)  # second run: nothing new
+    assert read_table(spark, sink).count() == 1
