@@ -25,7 +25,7 @@ the second reuses the first one's partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,17 +33,28 @@ def resolution_table(dim: DataFrame, id_col: str, name_col: str) -> DataFrame:
     """(value, hit, multiplicity) for every reference value that resolves.
 
     Same rows as the two left joins + ``coalesce`` would give a fact whose
-    reference is ``value``; all work is on the (smaller) dimension side.
+    reference is ``value``; all work is on the (smaller) dimension side: one
+    aggregation over (value, kind, hit) - its partial step collapses a
+    company's versions before the shuffle - and a window per value over that
+    small table (a value has one id row plus one row per company of that name).
     """
-    ids = dim.groupBy(F.col(id_col).alias("__v")).agg(F.count(F.lit(1)).alias("__k_id"))
-    names = dim.groupBy(F.col(name_col).alias("__v"), F.col(id_col).alias("__hit")) \
-               .agg(F.count(F.lit(1)).alias("__k"))
-    n_names = names.groupBy("__v").agg(F.sum("__k").alias("__k_name"))
-    by_id = ids.join(n_names, "__v", "left").select(
-        "__v", F.col("__v").alias("__hit"),
-        (F.col("__k_id") * F.greatest(F.coalesce(F.col("__k_name"), F.lit(0)), F.lit(1))).alias("__mult"))
-    by_name = names.join(ids, "__v", "left_anti").select("__v", "__hit", F.col("__k").alias("__mult"))
-    return by_id.unionByName(by_name)
+    cand = dim.select(F.col(id_col).alias("__v"), F.lit(0).alias("__kind"), F.col(id_col).alias("__hit")) \
+              .unionByName(dim.select(F.col(name_col).alias("__v"), F.lit(1).alias("__kind"),
+                                      F.col(id_col).alias("__hit")))
+    counted = cand.filter(F.col("__v").isNotNull()) \
+                  .groupBy("__v", "__kind", "__hit").agg(F.count(F.lit(1)).alias("__k"))
+    per_value = Window.partitionBy("__v")
+    k_id = F.sum(F.when(F.col("__kind") == 0, F.col("__k"))).over(per_value)
+    k_name = F.sum(F.when(F.col("__kind") == 1, F.col("__k"))).over(per_value)
+    ranked = counted.withColumn("__k_id", k_id).withColumn("__k_name", k_name)
+    mult = F.when(F.col("__kind") == 0, F.col("__k") * F.greatest(F.coalesce(F.col("__k_name"), F.lit(0)), F.lit(1))) \
+            .otherwise(F.col("__k"))
+    keep = (F.col("__kind") == 0) | F.col("__k_id").isNull()  # id hits win over name hits
+    # Re-key so the fact join shuffles this side itself instead of reusing the
+    # window's partitioning: AQE can only split a hot value of a join that sits
+    # directly on two shuffles.
+    rekey = F.substring(F.col("__v"), 1, 2147483647)
+    return ranked.filter(keep).select(rekey.alias("__v"), "__hit", mult.alias("__mult"))
 
 
 def expand_copies(df: DataFrame, copies: str) -> DataFrame:
