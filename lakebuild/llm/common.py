@@ -40,3 +40,26 @@ def group_count(rows: int, per_group: int) -> int:
 
 def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+# ------------------------------------------------------- native text measures
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, whatever the optimizer inlines."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def spaced(text: Column) -> Column:
+    """The text with every ASCII white space turned into a space."""
+    for c in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def word_array(text: Column) -> Column:
+    """The words of a text as an array."""
+    return F.array_remove(F.split(spaced(text), " "), "")
+
+
+def word_count(text: Column) -> Column:
+    return F.size(word_array(text)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakebuild.llm import simhash_dedup, vector_packing
+from lakebuild.llm import chat_format, quality_rules, simhash_dedup, vector_packing
 from lakebuild.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,6 +17,26 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat_format.digests(chat_format.windows(turns))
+
+
+OP2_SQL = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
+  coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as learned from t group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, len(learned)::bigint as loss_chars, sha256(learned) as loss_sha256 from g"""
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -27,5 +47,5 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(vector_packing.pieces(docs, tokenizer_path()), docs.count())
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_dedup, op9_vector_packing)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op4_simhash_dedup, op8_quality_rules, op9_vector_packing)}
+ORACLE: dict[str, str] = {"op8_quality_rules": quality_rules.SQL}

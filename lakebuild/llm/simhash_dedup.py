@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,13 +67,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): one row per document, fp as a signed long."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t, shingle) for t in b["t"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["id"], "fp": fp.view(np.int64)})
+            fp = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, len(b))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
-    return src.mapInPandas(run, "doc_id long, fp long")
+    return src.mapInArrow(run, "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- the trees
