@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakebuild.llm import chat_format, quality_rules, simhash_dedup, vector_packing
+from lakebuild.llm import chat_format, maxscore_topk, quality_rules, simhash_dedup, source_mix, vector_packing
 from lakebuild.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,12 +24,13 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.windows(turns))
 
 
-OP2_SQL = r"""
-with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
-g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
-  coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as learned from t group by conv_id)
-select conv_id, n_turns, sha256(turns) as turns_sha256, len(learned)::bigint as loss_chars, sha256(learned) as loss_sha256 from g"""
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.taken(table(spark, sf_dir, "documents"))
+
+
+def op6_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = maxscore_topk.usable(table(spark, sf_dir, "embeddings"))
+    return maxscore_topk.topk(vectors.where(F.col("vec_id") % maxscore_topk.QUERY_EVERY == 0), vectors)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,5 +48,5 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(vector_packing.pieces(docs, tokenizer_path()), docs.count())
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op4_simhash_dedup, op8_quality_rules, op9_vector_packing)}
-ORACLE: dict[str, str] = {"op8_quality_rules": quality_rules.SQL}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_source_mix, op4_simhash_dedup, op6_maxscore_topk, op8_quality_rules, op9_vector_packing)}
+ORACLE: dict[str, str] = {"op6_maxscore_topk": maxscore_topk.SQL, "op8_quality_rules": quality_rules.SQL}
