@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakebuild.llm import chat_format, maxscore_topk, quality_rules, simhash_dedup, source_mix, vector_packing
+from lakebuild.llm import chat_format, maxscore_topk, quality_rules, simhash_dedup, source_mix, substring_dedup, vector_packing
 from lakebuild.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,6 +33,11 @@ def op6_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore_topk.topk(vectors.where(F.col("vec_id") % maxscore_topk.QUERY_EVERY == 0), vectors)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring_dedup.removed(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality_rules.judge(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -48,5 +53,5 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(vector_packing.pieces(docs, tokenizer_path()), docs.count())
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_source_mix, op4_simhash_dedup, op6_maxscore_topk, op8_quality_rules, op9_vector_packing)}
-ORACLE: dict[str, str] = {"op6_maxscore_topk": maxscore_topk.SQL, "op8_quality_rules": quality_rules.SQL}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_source_mix, op4_simhash_dedup, op6_maxscore_topk, op7_substring_dedup, op8_quality_rules, op9_vector_packing)}
+ORACLE: dict[str, str] = {"op6_maxscore_topk": maxscore_topk.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_quality_rules": quality_rules.SQL}
