@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakebuild.llm import chat_format, maxscore_topk, quality_rules, simhash_dedup, source_mix, substring_dedup, vector_packing
+from lakebuild.llm import chat_format, maxent_lm, maxscore_topk, quality_rules, simhash_dedup, source_mix, substring_dedup, vector_packing
 from lakebuild.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.taken(table(spark, sf_dir, "documents"))
 
 
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = maxscore_topk.usable(table(spark, sf_dir, "embeddings"))
     return maxscore_topk.topk(vectors.where(F.col("vec_id") % maxscore_topk.QUERY_EVERY == 0), vectors)
@@ -53,5 +57,5 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(vector_packing.pieces(docs, tokenizer_path()), docs.count())
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_source_mix, op4_simhash_dedup, op6_maxscore_topk, op7_substring_dedup, op8_quality_rules, op9_vector_packing)}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_source_mix, op4_simhash_dedup, op5_maxent_lm, op6_maxscore_topk, op7_substring_dedup, op8_quality_rules, op9_vector_packing)}
 ORACLE: dict[str, str] = {"op6_maxscore_topk": maxscore_topk.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_quality_rules": quality_rules.SQL}
