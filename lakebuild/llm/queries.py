@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakebuild.llm import chat_format, maxent_lm, maxscore_topk, quality_rules, simhash_dedup, source_mix, substring_dedup, vector_packing
+from lakebuild.llm import chat_format, html_extract, maxent_lm, maxscore_topk, quality_rules, simhash_dedup, source_mix, substring_dedup, vector_packing
 from lakebuild.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -57,5 +57,10 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(vector_packing.pieces(docs, tokenizer_path()), docs.count())
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_source_mix, op4_simhash_dedup, op5_maxent_lm, op6_maxscore_topk, op7_substring_dedup, op8_quality_rules, op9_vector_packing)}
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = html_extract.extract(table(spark, sf_dir, "pages"))
+    return got.withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_source_mix, op4_simhash_dedup, op5_maxent_lm, op6_maxscore_topk, op7_substring_dedup, op8_quality_rules, op9_vector_packing, op10_html_extract)}
 ORACLE: dict[str, str] = {"op6_maxscore_topk": maxscore_topk.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_quality_rules": quality_rules.SQL}
