@@ -92,6 +92,24 @@ LABELLED = """
   6 0.00  40 0.0  55 0.0  0 0  0  1
   8 0.00   2 1.0  60 0.0  1 0  0  1
   3 0.00  45 0.0  35 0.0  1 0  0  1
+ 60 0.00   3 1.0  50 0.0  0 0  0  1
+ 40 0.00   1 1.0  50 0.0  0 0  0  1
+ 50 0.00  40 0.0   1 0.0  0 0  0  1
+ 80 0.00   2 1.0   2 1.0  0 0  0  1
+ 35 0.05   0 0.0  10 0.0  0 0  0  1
+ 22 0.00   5 0.5  30 0.0  0 0  0  1
+ 15 0.00  60 0.0  12 1.0  0 0  0  1
+ 12 0.00  30 0.0  70 0.0  0 0  0  1
+200 0.10   0 0.0   0 0.0  0 0  0  1
+ 55 0.20   8 0.0   6 0.0  0 0  0  1
+ 14 0.00  20 0.0  18 0.0  0 0  0  1
+  6 0.00   1 1.0   0 0.0  0 0  0  0
+  8 0.00  30 0.0   0 0.0  0 0  0  0
+  9 0.00  55 0.0   1 1.0  0 0  0  0
+  2 1.00  60 0.0   1 1.0  0 0  0  0
+  2 0.00   1 1.0  40 0.0  0 0  0  0
+ 30 0.95  20 0.9   8 1.0  0 0  0  0
+ 45 0.80  30 0.0   9 0.0  0 0  0  0
   1 1.00   1 1.0   1 1.0  0 0  0  0
   3 1.00  40 0.0   3 1.0  0 0  0  0
  12 0.80   9 0.9  10 0.7  0 0  0  0
