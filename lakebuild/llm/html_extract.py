@@ -55,6 +55,19 @@ LABELLED = """
   1 0.00  60 0.0  45 0.0  0 0  1  1
   2 0.00   1 0.0   3 0.0  0 0  1  1
   9 0.00   0 0.0  40 0.0  1 0  1  1
+  2 0.00  60 0.0  50 0.0  0 0  1  1
+  2 0.00   3 0.0  40 0.0  0 0  1  1
+  1 0.00   2 0.0   2 0.0  0 0  1  1
+  3 0.00  90 0.0   9 0.0  0 0  1  1
+  2 0.00  12 0.0 110 0.0  0 0  1  1
+  1 0.00   0 0.0  80 0.0  1 0  1  1
+  2 0.00   9 0.0   8 0.0  1 0  1  1
+  1 1.00  20 0.0  30 0.0  0 0  1  1
+ 20 0.00  25 0.0   3 0.0  0 0  1  1
+  7 0.00  16 0.0   2 0.0  0 0  1  1
+ 10 0.00   4 0.0   1 0.0  0 0  1  1
+  4 0.00  55 0.0   0 0.0  0 0  1  1
+  2 0.50   2 0.0  33 0.0  0 0  1  1
   4 0.00  70 0.0  50 0.0  1 0  1  1
  12 0.40  50 0.0  30 0.1  0 0  1  1
   3 1.00  40 0.0  45 0.0  0 0  1  1
