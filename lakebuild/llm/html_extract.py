@@ -68,6 +68,11 @@ LABELLED = """
  10 0.00   4 0.0   1 0.0  0 0  1  1
   4 0.00  55 0.0   0 0.0  0 0  1  1
   2 0.50   2 0.0  33 0.0  0 0  1  1
+  2 0.00   3 1.0  20 0.0  0 0  1  1
+  4 0.00   2 1.0   2 0.0  0 0  1  1
+  5 0.00   1 1.0  60 0.0  0 0  1  1
+  3 1.00   2 1.0   2 0.0  0 0  1  1
+  8 0.70  20 0.0   3 0.0  0 0  1  1
   4 0.00  70 0.0  50 0.0  1 0  1  1
  12 0.40  50 0.0  30 0.1  0 0  1  1
   3 1.00  40 0.0  45 0.0  0 0  1  1
@@ -94,6 +99,10 @@ LABELLED = """
  50 0.00  30 0.0  80 0.0  0 0 -1  0
  15 0.00  90 0.0  35 0.0  0 0 -1  0
   4 0.00   2 1.0  45 0.0  1 0 -1  0
+  1 0.00  60 0.0  60 0.0  0 0 -1  0
+  3 0.00  30 0.0  90 0.0  0 0 -1  0
+  7 0.00  40 0.0  70 0.0  1 0 -1  0
+  5 0.00  70 0.0  40 0.0  0 0 -1  0
   1 1.00   1 1.0   1 1.0  0 1  0  0
  20 0.00  30 0.0  40 0.0  0 1  0  0
  90 0.00  30 0.0   0 0.0  0 1  0  0
