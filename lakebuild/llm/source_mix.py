@@ -250,15 +250,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     keyed = keyed.withColumn("drawn_copy", F.row_number().over(Window.partitionBy("drawn_id", "drawn_key").orderBy("drawn_key")))
     drawn = drawn.select(no_id.alias("drawn_id"), F.col("row_key").alias("drawn_key"), F.col("copy").alias("drawn_copy"), "drawn_ranges")
     joined = keyed.join(drawn, ["drawn_id", "drawn_key", "drawn_copy"]).select(*docs.columns, "drawn_ranges")
-    at = {c: i for i, c in enumerate(joined.columns)}
+    at, names = {c: i for i, c in enumerate(joined.columns)}, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ranges = b.column(at["drawn_ranges"]).to_pylist()
             text = [_cut_text(t, [(r["start"], r["length"]) for r in rs]) for t, rs in zip(b.column(at["text"]).to_pylist(), ranges)]
-            cols = [b.column(at[c]) for c in docs.columns]
+            cols = [b.column(at[c]) for c in names]
             cols[at["text"]] = pa.array(text, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
