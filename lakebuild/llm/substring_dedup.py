@@ -10,11 +10,13 @@ windows occur in the reference. Each factor is at least ``window`` words long; w
 across the border of two stretches count only if they were found themselves. The words
 under the factors are the duplicate spans.
 
-Traffic. Texts are hashed in chunks of about ``chunk_words`` words. Within a chunk a window
-found under a smaller id is settled at once and not sent, so a passage that many documents
-share is sent once per chunk, however often it occurs. A sent window is 5 bytes of its hash;
-3 bytes of its minimizer's hash, the position and the document are stored once per run. The
-block, minimizer and window bytes together identify a window (64 bits and the block's).
+Traffic. Documents are dealt by a hash into groups of about ``GROUP_BYTES`` of text. Within a
+group a window found under a smaller id is settled at once and not sent, so a passage that
+many documents share is sent once per group, however often it occurs. A sent window is 5
+bytes of its hash; 3 bytes of its minimizer's hash, the position and the document are stored
+once per run. The block, minimizer and window bytes together identify a window (64 bits and
+the block's). A block answers each group in one row, and the group, whose texts lie where
+they were dealt to, joins the answers into factors.
 
 Defined results: null and empty texts have no words; a document of under ``window`` words is
 kept whole; rows with a null id are kept whole and are no reference; rows with equal ids are
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from lakebuild.llm.common import group_count, text_of, words_of
 
 WINDOW, ANCHOR = 13, 5
-CHUNK_WORDS, BLOCK_BYTES, MEMO = 1_000_000, 16 << 20, 500_000
+GROUP_BYTES, BLOCK_BYTES, MEMO = 6 << 20, 16 << 20, 300_000
 _LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -84,27 +86,38 @@ def stretches(at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, np.diff(np.r_[first, len(at)])
 
 
-_SENT = ("block int, ids binary, keys binary, doc binary, start binary, length binary, anchor binary, hash binary")
+_SENT = "block int, part int, ids binary, doc binary, start binary, length binary, anchor binary, hash binary"
+_FOUND = "part int, doc binary, start binary, length binary"
 
 
-def _send(n_blocks: int, window: int, anchor: int, chunk_words: int):
+def _ordered(t: pa.Table) -> pa.Table:
+    """The documents of a group in the order in which they are numbered."""
+    return t.sort_by([("doc_id", "ascending"), ("row_key", "ascending")])
+
+
+def _send(n_blocks: int, window: int, anchor: int):
     names = [c.split()[0] for c in _SENT.split(", ")]
 
-    def flush(docs: list) -> Iterator[tuple]:
-        docs.sort(key=lambda d: d[0])
-        size = np.array([len(d[2]) for d in docs])
-        h = np.concatenate([d[2] for d in docs])
-        ids, keys = np.array([d[0] for d in docs], np.int64), np.array([d[1] for d in docs], np.int64)
-        if len(h) < window:
+    def rows(part: int, t: pa.Table) -> Iterator[tuple]:
+        memo, no, hashed = WordHashes(), [], []
+        for i, (doc_id, text) in enumerate(zip(t["doc_id"].to_pylist(), t["t"])):
+            w = words_of(text.as_py()) if doc_id is not None else []
+            if len(w) >= window:
+                no.append(i)
+                hashed.append(np.fromiter(map(memo.__getitem__, w), np.uint64, len(w)))
+                if len(memo) > MEMO:
+                    memo.clear()
+        if not no:
             return
-        doc = np.repeat(np.arange(len(docs)), size)
+        ids = t["doc_id"].fill_null(0).to_numpy()[no]
+        no, size = np.array(no, np.int32), np.array([len(x) for x in hashed])
+        h = np.concatenate(hashed)
+        doc = np.repeat(np.arange(len(no)), size)
         base = np.cumsum(size) - size
         wh, low = window_hashes(h, window, anchor)
         at = np.nonzero(doc[:len(wh)] == doc[window - 1:])[0]  # windows within one document
-        if not len(at):
-            return
         wh, low, doc = wh[at], low[at], doc[at]
-        order = np.argsort(wh, kind="stable")
+        order = np.argsort(wh, kind="stable")  # documents ascend, so the first of equal windows has the least id
         s = wh[order]
         head = np.r_[True, s[1:] != s[:-1]]
         first_id = ids[doc[order[np.nonzero(head)[0]]]][np.cumsum(head) - 1]
@@ -112,141 +125,107 @@ def _send(n_blocks: int, window: int, anchor: int, chunk_words: int):
         settled[order] = ids[doc[order]] > first_id
         pos = (at - base[doc]).astype(np.int32)
 
-        i = np.nonzero(settled)[0]  # duplicates already known here: block -1 - x only carries them on
+        i = np.nonzero(settled)[0]  # known here already: a block of no windows carries them through
         f, n = stretches(at[i], doc[i])
-        own, where = doc[i][f], pos[i][f]
-        for d in range(0, len(f), 100_000):
-            e = slice(d, d + 100_000)
-            used, local = np.unique(own[e], return_inverse=True)
-            yield (-1 - int(ids[own[d]] % n_blocks), ids[used].tobytes(), keys[used].tobytes(), local.astype(np.int32).tobytes(),
-                   where[e].tobytes(), n[e].astype(np.int32).tobytes(), b"", b"")
+        if len(f):
+            yield (part % n_blocks, part, b"", no[doc[i][f]].tobytes(), pos[i][f].tobytes(), n.astype(np.int32).tobytes(), b"", b"")
 
         i = np.nonzero(~settled)[0]
         block = (low[i] >> np.uint64(32)) % np.uint64(n_blocks)
         f, n = stretches(at[i], doc[i], low[i])
         order = np.argsort(block[f], kind="stable")
-        cuts = np.searchsorted(block[f][order], np.arange(n_blocks + 1))
+        used, cuts = np.unique(block[f][order], return_index=True)
         small = (wh[i] & _LOW40).view(np.uint8).reshape(-1, 8)[:, :5]
-        for b in np.nonzero(np.diff(cuts))[0].tolist():
-            r = order[cuts[b]:cuts[b + 1]]
+        for b, x, y in zip(used.tolist(), cuts.tolist(), [*cuts.tolist()[1:], len(order)]):
+            r = order[x:y]
             rf, rn = f[r], n[r]
             each = np.repeat(rf - np.r_[0, np.cumsum(rn)[:-1]], rn) + np.arange(rn.sum())
-            used, local = np.unique(doc[i][rf], return_inverse=True)
-            yield (b, ids[used].tobytes(), keys[used].tobytes(), local.astype(np.int32).tobytes(), pos[i][rf].tobytes(),
-                   rn.astype(np.int32).tobytes(), low[i][rf].view(np.uint8).reshape(-1, 8)[:, :3].tobytes(), small[each].tobytes())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, total = WordHashes(), [], 0
-
-        def rows():
-            out = list(flush(held))
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()),
-                                               *(pa.array([o[k] for o in out], pa.binary()) for k in range(1, 8))], names)
-
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                b = batch.slice(at, 500)
-                for i, k, t in zip(*(c.to_pylist() for c in b.columns)):
-                    w = words_of(t)
-                    if len(w) >= window:
-                        held.append((i, k, np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))))
-                        total += len(w)
-                        if len(memo) > MEMO:
-                            memo.clear()
-                        if total >= chunk_words:
-                            yield rows()
-                            held, total = [], 0
-        if held:
-            yield rows()
-
-    return run
+            own = doc[i][rf]
+            yield (int(b), part, ids[own].tobytes(), no[own].tobytes(), pos[i][rf].tobytes(), rn.astype(np.int32).tobytes(),
+                   low[i][rf].view(np.uint8).reshape(-1, 8)[:, :3].tobytes(), small[each].tobytes())
 
+    def run(t: pa.Table) -> pa.Table:
+        out = list(rows(t["part"][0].as_py(), _ordered(t)))
+        return pa.table([pa.array([o[k] for o in out], pa.int32() if k < 2 else pa.binary()) for k in range(8)], names=names)
 
-_FOUND = "doc_id long, row_key long, ranges binary"
+    return run
 
 
 def _look_up(t: pa.Table) -> pa.Table:
-    """One reference block (or carried results): per document, (first window, number) pairs that are duplicates."""
-    cols = {c: t[c].to_pylist() for c in t.column_names}
-    ids, keys, doc, start, length, whole, at_doc = [], [], [], [], [], [], 0
-    for r in range(len(t)):
-        i = np.frombuffer(cols["ids"][r], np.int64)
-        ids.append(i)
-        keys.append(np.frombuffer(cols["keys"][r], np.int64))
-        doc.append(np.frombuffer(cols["doc"][r], np.int32).astype(np.int64) + at_doc)
-        at_doc += len(i)
-        start.append(np.frombuffer(cols["start"][r], np.int32))
-        n = np.frombuffer(cols["length"][r], np.int32)
-        length.append(n)
-        if cols["hash"][r]:
-            wide = np.zeros((n.sum(), 8), np.uint8)
-            wide[:, :5] = np.frombuffer(cols["hash"][r], np.uint8).reshape(-1, 5)
-            wide[:, 5:] = np.repeat(np.frombuffer(cols["anchor"][r], np.uint8).reshape(-1, 3), n, axis=0)
-            whole.append(wide.view(np.uint64).ravel())
-    ids, keys, doc, start, length = map(np.concatenate, (ids, keys, doc, start, length))
-    if whole:
-        each = np.repeat(np.arange(len(start)), length)
-        place = (start[each] + np.arange(len(each)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int64)
-        owner = doc[each]
-        key = np.concatenate(whole)
+    """One reference block: per group, the stretches of windows (document, first, number) that are duplicates."""
+    read = lambda c, kind: [np.frombuffer(x, kind) for x in t[c].to_pylist()]
+    parts, hashes = t["part"].to_pylist(), t["hash"].to_pylist()
+    docs, starts, lengths, ids = read("doc", np.int32), read("start", np.int32), read("length", np.int32), read("ids", np.int64)
+    out = [(p, d, s, n) for p, d, s, n, h in zip(parts, docs, starts, lengths, hashes) if not h]  # settled before
+    rows = [i for i, h in enumerate(hashes) if h]
+    if rows:
+        anchors = t["anchor"].to_pylist()
+        size = np.array([len(docs[i]) for i in rows])
+        length = np.concatenate([lengths[i] for i in rows])
+        wide = np.zeros((length.sum(), 8), np.uint8)
+        wide[:, :5] = np.frombuffer(b"".join([hashes[i] for i in rows]), np.uint8).reshape(-1, 5)
+        wide[:, 5:] = np.repeat(np.frombuffer(b"".join([anchors[i] for i in rows]), np.uint8).reshape(-1, 3), length, axis=0)
+        key = wide.view(np.uint64).ravel()
+        owner = np.repeat(np.concatenate([ids[i] for i in rows]), length)
         order = np.argsort(key)
-        head = np.r_[True, np.diff(key[order]) != 0]
-        least = np.minimum.reduceat(ids[owner[order]], np.nonzero(head)[0])[np.cumsum(head) - 1]
-        hit = np.sort(order[ids[owner[order]] > least])
-        hit = hit[np.lexsort((place[hit], owner[hit]))]
-        f, n = stretches(place[hit], owner[hit])
-        doc, start, length = owner[hit][f], place[hit][f], n
-    order = np.lexsort((start, doc))
-    doc, pair = doc[order], np.column_stack([start[order], length[order]]).astype(np.int32)
-    used, first = np.unique(doc, return_index=True)
-    last = np.r_[first[1:], len(doc)]
-    return pa.table({"doc_id": pa.array(ids[used]), "row_key": pa.array(keys[used]),
-                     "ranges": pa.array([pair[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist())], pa.binary())})
-
-
-def found_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """(doc_id, row_key, ranges): ranges of windows that occur under a smaller id; several rows per document."""
-    size = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
-    n_blocks = group_count(size, BLOCK_BYTES)
-    src = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), text_of().alias("t"))
-    sent = src.mapInArrow(_send(n_blocks, window, anchor, chunk_words), _SENT)
-    return sent.groupBy("block").applyInArrow(_look_up, _FOUND)
-
-
-def factors(ranges: list[bytes], n_words: int, window: int = WINDOW) -> np.ndarray:
+        key = key[order]
+        head = np.r_[True, key[1:] != key[:-1]]
+        least = np.minimum.reduceat(owner[order], np.nonzero(head)[0])[np.cumsum(head) - 1]
+        hit = np.zeros(len(key), bool)
+        hit[order] = owner[order] > least
+        run = np.repeat(np.arange(len(length)), length)
+        place = np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)
+        at = np.nonzero(hit)[0]
+        f, n = stretches(at, run[at])
+        run_of, first = run[at[f]], place[at[f]]
+        doc, start = np.concatenate([docs[i] for i in rows]), np.concatenate([starts[i] for i in rows])
+        row_of = np.repeat(np.arange(len(rows)), size)[run_of]
+        cuts = np.searchsorted(row_of, np.arange(len(rows) + 1))
+        for i, x, y in zip(rows, cuts.tolist(), cuts.tolist()[1:]):
+            if y > x:
+                r = run_of[x:y]
+                out.append((parts[i], doc[r], (start[r] + first[x:y]).astype(np.int32), n[x:y].astype(np.int32)))
+    return pa.table({"part": pa.array([o[0] for o in out], pa.int32()),
+                     **{c: pa.array([o[k].tobytes() for o in out], pa.binary()) for k, c in ((1, "doc"), (2, "start"), (3, "length"))}})
+
+
+def factors(starts: np.ndarray, lengths: np.ndarray, n_words: int, window: int = WINDOW) -> np.ndarray:
     """Which words the factors cover: windows found in any block, joined greedily."""
     covered = np.zeros(n_words + 1, np.int32)
-    for r in ranges:
-        pair = np.frombuffer(r, np.int32).reshape(-1, 2)
-        np.add.at(covered, pair[:, 0], 1)
-        np.add.at(covered, pair[:, 0] + pair[:, 1] + window - 1, -1)
+    np.add.at(covered, starts, 1)
+    np.add.at(covered, starts + lengths + window - 1, -1)
     return np.cumsum(covered[:-1]) > 0
 
 
 def removed(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): ``kept`` are the kept words joined by spaces."""
-    found = found_windows(docs, window, anchor).groupBy("doc_id", "row_key").agg(F.collect_list("ranges").alias("ranges"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), text_of().alias("t"))
-    joined = keyed.join(found, ["doc_id", "row_key"], "left").select("doc_id", "t", "ranges")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                b = whole.slice(at, 1000)
-                total, gone, kept = [], [], []
-                for t, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    w = words_of(t)
-                    total.append(len(w))
-                    if ranges:
-                        cover = factors(ranges, len(w), window)
-                        w = [w[i] for i in np.nonzero(~cover)[0].tolist()]
-                    gone.append(total[-1] - len(w))
-                    kept.append(b" ".join(w).decode())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
-                                                  pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    size = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
+    part = F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(group_count(size, GROUP_BYTES))).cast("int")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"),
+                        text_of().alias("t")).withColumn("part", part)
+    sent = dealt.groupBy("part").applyInArrow(_send(group_count(size, BLOCK_BYTES), window, anchor), _SENT)
+    found = sent.groupBy("block").applyInArrow(_look_up, _FOUND)
+
+    def join(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        t = _ordered(texts)
+        doc, start, length = (np.frombuffer(b"".join(answers[c].to_pylist()), np.int32) for c in ("doc", "start", "length"))
+        order = np.argsort(doc, kind="stable")
+        cuts = np.searchsorted(doc[order], np.arange(len(t) + 1)).tolist()
+        total, gone, kept = [], [], []
+        for i, text in enumerate(t["t"]):
+            w = words_of(text.as_py())
+            total.append(len(w))
+            if cuts[i + 1] > cuts[i]:
+                mine = order[cuts[i]:cuts[i + 1]]
+                cover = factors(start[mine], length[mine], len(w), window)
+                w = [w[k] for k in np.nonzero(~cover)[0].tolist()]
+            gone.append(total[-1] - len(w))
+            kept.append(b" ".join(w).decode())
+        return pa.table({"doc_id": t["doc_id"], "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()),
+                         "kept": pa.array(kept, pa.string())})
+
+    return dealt.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(
+        join, "doc_id long, n_words long, n_removed long, kept string")
 
 
 SQL = r"""
