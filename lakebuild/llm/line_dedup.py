@@ -17,7 +17,9 @@ copies that share segments but differ more are not emitted as pairs.
 Verification is a bit-parallel edit distance over the band of ``2 * max_edits + 1`` diagonals:
 one bit per diagonal and error level, updated per character.
 
-Texts are shuffled once, to the key of their line; all else is keys.
+Texts are shuffled once, to a 64-bit hash of their line; keys and candidate pairs are longs.
+Candidates are verified on the texts themselves, and equal lines are told by 128 bits, so a
+collision of the 64 bits can at worst leave one of two colliding lines without its links.
 
 Defined results: null and empty texts have no compared lines; rows with a null id come after
 all others and are ordered by text; rows that are equal in id and text count as one document;
@@ -34,7 +36,7 @@ from lakebuild.llm.common import cut, let, spaced, text_of
 from lakebuild.llm.components import connected_components
 
 MAX_EDITS, MIN_CHARS = 2, 24
-#: Letters whose counts are compared, one byte each.
+#: Letters whose counts are compared, four bits each.
 LETTERS = "etaonirs"
 
 
@@ -46,25 +48,25 @@ def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def line_key(line: Column) -> Column:
-    """128 bits that stand for the line."""
-    return F.unhex(F.md5(line.cast("binary")))
+    """With the line's id (its hash), 128 bits that stand for the line."""
+    return F.xxhash64(F.lit(1), line)
 
 
 def _profile(line: Column) -> Column:
-    """Counts of the letters modulo 256, packed into one long."""
-    packed = F.lit(0).cast("long")
+    """Counts of the letters modulo 16, packed into one int."""
+    packed = F.lit(0)
     for i, c in enumerate(LETTERS):
-        count = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 256
-        packed = packed.bitwiseOR(F.shiftleft(count.cast("long"), 8 * i))
+        count = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 16
+        packed = packed.bitwiseOR(F.shiftleft(count, 4 * i))
     return packed
 
 
 def _profile_gap(a: Column, b: Column) -> Column:
     """How far the letter counts are apart, at least (differences are taken modulo 256)."""
-    total = F.lit(0).cast("long")
+    total = F.lit(0)
     for i in range(len(LETTERS)):
-        d = (F.shiftrightunsigned(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * i).bitwiseAND(F.lit(255)) + 256) % 256
-        total = total + F.least(d, 256 - d)
+        d = (F.shiftrightunsigned(a, 4 * i).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * i).bitwiseAND(F.lit(15)) + 16) % 16
+        total = total + F.least(d, 16 - d)
     return total
 
 
@@ -84,7 +86,8 @@ def index_keys(text: Column, n: Column, max_edits: int) -> Column:
 
 
 def probe_keys(text: Column, n: Column, max_edits: int) -> Column:
-    """Keys of the substrings that a line of n characters looks up for indexed lines of n - d characters."""
+    """Keys of the substrings that a line of n characters looks up for indexed lines of n - d characters, but for
+    its own segments, which are indexed already. All lie inside a line of ``(2 * max_edits + 1) * (max_edits + 1)`` characters or more."""
     parts, keys = max_edits + 1, []
     for d in range(max_edits + 1):
         m = n - d
@@ -92,9 +95,20 @@ def probe_keys(text: Column, n: Column, max_edits: int) -> Column:
             start, size = _segment(m, i, parts)
             # i edits at most left of segment i, the others right of it
             low, high = max(-i, d - (max_edits - i)), min(i, d + (max_edits - i))
-            for shift in range(low, high + 1):
-                keys.append(F.when((start + shift >= 0) & (start + shift + size <= n), _key(m, i, text, start + shift, size)))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+            keys += [_key(m, i, text, start + shift, size) for shift in range(low, high + 1) if d or shift]
+    return F.array(*keys)
+
+
+def common_length(a: Column, b: Column, side, steps: int = 20) -> Column:
+    """A length up to which the strings agree from one side (``F.left`` or ``F.right``), near the greatest: halving
+    steps over the first ``2 ** steps`` characters. Edit distance does not change when it is cut off."""
+    most = F.least(F.length(a), F.length(b))
+
+    def longer(state: Column, step: Column) -> Column:
+        n = state + step
+        return F.when((n <= most) & (side(a, n) == side(b, n)), n).otherwise(state)
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(steps))]), F.lit(0), longer)
 
 
 def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
@@ -108,32 +122,22 @@ def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
     def run(p: Column) -> Column:  # p: the characters of a
         size = F.size(p)
 
-        def masked(x: Column, j: Column) -> Column:
-            """Bits k whose character of a lies within a, after j characters of b."""
-            for_bits = F.lit(0)
-            for k in range(width):
-                i = j + (k - max_edits)
-                for_bits = for_bits + F.when((i >= 0) & (i <= size), 1 << k).otherwise(0)
-            return x.bitwiseAND(for_bits)
-
         def step(s: Column, c: Column) -> Column:
             j = s["j"]  # characters of b before this one
             match = F.lit(0)
-            for k in range(width):
-                i = j + (k - max_edits)  # the next character of a on this diagonal
-                match = match + F.when((i >= 0) & (F.get(p, i) == c), 1 << k).otherwise(0)
+            for k in range(width):  # get() is null outside of a; what steps over its end cannot come back
+                match = match + F.when(F.get(p, j + (k - max_edits)) == c, 1 << k).otherwise(0)
             new = []
             for e in range(max_edits + 1):
-                old = s[levels[e]]
-                r = old.bitwiseAND(match)
+                r = s[levels[e]].bitwiseAND(match)
                 if e:
                     below, above = s[levels[e - 1]], new[e - 1]
-                    r = r.bitwiseOR(below).bitwiseOR(F.shiftright(below, 1)).bitwiseOR(F.shiftleft(above, 1))
-                new.append(masked(r.bitwiseAND(F.lit(full)), j + 1))
+                    r = r.bitwiseOR(below).bitwiseOR(F.shiftright(below, 1)).bitwiseOR(F.shiftleft(above, 1)).bitwiseAND(F.lit(full))
+                new.append(r)
             return F.struct((j + 1).alias("j"), *[r.alias(x) for r, x in zip(new, levels)])
 
         # before any character of b: e edits skip up to e characters of a
-        first = [masked(F.lit(sum(1 << (max_edits + x) for x in range(e + 1))), F.lit(0)) for e in range(max_edits + 1)]
+        first = [F.lit(sum(1 << (max_edits + x) for x in range(e + 1))) for e in range(max_edits + 1)]
         zero = F.struct(F.lit(0).alias("j"), *[r.alias(x) for r, x in zip(first, levels)])
 
         def end(s: Column) -> Column:
@@ -150,40 +154,50 @@ def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
 
 
 def edit_links(distinct: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """(a, b): keys of distinct lines (columns key, line) within ``max_edits``, each pair once."""
-    measured = distinct.select("key", "line", F.length("line").alias("n"), _profile(F.col("line")).alias("profile"))
-    index = measured.select("key", "profile", F.explode(index_keys(F.col("line"), F.col("n"), max_edits)).alias("segment"))
-    probe = measured.select(F.col("key").alias("probe_key"), F.col("profile").alias("probe_profile"),
-                            F.explode(probe_keys(F.col("line"), F.col("n"), max_edits)).alias("segment"))
-    near = (F.col("key") != F.col("probe_key")) & (_profile_gap(F.col("profile"), F.col("probe_profile")) <= 2 * max_edits)
-    pairs = cut(probe.join(index, (probe["segment"] == index["segment"]) & near)
-                .select(F.least("key", "probe_key").alias("a"), F.greatest("key", "probe_key").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = cut(distinct.join(wanted, "key").select("key", "line"))
-    left, right = texts.select(F.col("key").alias("a"), F.col("line").alias("x")), texts.select(F.col("key").alias("b"), F.col("line").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+    """(a, b): ids of distinct lines (columns id, line) within ``max_edits``, each pair once.
+
+    Both uses of ``distinct`` read the same two columns, so its shuffle by id is made once and reused."""
+    measured = distinct.select("id", "line", F.length("line").alias("n"), _profile(F.col("line")).alias("profile"))
+    index = measured.select("id", "profile", F.explode(index_keys(F.col("line"), F.col("n"), max_edits)).alias("segment"))
+    probe = measured.select("id", "profile", F.explode(probe_keys(F.col("line"), F.col("n"), max_edits)).alias("segment"))
+    near = _profile_gap(F.col("p.profile"), F.col("i.profile")) <= 2 * max_edits
+    same = F.col("p.segment") == F.col("i.segment")
+    ends = [F.least("p.id", "i.id").alias("a"), F.greatest("p.id", "i.id").alias("b")]
+    moved = probe.alias("p").join(index.alias("i"), same & (F.col("p.id") != F.col("i.id")) & near).select(*ends)
+    still = index.alias("p").join(index.alias("i"), same & (F.col("p.id") < F.col("i.id")) & near).select(*ends)
+    pairs = moved.union(still).distinct()
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    texts = ends.join(distinct, "id")  # ``distinct`` lies by id already
+    both = texts.groupBy("a", "b").agg(F.min("line").alias("x"), F.max("line").alias("y"))
+    both = both.withColumn("front", common_length(F.col("x"), F.col("y"), F.left)) \
+        .withColumns({c: F.expr(f"substr({c}, front + 1)") for c in "xy"}) \
+        .withColumn("back", common_length(F.col("x"), F.col("y"), F.right)) \
+        .withColumns({c: F.expr(f"left({c}, length({c}) - back)") for c in "xy"})
     return both.where(banded_distance(F.col("x"), F.col("y"), max_edits).isNotNull()).select("a", "b")
 
 
 def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, row_key, line_no, class_doc, class_line, n_links, kept) per compared line: the class is named by its
     first occurrence; ``n_links`` counts the different lines within ``max_edits`` of this one."""
-    compared = lines(docs, min_chars).withColumn("key", line_key(F.col("line")))
-    distinct = compared.select("key", "line").dropDuplicates(["key"])
-    links = cut(edit_links(distinct, max_edits))
-    degree = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
-    parts = connected_components(links).withColumnRenamed("node", "key")
-    places = cut(compared.select("doc_id", "row_key", "line_no", "key"))
+    if min_chars < (2 * max_edits + 1) * (max_edits + 1):
+        raise ValueError("min_chars is too short for max_edits")
+    compared = lines(docs, min_chars).withColumn("id", F.xxhash64("line"))
+    links = cut(edit_links(compared.select("id", "line").dropDuplicates(["id"]), max_edits))
+    degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
+    parts = connected_components(links).withColumnRenamed("node", "id")
+    places = cut(compared.select("doc_id", "row_key", "line_no", "id", line_key(F.col("line")).alias("key")))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "line_no")
-    first = places.groupBy("key").agg(F.min(place).alias("place"), F.count("*").alias("n"))
-    named = first.join(parts, "key", "left").join(degree, "key", "left") \
-        .select("key", "place", F.col("component").isNotNull().alias("linked"), F.coalesce("component", "key").alias("component"),
+    first = places.groupBy("id", "key").agg(F.min(place).alias("place"), F.count("*").alias("n"))
+    named = first.join(parts, "id", "left").join(degree, "id", "left") \
+        .select("id", "key", "place", F.col("component").isNotNull().alias("linked"),
+                F.when(F.col("component").isNotNull(), F.col("component").cast("string"))
+                .otherwise(F.concat_ws(" ", "id", "key")).alias("component"),
                 F.coalesce("n_links", F.lit(0)).alias("n_links"), "n")
     shared = cut(named.where(F.col("linked") | (F.col("n") > 1)))  # all other lines are classes of one
     best = shared.groupBy("component").agg(F.min("place").alias("class"))
-    known = shared.join(best, "component").select("key", "class", "n_links")
+    known = shared.join(best, "component").select("id", "key", "class", "n_links")
     mine = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "line_no")
-    got = places.join(known, "key", "left").select("doc_id", "row_key", "line_no", "n_links", F.coalesce("class", mine).alias("class"))
+    got = places.join(known, ["id", "key"], "left").select("doc_id", "row_key", "line_no", "n_links", F.coalesce("class", mine).alias("class"))
     return got.select("doc_id", "row_key", "line_no", F.col("class.doc_id").alias("class_doc"), F.col("class.line_no").alias("class_line"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("class") == mine).alias("kept"))
 
