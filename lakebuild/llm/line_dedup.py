@@ -205,13 +205,11 @@ def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = M
 def drop_duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without their removed lines; ``n_chars`` follows the text. Untouched texts stay as they are."""
     gone = line_classes(docs, max_edits, min_chars).where(~F.col("kept")).groupBy("doc_id", "row_key") \
-        .agg(F.collect_set("line_no").alias("gone"))
-    keyed = docs.withColumn("row_key", F.xxhash64("text")).alias("d")
-    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.col("d.row_key") == F.col("g.row_key"))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    out = keyed.join(gone.alias("g"), on, "left").select("d.*", "g.gone") \
-        .withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
+        .agg(F.collect_set("line_no").alias("gone")).alias("g")
+    own = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.row_key"))
+    text, hit = F.col("d.text"), F.col("g.gone").isNotNull()
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("g.gone"), i)), "\n")
+    new = {"text": F.when(hit, rest).otherwise(text)}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(hit, F.length(rest).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("d.n_chars"))
+    return docs.alias("d").join(gone, own, "left").select(*[new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])

@@ -147,9 +147,8 @@ def judge(docs: DataFrame, reach: int = REACH, min_docs: int = MIN_DOCS) -> Data
 def filter_documents(docs: DataFrame, reach: int = REACH, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     bad = judge(docs, reach, min_docs).where(~F.col("kept")).select("doc_id", "row_key").distinct().alias("bad")
-    keyed = docs.alias("d").withColumn("row_key", F.xxhash64("text"))
-    on = keyed["doc_id"].cast("long").eqNullSafe(F.col("bad.doc_id")) & (keyed["row_key"] == F.col("bad.row_key"))
-    return keyed.join(bad, on, "left_anti").select(*[keyed[c] for c in docs.columns])
+    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("bad.doc_id")) & (F.xxhash64("d.text") == F.col("bad.row_key"))
+    return docs.alias("d").join(bad, on, "left_anti")
 
 
 BASE_SQL = r"""
