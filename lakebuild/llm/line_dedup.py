@@ -99,18 +99,6 @@ def probe_keys(text: Column, n: Column, max_edits: int) -> Column:
     return F.array(*keys)
 
 
-def common_length(a: Column, b: Column, side, steps: int = 20) -> Column:
-    """A length up to which the strings agree from one side (``F.left`` or ``F.right``), near the greatest: halving
-    steps over the first ``2 ** steps`` characters. Edit distance does not change when it is cut off."""
-    most = F.least(F.length(a), F.length(b))
-
-    def longer(state: Column, step: Column) -> Column:
-        n = state + step
-        return F.when((n <= most) & (side(a, n) == side(b, n)), n).otherwise(state)
-
-    return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(steps))]), F.lit(0), longer)
-
-
 def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
     """The edit distance of two strings if it is at most ``max_edits``, else null.
 
@@ -169,10 +157,6 @@ def edit_links(distinct: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
     texts = ends.join(distinct, "id")  # ``distinct`` lies by id already
     both = texts.groupBy("a", "b").agg(F.min("line").alias("x"), F.max("line").alias("y"))
-    both = both.withColumn("front", common_length(F.col("x"), F.col("y"), F.left)) \
-        .withColumns({c: F.expr(f"substr({c}, front + 1)") for c in "xy"}) \
-        .withColumn("back", common_length(F.col("x"), F.col("y"), F.right)) \
-        .withColumns({c: F.expr(f"left({c}, length({c}) - back)") for c in "xy"})
     return both.where(banded_distance(F.col("x"), F.col("y"), max_edits).isNotNull()).select("a", "b")
 
 
