@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from ..operators.lookup import resolve_reference
 from ..operators.temporal import point_in_time_join
 from ..paths import LakePaths
 from ..sinks import write_split, write_table
-from ..sources import read_delimited, read_lines, read_market_batch, read_table
+from ..sources import list_matching, read_delimited, read_lines, read_market_batch, read_table
 
 FINWIRE_GLOB = "Batch*/FINWIRE*Q[1-4]"
 FINWIRE_REGEX = r"FINWIRE\d{4}Q[1-4]\b"
@@ -172,13 +173,24 @@ def stage_finwire(spark: SparkSession, paths: LakePaths, typed: bool = False, fm
                 staging=paths.bronze("_finwire_by_type") if staged else None)
 
 
+def _found_batches(spark: SparkSession, paths: LakePaths) -> dict[int, str]:
+    found = {}
+    for p in list_matching(spark, paths.raw("Batch*/DailyMarket.txt")):
+        if m := re.search(r"/Batch(\d+)/DailyMarket\.txt/?$", p):
+            found[int(m[1])] = paths.batch(int(m[1]), "DailyMarket.txt")
+    if sorted(found) != list(range(1, len(found) + 1)) or not found:
+        raise FileNotFoundError(f"DailyMarket batches must be numbered 1, 2, ... without a gap; found {sorted(found)}")
+    return found
+
+
 def market_batches(spark: SparkSession, paths: LakePaths,
                    batch_files: Mapping[int, str] | None = None) -> list[tuple[DataFrame, str]]:
     """(frame, BatchID) per DailyMarket batch; batch 1 is full, later ones incremental.
 
-    ``batch_files`` maps batch number to its path (default ``BatchN/DailyMarket.txt``).
+    ``batch_files`` maps batch number to its path; by default every
+    ``BatchN/DailyMarket.txt`` found is a batch, and a gap in the numbers is an error.
     """
-    files = batch_files or {n: paths.batch(n, "DailyMarket.txt") for n in (1, 2, 3)}
+    files = batch_files or _found_batches(spark, paths)
     return [(read_market_batch(spark, p, incremental=n > 1), str(n)) for n, p in sorted(files.items())]
 
 

@@ -61,7 +61,8 @@ def list_matching(spark: SparkSession, glob: str, name_regex: str | None = None)
 
 
 def read_lines(spark: SparkSession, glob: str, name_regex: str | None = None,
-               with_source: bool = False, line_col: str = "value") -> DataFrame:
+               with_source: bool = False, line_col: str = "value",
+               allow_empty: bool = False) -> DataFrame:
     """Every line of every file (or directory of part files) matching ``glob``
     and, when given, whose name matches ``name_regex`` (SC2, SC3).
 
@@ -71,6 +72,9 @@ def read_lines(spark: SparkSession, glob: str, name_regex: str | None = None,
     """
     paths = list_matching(spark, glob, name_regex) if name_regex else [glob]
     if not paths:
+        # a mistyped root must not overwrite good tables with empty ones
+        if not allow_empty:
+            raise FileNotFoundError(f"nothing matches {glob} with {name_regex}")
         return spark.createDataFrame([], T.StructType([T.StructField(line_col, T.StringType())]))
     df = spark.read.text(paths)
     if line_col != "value":
