@@ -14,8 +14,9 @@ A candidate pair must also agree in the counts of common letters up to what the
 change (one edit changes at most two counts by one), which is tested inside the join, so near
 copies that share segments but differ more are not emitted as pairs.
 
-Verification is a bit-parallel edit distance over the band of ``2 * max_edits + 1`` diagonals:
-one bit per diagonal and error level, updated per character.
+Verification takes off what two lines share at their ends, then runs a bit-parallel edit distance
+over the band of ``2 * max_edits + 1`` diagonals: one bit per diagonal and error level, all in one
+long, updated per character.
 
 Texts are shuffled once, to a 64-bit hash of their line; keys and candidate pairs are longs.
 Candidates are verified on the texts themselves, and equal lines are told by 128 bits, so a
@@ -99,46 +100,72 @@ def probe_keys(text: Column, n: Column, max_edits: int) -> Column:
     return F.array(*keys)
 
 
+def _common_start(a: Column, b: Column) -> Column:
+    """How many characters two strings share at their start: halving steps over substrings, not characters."""
+    n = F.least(F.length(a), F.length(b))
+    steps = F.transform(F.sequence(F.length(F.bin(n)) - 1, F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
+
+    def add(done: Column, step: Column) -> Column:
+        same = F.substr(a, done + 1, step) == F.substr(b, done + 1, step)
+        return F.when((done + step <= n) & same, done + step).otherwise(done)
+
+    return F.aggregate(steps, F.lit(0), add)
+
+
+def cut_common_ends(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the common start and then the common end taken off x and y, which leaves their distance as it is."""
+    for _ in range(2):  # each pass turns the strings round
+        pairs = pairs.withColumn("same", _common_start(F.col("x"), F.col("y")))
+        pairs = pairs.withColumns({c: F.reverse(F.substr(c, F.col("same") + 1)) for c in ("x", "y")})
+    return pairs.drop("same")
+
+
 def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
     """The edit distance of two strings if it is at most ``max_edits``, else null.
 
     Bit k of level e is set if, after j characters of b, the first j + k - max_edits characters
-    of a can be reached with e edits."""
-    width, full = 2 * max_edits + 1, (1 << (2 * max_edits + 1)) - 1
-    levels = [f"r{e}" for e in range(max_edits + 1)]
+    of a can be reached with e edits. All levels lie in one long, a free bit between them; a
+    character of b first becomes the mask of the diagonals on which it matches."""
+    width = 2 * max_edits + 1
+    gap = width + 1
+    if (max_edits + 1) * gap > 63:
+        raise ValueError("the levels of max_edits do not fit a long")
 
-    def run(p: Column) -> Column:  # p: the characters of a
-        size = F.size(p)
+    def each_level(bits: int, levels: int = max_edits + 1) -> int:
+        return sum(bits << (e * gap) for e in range(levels))
 
-        def step(s: Column, c: Column) -> Column:
-            j = s["j"]  # characters of b before this one
-            match = F.lit(0)
+    full = F.lit(each_level((1 << width) - 1)).cast("long")
+    chars = lambda s: F.array_remove(F.split(s, ""), "")
+
+    def run(p: Column) -> Column:  # p: the characters of a
+        def matches(c: Column, j: Column) -> Column:
+            mask = F.lit(0).cast("long")
             for k in range(width):  # get() is null outside of a; what steps over its end cannot come back
-                match = match + F.when(F.get(p, j + (k - max_edits)) == c, 1 << k).otherwise(0)
-            new = []
-            for e in range(max_edits + 1):
-                r = s[levels[e]].bitwiseAND(match)
-                if e:
-                    below, above = s[levels[e - 1]], new[e - 1]
-                    r = r.bitwiseOR(below).bitwiseOR(F.shiftright(below, 1)).bitwiseOR(F.shiftleft(above, 1)).bitwiseAND(F.lit(full))
-                new.append(r)
-            return F.struct((j + 1).alias("j"), *[r.alias(x) for r, x in zip(new, levels)])
+                mask = mask + F.when(F.get(p, j + (k - max_edits)) == c, F.lit(each_level(1 << k)).cast("long")).otherwise(F.lit(0).cast("long"))
+            return mask
+
+        def step(s: Column, mask: Column) -> Column:
+            # a match, or one edit more: a character replaced, or one of b left out
+            now = s.bitwiseAND(mask).bitwiseOR(F.shiftleft(s.bitwiseOR(F.shiftright(s, 1)), gap).bitwiseAND(full))
+            out = now
+            for t in range(1, max_edits + 1):  # t characters of a left out
+                inside = F.lit(each_level((1 << (width - t)) - 1, max_edits + 1 - t)).cast("long")
+                out = out.bitwiseOR(F.shiftleft(now.bitwiseAND(inside), t * (gap + 1)))
+            return out
 
         # before any character of b: e edits skip up to e characters of a
-        first = [F.lit(sum(1 << (max_edits + x) for x in range(e + 1))) for e in range(max_edits + 1)]
-        zero = F.struct(F.lit(0).alias("j"), *[r.alias(x) for r, x in zip(first, levels)])
+        first = sum(1 << (e * gap + max_edits + x) for e in range(max_edits + 1) for x in range(e + 1))
+        at = F.size(p) - F.length(b) + max_edits
 
         def end(s: Column) -> Column:
-            at = size - s["j"] + max_edits
-            hit = lambda r: F.call_function("shiftright", r, at).bitwiseAND(F.lit(1)) == 1
             found = F.lit(None).cast("int")
             for e in reversed(range(max_edits + 1)):
-                found = F.when(hit(s[levels[e]]), e).otherwise(found)
+                found = F.when(F.call_function("shiftright", s, at + e * gap).bitwiseAND(F.lit(1).cast("long")) == 1, e).otherwise(found)
             return F.when((at >= 0) & (at < width), found)
 
-        return F.aggregate(F.split(b, ""), zero, step, end)
+        return F.aggregate(F.transform(chars(b), matches), F.lit(first).cast("long"), step, end)
 
-    return let(F.split(a, ""), run)
+    return let(chars(a), run)
 
 
 def edit_links(distinct: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
@@ -146,18 +173,17 @@ def edit_links(distinct: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
 
     Both uses of ``distinct`` read the same two columns, so its shuffle by id is made once and reused."""
     measured = distinct.select("id", "line", F.length("line").alias("n"), _profile(F.col("line")).alias("profile"))
-    index = measured.select("id", "profile", F.explode(index_keys(F.col("line"), F.col("n"), max_edits)).alias("segment"))
-    probe = measured.select("id", "profile", F.explode(probe_keys(F.col("line"), F.col("n"), max_edits)).alias("segment"))
+    own, parts = index_keys(F.col("line"), F.col("n"), max_edits), max_edits + 1
+    index = measured.select("id", "profile", F.explode(own).alias("segment"))
+    asked = measured.select("id", "profile", F.posexplode(F.concat(own, probe_keys(F.col("line"), F.col("n"), max_edits))).alias("no", "segment"))
     near = _profile_gap(F.col("p.profile"), F.col("i.profile")) <= 2 * max_edits
-    same = F.col("p.segment") == F.col("i.segment")
-    ends = [F.least("p.id", "i.id").alias("a"), F.greatest("p.id", "i.id").alias("b")]
-    moved = probe.alias("p").join(index.alias("i"), same & (F.col("p.id") != F.col("i.id")) & near).select(*ends)
-    still = index.alias("p").join(index.alias("i"), same & (F.col("p.id") < F.col("i.id")) & near).select(*ends)
-    pairs = moved.union(still).distinct()
+    once = (F.col("p.id") < F.col("i.id")) | ((F.col("p.no") >= parts) & (F.col("p.id") != F.col("i.id")))  # own segments meet from both sides
+    pairs = asked.alias("p").join(index.alias("i"), (F.col("p.segment") == F.col("i.segment")) & once & near) \
+        .select(F.least("p.id", "i.id").alias("a"), F.greatest("p.id", "i.id").alias("b")).distinct()
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
     texts = ends.join(distinct, "id")  # ``distinct`` lies by id already
     both = texts.groupBy("a", "b").agg(F.min("line").alias("x"), F.max("line").alias("y"))
-    return both.where(banded_distance(F.col("x"), F.col("y"), max_edits).isNotNull()).select("a", "b")
+    return cut_common_ends(both).where(banded_distance(F.col("x"), F.col("y"), max_edits).isNotNull()).select("a", "b")
 
 
 def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
