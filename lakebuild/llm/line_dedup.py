@@ -112,14 +112,6 @@ def _common_start(a: Column, b: Column) -> Column:
     return F.aggregate(steps, F.lit(0), add)
 
 
-def cut_common_ends(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with the common start and then the common end taken off x and y, which leaves their distance as it is."""
-    for _ in range(2):  # each pass turns the strings round
-        pairs = pairs.withColumn("same", _common_start(F.col("x"), F.col("y")))
-        pairs = pairs.withColumns({c: F.reverse(F.substr(c, F.col("same") + 1)) for c in ("x", "y")})
-    return pairs.drop("same")
-
-
 def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
     """The edit distance of two strings if it is at most ``max_edits``, else null.
 
@@ -168,6 +160,16 @@ def banded_distance(a: Column, b: Column, max_edits: int) -> Column:
     return let(chars(a), run)
 
 
+def near_distance(a: Column, b: Column, max_edits: int) -> Column:
+    """``banded_distance`` after taking off the common start and the common end, which leaves the distance as it is.
+    Every value is bound by ``let``, as the optimizer would otherwise copy its expression into each use."""
+    def turned(s: Column) -> Column:  # without the common start, and the other way round
+        return let(_common_start(s["a"], s["b"]), lambda n: F.struct(*[F.reverse(F.substr(s[c], n + 1)).alias(c) for c in "ab"]))
+
+    whole = F.struct(a.alias("a"), b.alias("b"))
+    return let(whole, lambda s: let(turned(s), lambda r: let(turned(r), lambda m: banded_distance(m["a"], m["b"], max_edits))))
+
+
 def edit_links(distinct: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """(a, b): ids of distinct lines (columns id, line) within ``max_edits``, each pair once.
 
@@ -183,7 +185,7 @@ def edit_links(distinct: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
     texts = ends.join(distinct, "id")  # ``distinct`` lies by id already
     both = texts.groupBy("a", "b").agg(F.min("line").alias("x"), F.max("line").alias("y"))
-    return cut_common_ends(both).where(banded_distance(F.col("x"), F.col("y"), max_edits).isNotNull()).select("a", "b")
+    return both.where(near_distance(F.col("x"), F.col("y"), max_edits).isNotNull()).select("a", "b")
 
 
 def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
