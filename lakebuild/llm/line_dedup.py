@@ -38,7 +38,7 @@ from lakebuild.llm.components import connected_components
 
 MAX_EDITS, MIN_CHARS = 2, 24
 #: Letters whose counts are compared, four bits each.
-LETTERS = "etaonirs"
+LETTERS = "eaot"
 
 
 def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -57,7 +57,7 @@ def _profile(line: Column) -> Column:
     """Counts of the letters modulo 16, packed into one int."""
     packed = F.lit(0)
     for i, c in enumerate(LETTERS):
-        count = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 16
+        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 16
         packed = packed.bitwiseOR(F.shiftleft(count, 4 * i))
     return packed
 
@@ -170,11 +170,12 @@ def near_distance(a: Column, b: Column, max_edits: int) -> Column:
     return let(whole, lambda s: let(turned(s), lambda r: let(turned(r), lambda m: banded_distance(m["a"], m["b"], max_edits))))
 
 
-def edit_links(distinct: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """(a, b): ids of distinct lines (columns id, line) within ``max_edits``, each pair once.
+def edit_links(texts: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(a, b): ids of different lines (columns id, line; equal rows count once) within ``max_edits``, each pair once.
 
-    Both uses of ``distinct`` read the same two columns, so its shuffle by id is made once and reused."""
-    measured = distinct.select("id", "line", F.length("line").alias("n"), _profile(F.col("line")).alias("profile"))
+    All uses of ``distinct`` read its three columns, so its shuffle by id is made once and reused."""
+    distinct = texts.select("id", "line", _profile(F.col("line")).alias("profile")).dropDuplicates(["id"])
+    measured = distinct.withColumn("n", F.length("line"))
     own, parts = index_keys(F.col("line"), F.col("n"), max_edits), max_edits + 1
     index = measured.select("id", "profile", F.explode(own).alias("segment"))
     asked = measured.select("id", "profile", F.posexplode(F.concat(own, probe_keys(F.col("line"), F.col("n"), max_edits))).alias("no", "segment"))
@@ -183,9 +184,10 @@ def edit_links(distinct: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     pairs = asked.alias("p").join(index.alias("i"), (F.col("p.segment") == F.col("i.segment")) & once & near) \
         .select(F.least("p.id", "i.id").alias("a"), F.greatest("p.id", "i.id").alias("b")).distinct()
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    texts = ends.join(distinct, "id")  # ``distinct`` lies by id already
-    both = texts.groupBy("a", "b").agg(F.min("line").alias("x"), F.max("line").alias("y"))
-    return both.where(near_distance(F.col("x"), F.col("y"), max_edits).isNotNull()).select("a", "b")
+    found = ends.join(distinct, "id")  # ``distinct`` lies by id already
+    line = F.struct("line", "profile")
+    both = found.groupBy("a", "b").agg(F.min(line).alias("x"), F.max(line).alias("y"))
+    return both.where(near_distance(F.col("x.line"), F.col("y.line"), max_edits).isNotNull()).select("a", "b")
 
 
 def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -194,7 +196,7 @@ def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = M
     if min_chars < (2 * max_edits + 1) * (max_edits + 1):
         raise ValueError("min_chars is too short for max_edits")
     compared = lines(docs, min_chars).withColumn("id", F.xxhash64("line"))
-    links = cut(edit_links(compared.select("id", "line").dropDuplicates(["id"]), max_edits))
+    links = cut(edit_links(compared.select("id", "line"), max_edits))
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     parts = connected_components(links).withColumnRenamed("node", "id")
     places = cut(compared.select("doc_id", "row_key", "line_no", "id", line_key(F.col("line")).alias("key")))
