@@ -177,12 +177,11 @@ def edit_links(texts: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     distinct = texts.select("id", "line", _profile(F.col("line")).alias("profile")).dropDuplicates(["id"])
     measured = distinct.withColumn("n", F.length("line"))
     own, parts = index_keys(F.col("line"), F.col("n"), max_edits), max_edits + 1
-    index = measured.select("id", "profile", F.explode(own).alias("segment"))
-    asked = measured.select("id", "profile", F.posexplode(F.concat(own, probe_keys(F.col("line"), F.col("n"), max_edits))).alias("no", "segment"))
+    keyed = measured.select("id", "profile", F.posexplode(F.concat(own, probe_keys(F.col("line"), F.col("n"), max_edits))).alias("no", "segment"))
     near = _profile_gap(F.col("p.profile"), F.col("i.profile")) <= 2 * max_edits
-    once = (F.col("p.id") < F.col("i.id")) | ((F.col("p.no") >= parts) & (F.col("p.id") != F.col("i.id")))  # own segments meet from both sides
-    pairs = asked.alias("p").join(index.alias("i"), (F.col("p.segment") == F.col("i.segment")) & once & near) \
-        .select(F.least("p.id", "i.id").alias("a"), F.greatest("p.id", "i.id").alias("b")).distinct()
+    indexed = F.least("p.no", "i.no") < parts  # one of the two at least is a line's own segment; both sides read one shuffle
+    pairs = keyed.alias("p").join(keyed.alias("i"), (F.col("p.segment") == F.col("i.segment")) & (F.col("p.id") < F.col("i.id")) & indexed & near) \
+        .select(F.col("p.id").alias("a"), F.col("i.id").alias("b")).distinct()
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
     found = ends.join(distinct, "id")  # ``distinct`` lies by id already
     line = F.struct("line", "profile")
