@@ -193,7 +193,7 @@ class Mix:
         on = rows["source"].eqNullSafe(known["source"])
         self.rows = rows.join(F.broadcast(known), on).drop(known["source"])  # at most MAX_SOURCES small rows
         self.pieces = self._stream(sum(r["n"] for r in found), block_words).join(
-            slots(spark, draws, blocks, shard_slots, seed), ["source_no", "block"])
+            slots(spark, draws, blocks, shard_slots, seed).hint("merge"), ["source_no", "block"])  # estimated by its shards, it would be broadcast
 
     def _stream(self, n_rows: int, block_words: int) -> DataFrame:
         chunk = F.pmod(F.xxhash64("doc_id", "row_key", F.lit("order")), F.lit(group_count(n_rows, 4096)))
