@@ -132,38 +132,49 @@ def route(tree: dict | None, points: np.ndarray) -> Iterator[tuple[str, np.ndarr
 def shard_links(own: np.ndarray, guests: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among ``own`` and between ``own`` and ``guests``.
 
-    Breadth-first: reached points are compared only with points not reached yet, so a
-    large group of near copies costs about its size, not its square."""
-    left, right = [], []
-    rest, free = own, guests
+    Breadth-first, one component after another: reached points are compared only with points not
+    reached yet, so a large group of near copies costs about its size, not its square. All points
+    of a frontier are of one component, so one link to each new point is enough."""
+    points, n = np.concatenate([own, guests]), len(own)
+    left, right, reached = [], [], np.zeros(len(points), bool)
+
+    def near(f: np.ndarray, pool: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(points[f][:, None] ^ points[pool][None, :]) <= max_bits
+
+    rest, free = np.arange(n), np.arange(n, len(points))  # not reached yet
     while len(rest):
-        seed, rest = rest[:64], rest[64:]
-        i, j = np.nonzero(np.triu(np.bitwise_count(seed[:, None] ^ seed[None, :]) <= max_bits, 1))
-        left.append(seed[i])
-        right.append(seed[j])
-        frontier = seed
-        while len(frontier):
-            reached = []
-            for i in range(0, len(frontier), 64):
-                f = frontier[i:i + 64]
-                for kind in (0, 1):
-                    pool = free if kind else rest
-                    if not len(pool):
-                        continue
-                    near = np.bitwise_count(f[:, None] ^ pool[None, :]) <= max_bits
-                    hit = near.any(axis=0)
-                    if hit.any():
-                        left.append(f[near[:, hit].argmax(axis=0)])
-                        right.append(pool[hit])
-                        reached.append(pool[hit])
-                        if kind:
-                            free = pool[~hit]
-                        else:
-                            rest = pool[~hit]
-            frontier = np.concatenate(reached) if reached else seed[:0]
-            if len(frontier) and not len(rest):  # what is left are guests, and guests do not query each other
-                frontier = frontier[np.isin(frontier, own)]
-    return np.concatenate([own[:0], *left]), np.concatenate([own[:0], *right])
+        seeds = rest[:64]
+        linked = (near(seeds, rest).sum(axis=1) > 1) | near(seeds, free).any(axis=1)  # one is the seed itself
+        rest = np.concatenate([seeds[linked], rest[64:]])
+        for seed in seeds[linked]:
+            if reached[seed]:
+                continue
+            reached[seed] = True
+            rest = rest[rest != seed]
+            frontier = np.array([seed])
+            while len(frontier):
+                new = []
+                for i in range(0, len(frontier), 64):
+                    f = frontier[i:i + 64]
+                    # guests do not query each other: they are compared with what is left of ``own`` only
+                    for kind, f in enumerate((f, f[f < n])):
+                        pool = free if kind else rest
+                        if not len(pool) or not len(f):
+                            continue
+                        hits = near(f, pool)
+                        hit = hits.any(axis=0)
+                        if hit.any():
+                            left.append(f[hits[:, hit].argmax(axis=0)])
+                            right.append(pool[hit])
+                            new.append(pool[hit])
+                            reached[pool[hit]] = True
+                            if kind:
+                                free = pool[~hit]
+                            else:
+                                rest = pool[~hit]
+                frontier = np.concatenate(new) if new else rest[:0]
+    none = np.zeros(0, np.int64)
+    return points[np.concatenate([none, *left])], points[np.concatenate([none, *right])]
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, shard_points: int = 512, sample_size: int = 20_000) -> DataFrame:

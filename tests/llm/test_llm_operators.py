@@ -160,6 +160,37 @@ def test_simhash_links_of_random_fingerprints(spark):
             assert found[signed[i]] == found[signed[j]]
 
 
+def test_shard_links_span_every_component():
+    rng = np.random.default_rng(8)
+    flip = lambda x, *bits: x ^ sum(1 << b for b in bits)
+    far = [int(x) for x in rng.integers(0, 1 << 63, 600, dtype=np.uint64)]
+    star = [flip(far[0], *range(4 * k, 4 * k + 4)) for k in range(6)]  # ends 8 bits apart, near the centre only
+    chain = [flip(far[1], *range(3 * k)) for k in range(20)]
+    bridge = [far[2], flip(far[2], *range(8))], [flip(far[2], *range(4))]  # joined by a guest only
+    cases = [([star[0], star[1], *far[3:65], far[0]], []), (star + far[3:300] + [far[0]], []),
+             (far[3:400] + chain[::2] + far[400:500] + chain[1::2], []), (bridge[0] + far[3:200], bridge[1] + far[200:300]),
+             (chain[::2] + far[3:200] + bridge[0], chain[1::2] + star + bridge[1]), (far[:70], []), ([], far[:3])]
+    for own, guests in cases:
+        own, guests = np.array(own, np.uint64), np.array(guests, np.uint64)
+        a, b = simhash_dedup.shard_links(own, guests, 4)
+        assert (np.bitwise_count(a ^ b) <= 4).all()
+        whole = np.concatenate([own, guests])
+        near = np.argwhere(np.bitwise_count(own[:, None] ^ whole[None, :]) <= 4)
+        want, got = ({x: x for x in whole.tolist()} for _ in range(2))
+
+        def root(of, x):
+            while of[x] != x:
+                x = of[x]
+            return x
+        for i, j in near.tolist():
+            want[root(want, int(own[i]))] = root(want, int(whole[j]))
+        for x, y in zip(a.tolist(), b.tolist()):
+            assert root(got, x) != root(got, y)  # a forest
+            got[root(got, x)] = root(got, y)
+        for i, j in near.tolist():
+            assert root(got, int(own[i])) == root(got, int(whole[j]))
+
+
 # ------------------------------------------------------------------ op5
 
 def test_language_model(make_docs):
