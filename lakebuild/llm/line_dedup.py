@@ -1,9 +1,12 @@
 r"""Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines of at least ``min_chars`` code points that hold a word are compared; shorter lines are
-kept always. Two lines are linked if their edit distance is at most ``max_edits``. The lines
-of a linked component, equal lines included, are one class; the first occurrence (smallest
-document, then line) is kept and the others are removed.
+Lines of at least ``min_chars`` code points that hold a word are compared (1: every such line);
+shorter lines are kept always. Two lines are linked if their edit distance is at most what the
+shorter one allows: ``max_edits``, or as many as its length can be searched for, which is at
+least ``(2 * edits + 1) * (edits + 1)`` characters: 2 edits from 15 characters on, 1 from 6 on,
+and below that only equal lines meet, by their hash. The lines of a linked component, equal lines
+included, are one class; the first occurrence (smallest document, then line) is kept and the
+others are removed.
 
 Join over the distinct lines. A line of n characters is split into ``max_edits + 1`` even
 segments; a line within ``max_edits`` of it must hold one of them unchanged. Segments are
@@ -48,6 +51,11 @@ def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return each.where((F.length("line") >= min_chars) & (F.trim(spaced(F.col("line"))) != ""))
 
 
+def least_chars(edits: int) -> int:
+    """The length from which on all of a line's probes for so many edits lie inside it."""
+    return (2 * edits + 1) * (edits + 1)
+
+
 def line_key(line: Column) -> Column:
     """With the line's id (its hash), 128 bits that stand for the line."""
     return F.xxhash64(F.lit(1), line)
@@ -88,7 +96,7 @@ def index_keys(text: Column, n: Column, max_edits: int) -> Column:
 
 def probe_keys(text: Column, n: Column, max_edits: int) -> Column:
     """Keys of the substrings that a line of n characters looks up for indexed lines of n - d characters, but for
-    its own segments, which are indexed already. All lie inside a line of ``(2 * max_edits + 1) * (max_edits + 1)`` characters or more."""
+    its own segments, which are indexed already. All lie inside a line of ``least_chars(max_edits)`` characters or more."""
     parts, keys = max_edits + 1, []
     for d in range(max_edits + 1):
         m = n - d
@@ -170,30 +178,54 @@ def near_distance(a: Column, b: Column, max_edits: int) -> Column:
     return let(whole, lambda s: let(turned(s), lambda r: let(turned(r), lambda m: banded_distance(m["a"], m["b"], max_edits))))
 
 
+def allowed_edits(n: Column, max_edits: int) -> Column:
+    """The edits within which a line of n characters is compared with lines of its length or more."""
+    edits = F.lit(0)
+    for e in range(1, max_edits + 1):
+        edits = F.when(n >= least_chars(e), e).otherwise(edits)
+    return edits
+
+
+def _keyed_for(n: Column, edits: int, max_edits: int) -> Column:
+    """Whether a line of n characters has keys for so many edits: if it allows for them, or if it is in
+    reach of shorter lines that allow for no more."""
+    enough = n >= least_chars(edits)
+    return enough if edits == max_edits else enough & (n < least_chars(edits + 1) + edits)
+
+
+def _all_keys(keys, text: Column, n: Column, max_edits: int) -> Column:
+    none = F.array().cast("array<long>")
+    return F.concat(*[F.when(_keyed_for(n, e, max_edits), keys(text, n, e)).otherwise(none) for e in range(1, max_edits + 1)], none)
+
+
 def edit_links(texts: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """(a, b): ids of different lines (columns id, line; equal rows count once) within ``max_edits``, each pair once.
+    """(a, b): ids of different lines (columns id, line; equal rows count once) within the edits that the shorter one
+    allows, each pair once.
 
-    All uses of ``distinct`` read its three columns, so its shuffle by id is made once and reused."""
+    All uses of ``distinct`` read its three columns, so its shuffle by id is made once and reused. The keys of the two
+    sides are shuffled apart (Spark reuses no shuffle above an explode), so the index side holds own segments only."""
     distinct = texts.select("id", "line", _profile(F.col("line")).alias("profile")).dropDuplicates(["id"])
     measured = distinct.withColumn("n", F.length("line"))
-    own, parts = index_keys(F.col("line"), F.col("n"), max_edits), max_edits + 1
-    keyed = measured.select("id", "profile", F.posexplode(F.concat(own, probe_keys(F.col("line"), F.col("n"), max_edits))).alias("no", "segment"))
+    line, n = F.col("line"), F.col("n")
+    own, probes = (_all_keys(keys, line, n, max_edits) for keys in (index_keys, probe_keys))
+    n_own = sum((F.when(_keyed_for(n, e, max_edits), e + 1).otherwise(0) for e in range(1, max_edits + 1)), F.lit(0))
+    index = measured.select("id", "profile", F.explode(own).alias("segment"))
+    looked_up = measured.select("id", "profile", n_own.alias("n_own"), F.posexplode(F.concat(own, probes)).alias("no", "segment")) \
+        .select("id", "profile", (F.col("no") < F.col("n_own")).alias("own"), "segment")
     near = _profile_gap(F.col("p.profile"), F.col("i.profile")) <= 2 * max_edits
-    indexed = F.least("p.no", "i.no") < parts  # one of the two at least is a line's own segment; both sides read one shuffle
-    pairs = keyed.alias("p").join(keyed.alias("i"), (F.col("p.segment") == F.col("i.segment")) & (F.col("p.id") < F.col("i.id")) & indexed & near) \
-        .select(F.col("p.id").alias("a"), F.col("i.id").alias("b")).distinct()
+    other = F.when(F.col("p.own"), F.col("p.id") < F.col("i.id")).otherwise(F.col("p.id") != F.col("i.id"))  # two own segments meet twice
+    pairs = looked_up.alias("p").join(index.alias("i"), (F.col("p.segment") == F.col("i.segment")) & other & near) \
+        .select(F.least("p.id", "i.id").alias("a"), F.greatest("p.id", "i.id").alias("b")).distinct()
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
     found = ends.join(distinct, "id")  # ``distinct`` lies by id already
-    line = F.struct("line", "profile")
-    both = found.groupBy("a", "b").agg(F.min(line).alias("x"), F.max(line).alias("y"))
-    return both.where(near_distance(F.col("x.line"), F.col("y.line"), max_edits).isNotNull()).select("a", "b")
+    both = found.groupBy("a", "b").agg(F.min(F.struct("line", "profile")).alias("x"), F.max(F.struct("line", "profile")).alias("y"))
+    allowed = allowed_edits(F.least(F.length("x.line"), F.length("y.line")), max_edits)
+    return both.where(near_distance(F.col("x.line"), F.col("y.line"), max_edits) <= allowed).select("a", "b")
 
 
 def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, row_key, line_no, class_doc, class_line, n_links, kept) per compared line: the class is named by its
-    first occurrence; ``n_links`` counts the different lines within ``max_edits`` of this one."""
-    if min_chars < (2 * max_edits + 1) * (max_edits + 1):
-        raise ValueError("min_chars is too short for max_edits")
+    first occurrence; ``n_links`` counts the different lines linked to this one."""
     compared = lines(docs, min_chars).withColumn("id", F.xxhash64("line"))
     links = cut(edit_links(compared.select("id", "line"), max_edits))
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))

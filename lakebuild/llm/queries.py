@@ -18,7 +18,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(table(spark, sf_dir, "documents")).drop("row_key")
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"), min_chars=1).drop("row_key")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

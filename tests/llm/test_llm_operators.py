@@ -83,6 +83,41 @@ def test_line_dedup_removes_later_copies(make_docs):
     assert got[1]["text"] is None and got[5]["text"] == LONG and got[20]["row_key"] == "clash"
 
 
+def test_short_lines_are_deduplicated(spark, make_docs, tmp_path):
+    import corpus_pipeline
+    from lakebuild.llm.queries import QUERIES
+
+    rng = random.Random(6)
+    pool = sorted({"".join(rng.choices("ab é", k=rng.randint(1, 18))) for _ in range(150)}) + ["Ietzte.", "Ietzta.", "ok", "ok.", "今日は雨です。"]
+    rows = [(i, "\n".join(rng.choices(pool, k=12)), "a") for i in range(40)]
+    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["line_no"]): r for r in QUERIES["op1_line_dedup"](spark, str(tmp_path)).collect()}
+    places = {(i, k): x for i, t, _ in rows for k, x in enumerate(t.split("\n")) if x.strip()}
+    assert set(got) == set(places)
+    seen = sorted(set(places.values()))
+    pairs = spark.createDataFrame([(a, b) for a in seen for b in seen if a < b], "a string, b string")
+    allowed = "case when least(length(a), length(b)) >= 15 then 2 when least(length(a), length(b)) >= 6 then 1 else 0 end"
+    links = [tuple(r) for r in pairs.where(f"levenshtein(a, b) <= {allowed}").collect()]
+    parent = {x: x for x in seen}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a, b in links:
+        parent[find(a)] = find(b)
+    first = {}
+    for place in sorted(places):
+        first.setdefault(find(places[place]), place)
+    for place, x in places.items():
+        r = got[place]
+        assert (r["class_doc"], r["class_line"]) == first[find(x)] and r["kept"] == (place == first[find(x)])
+        assert r["n_links"] == sum(x in p for p in links)
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, make_docs(rows), "").collect()}
+    for i, t, _ in rows:
+        assert kept[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in got or got[i, k]["kept"])
+
+
 # ------------------------------------------------------------------ op2
 
 def test_chat_round_trip(spark):
