@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    parts = vector_packing.pieces(docs, tokenizer_path(), with_ids=True)
+    parts = vector_packing.pieces(docs, tokenizer_path(), with_ids=True, special=True)
     return vector_packing.pack(parts, docs.count())
 
 

@@ -58,7 +58,7 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return vector_packing.pack(vector_packing.pieces(docs, tokenizer_path()), docs.count())
+    return vector_packing.pack(vector_packing.pieces(docs, tokenizer_path(), special=True), docs.count())
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Packing: documents become token pieces, and pieces become full sequences.
 
 Tokens. A whole text is tokenized with the vocabulary of a public tokenizer file
-and closed by one separator id.
+and closed by one separator id. With ``special`` the file's added tokens inside a text
+become their one id, as ``tokenizers`` does by default; without, they are ordinary text.
 
 Pieces. A document of n tokens gives ``n // limit`` whole pieces, which fill a
 sequence each, and one rest.
@@ -50,7 +51,7 @@ class Encoder:
     """Token ids of whole texts under the vocabulary of a byte-level BPE tokenizer file.
 
     The ids are the merge ranks, so tiktoken's encoder gives the tokenizer's own ids (tested)
-    at a quarter of its CPU time. Strings of special tokens are ordinary text."""
+    at a quarter of its CPU time. Added tokens are found by ``ids(text, True)`` only."""
 
     def __init__(self, path: str):
         import json
@@ -59,10 +60,13 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in or look at their surroundings are not known here")
+        special = {t["content"]: t["id"] for t in added}
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -75,12 +79,13 @@ class Encoder:
             kept[path] = cls(path)
         return kept[path]
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.encoding.encode_ordinary(text), "<u4")
+    def ids(self, text: str, special: bool = False) -> np.ndarray:
+        found = self.encoding.encode(text, allowed_special="all") if special else self.encoding.encode_ordinary(text)
+        return np.array(found, "<u4")
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, separator: int = 0,
-           id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+           id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, loss, key[, ids]): ids as little-endian 32-bit.
 
     ``loss``: tokens of the piece that carry loss, all but the separator. ``key`` identifies the row's content."""
@@ -95,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, separator:
                 b = whole.slice(at, 1000)
                 row, cols = [], [[] for _ in range(4 + with_ids)]
                 for i, text in enumerate(b.column(2).to_pylist()):
-                    ids = np.concatenate([encoder.ids(text), end])
+                    ids = np.concatenate([encoder.ids(text, special), end])
                     for s in range(0, len(ids), limit):
                         data = ids[s:s + limit].tobytes()
                         row.append(i)

@@ -346,6 +346,25 @@ def test_packing_round_trip(spark, make_docs):
     assert vector_packing.pack(vector_packing.pieces(docs.limit(0), tokenizer_path()), 0).count() == 0
 
 
+def test_special_tokens_are_one_id(spark, make_docs, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from lakebuild.llm.queries import QUERIES
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|><|endoftext|>\n\n x", "<|endoftext| > y", "é<|endoftext|>  ", "plain text", "<|END|>", ""]
+    docs = make_docs([(i, t, "a") for i, t in enumerate(texts)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["op9_vector_packing"](spark, str(tmp_path)).collect()}
+    packed = {r["doc_id"]: r for r in corpus_pipeline.pack_sequences(spark, docs, "").collect()}
+    for i, t in enumerate(texts):
+        want = [*tok.encode(t, add_special_tokens=False).ids, 0]
+        assert np.frombuffer(bytes(packed[i]["ids"]), "<u4").tolist() == want
+        assert (got[i]["doc_tokens"], got[i]["ids_crc32"]) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+    assert got[0]["doc_tokens"] == 2
+
+
 def test_bins_keep_every_limit():
     rng = np.random.default_rng(1)
     demand = np.column_stack([rng.integers(1, 1025, 3000), np.ones(3000, int), rng.integers(0, 600, 3000)])
