@@ -1,11 +1,12 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
-Blocks. A page is cut into flat text blocks at block-level tags; scripts, styles, comments
-and the head are skipped, character references decoded, white space turned into one space.
+Blocks. A page is cut into flat text blocks at block-level tags; scripts, styles, comments,
+the title and elements such as svg are skipped, character references decoded, white space turned into one space.
 
 Features of a block: its word count and link density (share of characters inside links), the
 same of the block before and after, whether it is a heading, whether an enclosing element
-names boilerplate (by tag, or by a class, id or role), and where it lies with regard to an
+names boilerplate (by tag, or by a class, id or role, the latter not of an element that holds
+all ``article`` or all ``main`` elements of the page), and where it lies with regard to an
 ``article`` or ``main`` element: inside (1), outside although the page has one (-1), or on a
 page without (0).
 
@@ -14,7 +15,8 @@ blocks; the tree is grown once on the driver and shipped with the task.
 
 Defined results: a null or empty page has an empty text; a page without content blocks has an
 empty text; unclosed, misplaced and unknown tags are tolerated (an unclosed comment, script
-or style runs to the end of the page); null ids and repeated rows are kept as they are; an
+or style runs to the end of the page; of other skipped elements only the tag goes if they are unclosed or
+close themselves); null ids and repeated rows are kept as they are; an
 empty table gives no rows; further columns are ignored. Pages are independent rows, so their
 number and skew do not matter.
 """
@@ -31,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # HTML elements by their role.
-SKIPPED = "script style head template svg noscript textarea select iframe object canvas".split()
+TO_THE_END = "script style".split()  # without an end tag
+NESTING, FLAT = "template svg object canvas".split(), "title noscript textarea select iframe".split()
 BOILER_TAGS = set("nav footer aside form menu dialog button".split())
 BLOCK_TAGS = set("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption
     figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table
@@ -42,7 +45,10 @@ BOILER_NAMES = set("""ad ads advert adverts advertisement banner breadcrumb brea
     navbar navigation newsletter notice notices notification popup promo promoted related search share sharing sidebar
     social sponsor sponsored subscribe toolbar widget""".split())
 
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(SKIPPED) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
+_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(TO_THE_END) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
+                   r"|<(?:" + "|".join(NESTING + FLAT) + r")\b[^>]*/>"
+                   r"|<(" + "|".join(NESTING) + r")\b[^>]*>.*?</\2\s*>"
+                   r"|<(" + "|".join(FLAT) + r")\b[^>]*>(?:(?!<\3\b).)*?</\3\s*>|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HEADING = re.compile(r"h[1-6]\Z")
@@ -187,7 +193,9 @@ class _Blocks:
         self.done: list[list] = []
         self.text: list[str] = []
         self.linked = 0
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, boiler, inside article or main
+        self.stack: list[tuple[str, bool, bool, tuple]] = []  # tag, boiler by tag, inside article or main, elements named boiler
+        self.named: list[dict] = []  # per element named boiler: how many articles and mains it holds
+        self.total = {"article": 0, "main": 0}
         self.heading, self.in_link = False, 0
 
     def add(self, raw: str) -> None:
@@ -200,9 +208,9 @@ class _Blocks:
         if self.text:
             words = html.unescape("".join(self.text)).split()
             if words:
-                boiler, inside = self.stack[-1][1:] if self.stack else (False, False)
+                boiler, inside, marks = self.stack[-1][1:] if self.stack else (False, False, ())
                 size = sum(map(len, words))
-                self.done.append([" ".join(words), len(words), min(1.0, self.linked / size), self.heading, boiler, inside])
+                self.done.append([" ".join(words), len(words), min(1.0, self.linked / size), self.heading, boiler, inside, marks])
         self.text, self.linked = [], 0
 
     def tag(self, end: str, name: str, attributes: str) -> None:
@@ -216,7 +224,7 @@ class _Blocks:
                 self.heading = not end
             elif name in CONTAINERS or (not end and name == "p" and _names_boiler(attributes)):
                 self._nest(end, name, attributes)
-            elif name == "p" and end and any(t == "p" for t, _, _ in self.stack[-1:]):
+            elif name == "p" and end and any(e[0] == "p" for e in self.stack[-1:]):
                 self.stack.pop()
         elif not end and name == "header":
             self.close()
@@ -233,9 +241,21 @@ class _Blocks:
             return
         if name == "li" and self.stack and self.stack[-1][0] == "li":
             self.stack.pop()
-        _, boiler, inside = self.stack[-1] if self.stack else ("", False, False)
-        own = name in BOILER_TAGS or _names_boiler(attributes) or (name == "header" and not inside)
-        self.stack.append((name, boiler or own, inside or name in ("article", "main")))
+        _, boiler, inside, marks = self.stack[-1] if self.stack else ("", False, False, ())
+        own = name in BOILER_TAGS or (name == "header" and not inside)
+        if _names_boiler(attributes):
+            marks += (len(self.named),)
+            self.named.append(dict.fromkeys(self.total, 0))
+        if name in self.total:
+            self.total[name] += 1
+            for i in marks:
+                self.named[i][name] += 1
+        self.stack.append((name, boiler or own, inside or name in self.total, marks))
+
+    def finished(self) -> list[list]:
+        """The blocks, once it is known which named elements hold the page's articles or mains."""
+        boiler = [not any(n and held[k] == n for k, n in self.total.items()) for held in self.named]
+        return [[*b[:4], b[4] or any(boiler[i] for i in b[6]), b[5]] for b in self.done]
 
 
 def blocks(page: str) -> list[list]:
@@ -248,7 +268,7 @@ def blocks(page: str) -> list[list]:
         at = m.end()
     out.add(page[at:])
     out.close()
-    return out.done
+    return out.finished()
 
 
 def main_text(page: str | None, tree: tuple | float) -> str:

@@ -394,6 +394,22 @@ def test_html(spark):
     assert all(html_extract.is_main(tree, tuple(r[:-1])) == bool(r[-1]) for r in html_extract.labelled())
 
 
+def test_html_unclosed_elements_and_layout_names():
+    tree = html_extract.grow(html_extract.labelled())
+    text = " ".join(f"word{i}" for i in range(60))
+    plain = f"<article><p>{text}</p></article>"
+    for page in (f"<html><head><title>T</title><meta charset=x><body>{plain}", f"<head><title>T</title>{plain}",
+                 *(f"<article><p>{text[:200]}<{e} id=x/>{text[200:]}</p></article>" for e in ("svg", "iframe", "object")),
+                 *(f"<article><{e}><p>{text}</p></article>" for e in ("noscript", "iframe", "object", "select", "svg", "textarea")),
+                 f"<article><noscript><p>{text}</p><noscript>gone</noscript></article>",
+                 f"<div class='layout with-sidebar'><main>{plain}</main><div class=sidebar>{text}</div></div>",
+                 f"<main><div class=no-sidebar>{plain}</div></main>", f"<body class=has-banner>{plain}",
+                 f"<article class='post with-sidebar'><p>{text}</p></article>",
+                 f"{plain}<div class=related><article><p>{text}</p></article></div>"):
+        assert "".join(html_extract.main_text(page, tree).split()) == "".join(text.split()), page[:80]
+    assert html_extract.main_text(f"{plain}<script>var x = '<p>{text}</p>'", tree) == text
+
+
 # -------------------------------------------------------------- pipeline
 
 def test_pipeline_stages(spark, tmp_path, make_docs):
