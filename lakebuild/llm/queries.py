@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakebuild.llm import chat_format, html_extract, line_dedup, maxent_lm, maxscore_topk, quality_rules, simhash_dedup, source_mix, substring_dedup, vector_packing
-from lakebuild.llm.common import table
+from lakebuild.llm import chat_format, exact_dedup, html_extract, line_dedup, maxent_lm, maxscore_topk, quality_rules, simhash_dedup, source_mix, substring_dedup, vector_packing
+from lakebuild.llm.common import table, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -66,5 +66,11 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_source_mix, op4_simhash_dedup, op5_maxent_lm, op6_maxscore_topk, op7_substring_dedup, op8_quality_rules, op9_vector_packing, op10_html_extract)}
-ORACLE: dict[str, str] = {"op6_maxscore_topk": maxscore_topk.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_quality_rules": quality_rules.SQL}
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("text_sha256", exact_dedup.text_hash(text_of()))
+    return exact_dedup.decisions(docs, carry=["text_sha256"])
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_source_mix, op4_simhash_dedup, op5_maxent_lm, op6_maxscore_topk, op7_substring_dedup, op8_quality_rules, op9_vector_packing, op10_html_extract, op12_exact_dedup)}
+ORACLE: dict[str, str] = {"op6_maxscore_topk": maxscore_topk.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_quality_rules": quality_rules.SQL,
+                          "op12_exact_dedup": exact_dedup.SQL}
