@@ -87,8 +87,9 @@ def decisions(docs: DataFrame, carry: Sequence[str] = (), id_col: str = "doc_id"
     rows = cut(marked.select("__id", *[f"__c{i}" for i in range(len(carry))], "__size", "__head", full.alias("__full"),
                              F.monotonically_increasing_id().alias("__row")))
     key = ["__size", "__head", "__full"]
-    groups = rows.where("__full is not null").groupBy(*key).agg(
-        F.max(F.struct("__id", "__row")).alias("__last"), F.count("*").alias("__n")).where("__n > 1")
+    # Written out, so that both sides of the join are plain shuffles and a hot group can be split.
+    groups = cut(rows.where("__full is not null").groupBy(*key).agg(
+        F.max(F.struct("__id", "__row")).alias("__last"), F.count("*").alias("__n")).where("__n > 1"))
     met = rows.alias("r").join(groups.alias("g"), [F.col(f"r.{k}") == F.col(f"g.{k}") for k in key], "left")
     single = F.col("__n").isNull()
     return met.select(F.col("__id").alias(id_col), *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)],

@@ -72,13 +72,31 @@ def test_drop_copies_keeps_columns_and_empty_tables(make_docs, spark):
     assert exact_dedup.decisions(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_hot_group_is_counted_before_the_shuffle(spark):
-    """A third of all rows in one group: the counts' shuffle gets a row per task and group only."""
+def test_hot_group(spark):
+    """A third of all rows in one group."""
     docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
     got = exact_dedup.decisions(docs)
     assert got.where("group_size > 1").agg(F.min("keep_id"), F.count("*"), F.sum(F.col("kept").cast("int"))).first()[:] == (8997, 3000, 1)
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "partial_max" in plan and "EvalPython" not in plan and "Window" not in plan
+    assert "EvalPython" not in plan and "Window" not in plan
+
+
+def test_a_hot_group_is_split_in_the_join(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.range(0, 30_000, 1, 8).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 5000))).alias("text"))
+        got = exact_dedup.decisions(docs)
+        rows = got.collect()
+        assert sum(r.kept for r in rows) == len({"hot" if r.doc_id % 3 == 0 else r.doc_id % 5000 for r in rows})
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 @pytest.mark.parametrize("text", ["", "A", "Zebra ÀÉ", "ß" * 3])
