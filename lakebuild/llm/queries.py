@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakebuild.llm import chat_format, exact_dedup, html_extract, line_dedup, maxent_lm, maxscore_topk, quality_rules, simhash_dedup, source_mix, substring_dedup, vector_packing
+from lakebuild.llm import chat_format, exact_dedup, html_extract, line_dedup, maxent_lm, maxscore_topk, quality_rules, rns_negatives, simhash_dedup, source_mix, substring_dedup, vector_packing
 from lakebuild.llm.common import table, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,6 +71,12 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(docs, carry=["text_sha256"])
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_source_mix, op4_simhash_dedup, op5_maxent_lm, op6_maxscore_topk, op7_substring_dedup, op8_quality_rules, op9_vector_packing, op10_html_extract, op12_exact_dedup)}
+def op13_rns_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rns_negatives.usable(table(spark, sf_dir, "embeddings").withColumn("label", label))
+    return rns_negatives.mine(rows.where(F.col("vec_id") % rns_negatives.ANCHOR_EVERY == 0), rows)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_source_mix, op4_simhash_dedup, op5_maxent_lm, op6_maxscore_topk, op7_substring_dedup, op8_quality_rules, op9_vector_packing, op10_html_extract, op12_exact_dedup, op13_rns_negatives)}
 ORACLE: dict[str, str] = {"op6_maxscore_topk": maxscore_topk.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_quality_rules": quality_rules.SQL,
-                          "op12_exact_dedup": exact_dedup.SQL}
+                          "op12_exact_dedup": exact_dedup.SQL, "op13_rns_negatives": rns_negatives.SQL}
