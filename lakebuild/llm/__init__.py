@@ -11,6 +11,9 @@
  8  quality_rules      adaptive thresholds per language and source (native)
  9  vector_packing     dot-product vector bin packing of token pieces
 10  html_extract       flat text blocks classified by a trained decision tree
+11  k2treap_rank       ranked lexical search, K2-treap over the term-document grid
+12  exact_dedup        exact copies by length, prefix hash, full hash (native)
+13  rns_negatives      hard negatives by residue-number-system products
 ==  =================  ==========================================================
 
 Nothing else in the library imports this subpackage. Functions that run in

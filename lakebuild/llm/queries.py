@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakebuild.llm import chat_format, exact_dedup, html_extract, line_dedup, maxent_lm, maxscore_topk, quality_rules, rns_negatives, simhash_dedup, source_mix, substring_dedup, vector_packing
+from lakebuild.llm import chat_format, exact_dedup, html_extract, k2treap_rank, line_dedup, maxent_lm, maxscore_topk, quality_rules, rns_negatives, simhash_dedup, source_mix, substring_dedup, vector_packing
 from lakebuild.llm.common import table, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -66,6 +66,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_k2treap_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return k2treap_rank.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text_sha256", exact_dedup.text_hash(text_of()))
     return exact_dedup.decisions(docs, carry=["text_sha256"])
@@ -77,6 +81,6 @@ def op13_rns_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rns_negatives.mine(rows.where(F.col("vec_id") % rns_negatives.ANCHOR_EVERY == 0), rows)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_source_mix, op4_simhash_dedup, op5_maxent_lm, op6_maxscore_topk, op7_substring_dedup, op8_quality_rules, op9_vector_packing, op10_html_extract, op12_exact_dedup, op13_rns_negatives)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_source_mix, op4_simhash_dedup, op5_maxent_lm, op6_maxscore_topk, op7_substring_dedup, op8_quality_rules, op9_vector_packing, op10_html_extract, op11_k2treap_rank, op12_exact_dedup, op13_rns_negatives)}
 ORACLE: dict[str, str] = {"op6_maxscore_topk": maxscore_topk.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_quality_rules": quality_rules.SQL,
-                          "op12_exact_dedup": exact_dedup.SQL, "op13_rns_negatives": rns_negatives.SQL}
+                          "op11_k2treap_rank": k2treap_rank.SQL, "op12_exact_dedup": exact_dedup.SQL, "op13_rns_negatives": rns_negatives.SQL}
