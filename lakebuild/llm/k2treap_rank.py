@@ -42,7 +42,7 @@ from lakebuild.llm.common import cut, group_count
 
 K = 20
 #: A shard ends at this many documents or bytes of text.
-SHARD_DOCS, SHARD_BYTES = 4096, 16 << 20
+SHARD_DOCS, SHARD_BYTES = 2048, 8 << 20
 ITEM_BLOCK, BROADCAST_TERMS = 256, 200_000
 SALT_DOCS = 1 << 16
 OPENED = 96  # ranges halved at a time
@@ -67,7 +67,7 @@ _SPREAD = np.zeros(1 << 16, np.int64)
 for _b in range(16):
     _SPREAD |= ((np.arange(1 << 16) >> _b) & 1) << (2 * _b)
 #: Of a cell's four bits: how many are set, and how many are set before one of them.
-_SET = np.array([m.bit_count() for m in range(16)], np.int64)
+_SET = np.array([m.bit_count() for m in range(16)], np.uint8)
 _BEFORE = np.array([[(m & ((1 << s) - 1)).bit_count() for s in range(4)] for m in range(16)], np.int64)
 
 
@@ -98,10 +98,10 @@ def count_terms(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.
     found = []
     for t in texts:
         words = terms_of(t)
-        found.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+        found.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
     n = np.array([len(x) for x in found], np.int64)
     col = np.repeat(np.arange(len(texts)), n)
-    pair, tf = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]) * len(texts) + col, return_counts=True)
+    pair, tf = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64) * len(texts) + col, return_counts=True)
     return list(numbers), pair // max(1, len(texts)), pair % max(1, len(texts)), tf, n
 
 
@@ -109,11 +109,12 @@ class Shard:
     """The searchable grid of one block of documents."""
 
     def __init__(self, ids: np.ndarray, words: list[bytes], best: np.ndarray, bits: np.ndarray, depth: int):
-        self.ids, self.best, self.bits, self.depth = ids, best.astype(np.int64), bits, depth
+        self.ids, self.best, self.bits, self.depth = ids, best, bits, depth
         self.rows = {w: i for i, w in enumerate(words)}
         children = _SET[bits]
-        children[0] = 0
-        self.first = 2 + np.cumsum(children) - children  # the root is cell 1
+        self.first = np.cumsum(children, dtype=np.int32)
+        self.first -= children
+        self.first += 2  # the root is cell 1
 
     @staticmethod
     def packed(ids: np.ndarray, texts: list[bytes | None], docs: int, terms: int) -> tuple | None:
@@ -142,7 +143,7 @@ class Shard:
         if not known:
             return ids, scores, 0
         path, weight = (np.array(x, np.int64) for x in zip(*known))
-        bound, level, col = np.array([self.best[1] * weight.sum()]), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        bound, level, col = np.array([int(self.best[1]) * weight.sum()]), np.zeros(1, np.int64), np.zeros(1, np.int64)
         cells, opened = np.ones((1, len(path)), np.int64), 0
         while len(bound):
             keep = bound >= floor
@@ -160,7 +161,7 @@ class Shard:
             for half in (0, 1):
                 slot = 2 * row_bit + half
                 child = np.where(bits >> slot & 1, first + _BEFORE[bits, slot], 0)
-                b = self.best[child] @ weight
+                b = self.best[child].astype(np.int64) @ weight
                 live = b >= floor
                 halves.append((b[live], lv[live] + 1, 2 * c[live] + half, child[live]))
             b, lv, c, at = (np.concatenate(x) for x in zip(*halves))
