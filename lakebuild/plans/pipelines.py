@@ -81,15 +81,15 @@ def build_dim_security(sec: DataFrame, dim_company: DataFrame, versions: str = "
     at = parse_timestamp("PTS", on_error=on_error)
     # The fan-out copies stay a count until after the window (see with_validity).
     r = resolve_reference(sec, "CO_NAME_OR_CIK", dim_company, "Companyid", "Name",
-                          out="sku_company_id", versions=versions, at=at, copies="__copies")
+                          out="company_ref_id", versions=versions, at=at, copies="__copies")
     dim = r.select(
-        concat_keys("SYMBOL", "EX_ID", "sku_company_id", skip_nulls=skip_nulls).alias("SK_SecurityID"),
+        concat_keys("SYMBOL", "EX_ID", "company_ref_id", skip_nulls=skip_nulls).alias("SK_SecurityID"),
         F.col("SYMBOL"),
         F.col("ISSUE_TYPE").alias("Issue"),
         F.col("STATUS"),
         F.col("NAME"),
         F.col("EX_ID").alias("ExchangeID"),
-        F.col("sku_company_id").alias("SK_CompanyID"),
+        F.col("company_ref_id").alias("SK_CompanyID"),
         F.col("SH_OUT").alias("SharesOutstanding"),
         F.col("FIRST_TRADE_DATE").alias("FirstTrade"),
         F.col("FIRST_TRADE_EXCHG").alias("FirstTradeOnExchange"),
@@ -117,8 +117,8 @@ def build_financial(fin: DataFrame, dim_company: DataFrame, versions: str = "all
     """financial: quarterly figures keyed to the company they reference."""
     at = parse_timestamp("PTS", on_error=on_error) if versions == "as_of" else None
     r = resolve_reference(fin, "CO_NAME_OR_CIK", dim_company, "Companyid", "Name",
-                          out="sku_company_id", versions=versions, at=at)
-    return r.select(F.col("sku_company_id").alias("SK_CompanyID"),
+                          out="company_ref_id", versions=versions, at=at)
+    return r.select(F.col("company_ref_id").alias("SK_CompanyID"),
                     *[F.col(s).alias(t) for s, t in FINANCIAL_COLUMNS])
 
 
@@ -128,14 +128,15 @@ PLACEHOLDER_MEASURES = ("PERatio", "Yield", "FiftyTwoWeekHigh", "SK_FiftyTwoWeek
 
 
 def build_fact_market_history(market: DataFrame, dim_security: DataFrame, how: str = "inner",
-                              on_error: str = "fail") -> DataFrame:
+                              on_error: str = "fail", period: str | None = "year") -> DataFrame:
     """FactMarketHistory: each market row with the security version valid on its day.
 
-    ``market`` is the batch union (see ``union_batches``) with ``BatchID``.
+    ``market`` is the batch union (see ``union_batches``) with ``BatchID``;
+    ``period`` is that of ``point_in_time_join``.
     """
     day = parse_date("DM_DATE", on_error=on_error)
     j = point_in_time_join(market, dim_security, "DM_S_SYMB", "SYMBOL", at=day,
-                           dim_cols=["SK_SecurityID", "SK_CompanyID"], how=how)
+                           dim_cols=["SK_SecurityID", "SK_CompanyID"], how=how, period=period)
     return j.select(
         F.col("SK_SecurityID"),
         F.col("SK_CompanyID"),

@@ -53,7 +53,7 @@ def stream_fact_market_history(spark: SparkSession, market_glob: str, dim_securi
     checkpoint = checkpoint or scratch_path(spark, "stream-checkpoints",
                                             hashlib.sha1(sink.encode()).hexdigest()[:16])
     market = market_line_stream(spark, market_glob, max_files_per_trigger=max_files_per_trigger)
-    fact = build_fact_market_history(market, dim_security)
+    fact = build_fact_market_history(market, dim_security, period=None)
     q = (fact.writeStream.format("parquet")
              .option("checkpointLocation", checkpoint)
              .partitionBy("YearID")

@@ -103,3 +103,44 @@ def test_hot_reference_in_lookup_is_split_and_exact(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_hot_reference_as_of_is_split_and_exact(spark):
+    """A third of the facts on one company, resolved as of their own instants."""
+    from lakebuild.operators import resolve_reference
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        start = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+        facts = spark.range(0, 30000).select(
+            F.col("id"), (start + F.make_dt_interval(F.col("id") % 600)).alias("at"),
+            F.when(F.col("id") % 3 == 0, F.lit("0000000007"))               # hot company id
+             .when(F.col("id") % 3 == 1, F.concat(F.lit("Name"), (F.col("id") % 500).cast("string")))
+             .otherwise(F.lpad((F.col("id") % 500).cast("string"), 10, "0")).alias("ref"))
+        # two versions per company with a gap of days 200-299 between them
+        company = spark.range(0, 500).select(F.lpad(F.col("id").cast("string"), 10, "0").alias("Companyid"),
+                                             F.concat(F.lit("Name"), F.col("id").cast("string")).alias("Name"))
+        spans = F.explode(F.array(*[F.struct((start + F.make_dt_interval(F.lit(a))).alias("s"), (start + F.make_dt_interval(F.lit(b))).alias("e"))
+                                    for a, b in ((0, 200), (300, 10000))])).alias("x")
+        dim = company.select("Companyid", "Name", spans).select("Companyid", "Name", "x.s", "x.e")
+        j = resolve_reference(facts, "ref", dim, "Companyid", "Name", out="cid", versions="as_of", at=F.col("at"), start="s", end="e")
+        got = {r.id: r.cid for r in j.collect()}
+        final = j._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in final, final
+        in_gap = lambda i: 200 <= i % 600 < 300
+        assert len(got) == 30000
+        assert all(got[i] == (None if in_gap(i) else "0000000007" if i % 3 == 0 else f"{i % 500:010d}") for i in got)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
