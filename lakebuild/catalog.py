@@ -14,15 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from .functions import iso_text, parse_fixed_width, parse_timestamp
+from .functions import iso_text, parse_fixed_width, parse_timestamp, rejected_counts
 from .functions.scalars import concat_keys, version_key
-from .layouts import INDUSTRY_COLUMNS, LAYOUT_CMP, LAYOUT_FIN, LAYOUT_SEC
+from .layouts import DAILY_MARKET_COLUMNS, INDUSTRY_COLUMNS, LAYOUTS, LAYOUT_CMP, LAYOUT_FIN, LAYOUT_SEC
 from .operators import is_low_grade, point_in_time_join, resolve_reference, union_batches, with_validity
 from .paths import LakePaths
 from .plans import pipelines as pl
 from .session import scratch_path
 from .sinks import register_views, write_split, write_table
-from .sources import read_delimited, read_lines, read_market_batch, read_table
+from .sources import read_delimited, read_lines, read_market_batch, read_table, split_corrupt
+from .views import register_history, register_resolution
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +34,8 @@ def _portable(df: DataFrame, cols=("end_timestamp",)) -> DataFrame:
 
 # ------------------------------------------------------------ shared inputs
 # The raw layer (text files) is written once per process from the test tables;
-# every query reads it back through the library's own readers.
+# staging queries read it back through the library's own readers, the others
+# start from the bronze and silver tables that the library's steps make of it.
 def _raw(spark, sf):
     return fx.write_raw(spark, sf)
 
@@ -42,28 +44,46 @@ def _lines(spark, sf):
     return read_lines(spark, _raw(spark, sf).raw(pl.FINWIRE_GLOB), name_regex=pl.FINWIRE_REGEX)
 
 
-def _industry(spark, sf):
-    return read_delimited(spark, _raw(spark, sf).batch(1, "Industry.txt"), INDUSTRY_COLUMNS)
+def _parsed(spark, sf, rt, typed=False):
+    """A record type cut straight from the raw lines."""
+    return parse_fixed_width(_lines(spark, sf), LAYOUTS[rt], rt, typed=typed)
+
+
+_LAKES: dict[tuple[str, str], LakePaths] = {}
 
 
-def _cmp(spark, sf, typed=False):
-    return parse_fixed_width(_lines(spark, sf), LAYOUT_CMP, "CMP", typed=typed)
+def _lake(spark, sf) -> LakePaths:
+    """Bronze and silver, written once per process by the library's own steps; a query starts from the layer below its own."""
+    raw = _raw(spark, sf)
+    if (sf, raw.root) not in _LAKES:
+        lake = LakePaths(scratch_path(spark, "catalog-lake", unique=True), raw_root=raw.root)
+        pl.run_all(spark, lake, steps=("industry", "finwire", "dim_company", "dim_security"))
+        _LAKES[sf, raw.root] = lake
+    return _LAKES[sf, raw.root]
 
 
-def _sec(spark, sf, typed=False):
-    return parse_fixed_width(_lines(spark, sf), LAYOUT_SEC, "SEC", typed=typed)
+def _bronze(spark, sf, name):
+    return read_table(spark, _lake(spark, sf).bronze(name))
 
 
-def _fin(spark, sf, typed=False):
-    return parse_fixed_width(_lines(spark, sf), LAYOUT_FIN, "FIN", typed=typed)
+def _silver(spark, sf, name):
+    return read_table(spark, _lake(spark, sf).silver(name))
 
 
-def _dim_company(spark, sf, how="inner"):
-    return pl.build_dim_company(_cmp(spark, sf), _industry(spark, sf), how=how)
+def _industry(spark, sf):
+    return _bronze(spark, sf, "industry")
+
 
+def _cmp(spark, sf):
+    return _bronze(spark, sf, "finwire_cmp")
 
-def _dim_security(spark, sf):
-    return pl.build_dim_security(_sec(spark, sf), _dim_company(spark, sf))
+
+def _sec(spark, sf):
+    return _bronze(spark, sf, "finwire_sec")
+
+
+def _fin(spark, sf):
+    return _bronze(spark, sf, "finwire_fin")
 
 
 def _market(spark, sf, distinct=False, redelivered=False):
@@ -91,16 +111,19 @@ def q_incremental_batch(spark, sf):
 
 
 def q_split_by_record_type(spark, sf):
+    """Four tables from one feed: the record types and, as type NULL, the lines of no known type."""
     paths = fx.write_raw(spark, sf)
     out = scratch_path(spark, "split", unique=True)
     lines = read_lines(spark, paths.raw(pl.FINWIRE_GLOB), name_regex=pl.FINWIRE_REGEX)
     targets = {"CMP": (LAYOUT_CMP, f"{out}/cmp"), "SEC": (LAYOUT_SEC, f"{out}/sec"),
                "FIN": (LAYOUT_FIN, f"{out}/fin")}
-    write_split(lines, targets, staging=f"{out}/_by_type")
+    write_split(lines, targets, staging=f"{out}/_by_type", rejects=f"{out}/rejects")
     keys = {"CMP": "CIK", "SEC": "SYMBOL", "FIN": "CO_NAME_OR_CIK"}
     parts = [read_table(spark, f"{out}/{rt.lower()}").select("RECTYPE", "PTS", F.col(k).alias("record_key"))
              for rt, k in keys.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    null = F.lit(None).cast("string")
+    rejects = read_table(spark, f"{out}/rejects").select(null.alias("RECTYPE"), null.alias("PTS"), F.col("line").alias("record_key"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(rejects)
 
 
 def q_table_overwrite(spark, sf):
@@ -112,32 +135,83 @@ def q_table_overwrite(spark, sf):
     return read_table(spark, path)
 
 
+def q_table_append(spark, sf):
+    """Rows appended to the published version of a table that was overwritten before."""
+    path = scratch_path(spark, "append", unique=True)
+    ind = fx.industry_feed(spark, sf)
+    write_table(ind.select("IN_ID", "IN_NAME", F.lit("old").alias("IN_SC_ID")), path)
+    write_table(ind, path)
+    write_table(ind.select("IN_ID", F.lower("IN_NAME").alias("IN_NAME"), "IN_SC_ID"), path, mode="append")
+    return read_table(spark, path)
+
+
 def q_fact_partition_read(spark, sf):
     path = scratch_path(spark, "fact-by-year", unique=True)
-    fact = pl.build_fact_market_history(_market(spark, sf), _dim_security(spark, sf))
+    fact = pl.build_fact_market_history(_market(spark, sf), _silver(spark, sf, "dimsecurity"))
     write_table(fact, path, partition_by=["YearID"])
     return read_table(spark, path).filter(F.col("YearID") == 1997)
 
 
+def q_market_typed(spark, sf):
+    """V11: a delimited feed read with an explicit schema (batch 1)."""
+    types = {"DM_DATE": "date", "DM_CLOSE": "decimal(15,2)", "DM_HIGH": "decimal(15,2)", "DM_LOW": "decimal(15,2)", "DM_VOL": "bigint"}
+    df = read_delimited(spark, _raw(spark, sf).batch(1, "DailyMarket.txt"), DAILY_MARKET_COLUMNS, types=types)
+    return df.select(F.col("DM_DATE").cast("string").alias("DM_DATE"), "DM_S_SYMB",
+                     *[(F.col(c) * 100).cast("bigint").alias(c + "_CENTS") for c in ("DM_CLOSE", "DM_HIGH", "DM_LOW")], "DM_VOL")
+
+
+def q_market_quarantine(spark, sf):
+    """SC5: the market lines without exactly the expected fields, whole, by batch."""
+    batches = pl.market_batches(spark, _raw(spark, sf), corrupt="line")
+    return split_corrupt(union_batches(batches), "line")[1].select("BatchID", "line")
+
+
 # ------------------------------------------------------------ parsing
 def q_stg_finwire_cmp(spark, sf):
-    return _cmp(spark, sf)
+    return _parsed(spark, sf, "CMP")
 
 
 def q_stg_finwire_sec(spark, sf):
-    return _sec(spark, sf)
+    return _parsed(spark, sf, "SEC")
 
 
 def q_stg_finwire_fin(spark, sf):
-    return _fin(spark, sf)
+    return _parsed(spark, sf, "FIN")
+
+
+def _spelled(df):
+    """NaN and infinities as text: DataFrames outside Spark confuse NaN with NULL."""
+    doubles = [c for c, t in df.dtypes if t == "double"]
+    odd = {c: F.isnan(c) | (F.abs(c) == float("inf")) for c in doubles}
+    named = F.concat_ws(",", *[F.when(odd[c], F.concat(F.lit(c + "="), F.col(c).cast("string"))) for c in doubles])
+    return df.withColumns({"nonfinite": named} | {c: F.when(~odd[c], F.col(c)) for c in doubles})
 
 
 def q_stg_finwire_sec_typed(spark, sf):
-    return _sec(spark, sf, typed=True)
+    return _parsed(spark, sf, "SEC", typed=True)
 
 
 def q_stg_finwire_fin_typed(spark, sf):
-    return _fin(spark, sf, typed=True)
+    return _spelled(_parsed(spark, sf, "FIN", typed=True))
+
+
+def q_finwire_rejected_values(spark, sf):
+    """FN5, FN6: how many texts of each numeric field were neither blank nor a number."""
+    lines = _lines(spark, sf)
+    sec, fin = (rejected_counts(parse_fixed_width(lines, lay, rt, typed=True, rejected="bad"), "bad").withColumn("RECTYPE", F.lit(rt))
+                for rt, lay in (("SEC", LAYOUT_SEC), ("FIN", LAYOUT_FIN)))
+    return sec.unionByName(fin)
+
+
+def q_stg_finwire_cmp_untrimmed(spark, sf):
+    """FN3: fields as they stand in the record."""
+    return parse_fixed_width(_lines(spark, sf), LAYOUT_CMP, "CMP", trim="none")
+
+
+def q_stg_finwire_cmp_stripped(spark, sf):
+    """FN3: all white space cut, tabs included; the feed's tabs are put in here."""
+    lines = _lines(spark, sf).withColumn("value", F.regexp_replace("value", " Market Street", "\tMarket Street\t"))
+    return parse_fixed_width(lines, LAYOUT_CMP, "CMP", trim="whitespace").select("PTS", "CIK", "ADDR1")
 
 
 # ------------------------------------------------------------ joins, flags, keys
@@ -174,7 +248,7 @@ def q_history_validity(spark, sf):
 def _lookup(spark, sf, versions):
     sec = _sec(spark, sf)
     at = parse_timestamp("PTS")
-    r = resolve_reference(sec, "CO_NAME_OR_CIK", _dim_company(spark, sf), "Companyid", "Name",
+    r = resolve_reference(sec, "CO_NAME_OR_CIK", _silver(spark, sf, "dimcompany"), "Companyid", "Name",
                           out="SK_CompanyID", versions=versions, at=at)
     return r.select("PTS", "SYMBOL", "CO_NAME_OR_CIK", "SK_CompanyID")
 
@@ -192,7 +266,7 @@ def q_lookup_as_of(spark, sf):
 
 
 def _security_key(spark, sf, skip_nulls):
-    r = resolve_reference(_sec(spark, sf), "CO_NAME_OR_CIK", _dim_company(spark, sf), "Companyid", "Name",
+    r = resolve_reference(_sec(spark, sf), "CO_NAME_OR_CIK", _silver(spark, sf, "dimcompany"), "Companyid", "Name",
                           out="SK_CompanyID", versions="current")
     return r.select("PTS", "SYMBOL", "SK_CompanyID",
                     concat_keys("SYMBOL", "EX_ID", "SK_CompanyID", skip_nulls=skip_nulls).alias("SK_SecurityID"))
@@ -208,23 +282,23 @@ def q_security_key_skip_null(spark, sf):
 
 # ------------------------------------------------------------ pipelines
 def q_dim_company(spark, sf):
-    return _portable(_dim_company(spark, sf))
+    return _portable(pl.build_dim_company(_cmp(spark, sf), _industry(spark, sf)))
 
 
 def q_dim_company_left(spark, sf):
-    return _portable(_dim_company(spark, sf, how="left"))
+    return _portable(pl.build_dim_company(_cmp(spark, sf), _industry(spark, sf), how="left"))
 
 
 def q_dim_security(spark, sf):
-    return _portable(_dim_security(spark, sf))
+    return _portable(pl.build_dim_security(_sec(spark, sf), _silver(spark, sf, "dimcompany")))
 
 
 def q_financial(spark, sf):
-    return pl.build_financial(_fin(spark, sf), _dim_company(spark, sf))
+    return pl.build_financial(_fin(spark, sf), _silver(spark, sf, "dimcompany"))
 
 
 def q_financial_typed(spark, sf):
-    return pl.build_financial(_fin(spark, sf, typed=True), _dim_company(spark, sf))
+    return _spelled(pl.build_financial(_parsed(spark, sf, "FIN", typed=True), _silver(spark, sf, "dimcompany")))
 
 
 def q_market_union_all(spark, sf):
@@ -237,7 +311,7 @@ def q_market_union_distinct(spark, sf):
 
 def _pit(spark, sf, how):
     day = F.to_date("DM_DATE")
-    j = point_in_time_join(_market(spark, sf), _dim_security(spark, sf), "DM_S_SYMB", "SYMBOL", at=day,
+    j = point_in_time_join(_market(spark, sf), _silver(spark, sf, "dimsecurity"), "DM_S_SYMB", "SYMBOL", at=day,
                            dim_cols=["SK_SecurityID", "SK_CompanyID"], how=how)
     return j.select("DM_DATE", "DM_S_SYMB", "BatchID", "DM_CLOSE", "SK_SecurityID", "SK_CompanyID")
 
@@ -251,54 +325,44 @@ def q_point_in_time_left(spark, sf):
 
 
 def q_fact_market_history(spark, sf):
-    return pl.build_fact_market_history(_market(spark, sf), _dim_security(spark, sf))
+    return pl.build_fact_market_history(_market(spark, sf), _silver(spark, sf, "dimsecurity"))
 
 
 def q_fact_market_history_left(spark, sf):
     """V17: keep market rows without a valid security version (NULL keys)."""
-    return pl.build_fact_market_history(_market(spark, sf), _dim_security(spark, sf), how="left")
+    return pl.build_fact_market_history(_market(spark, sf), _silver(spark, sf, "dimsecurity"), how="left")
 
 
 def q_fact_market_history_distinct(spark, sf):
     """V3: batches combined with UNION (batch 1 delivered twice)."""
     return pl.build_fact_market_history(_market(spark, sf, distinct=True, redelivered=True),
-                                        _dim_security(spark, sf))
+                                        _silver(spark, sf, "dimsecurity"))
 
 
 def q_dim_security_current(spark, sf):
     """V15 alternative: securities keyed to the current company version only."""
-    return _portable(pl.build_dim_security(_sec(spark, sf), _dim_company(spark, sf), versions="current"))
+    return _portable(pl.build_dim_security(_sec(spark, sf), _silver(spark, sf, "dimcompany"), versions="current"))
 
 
 def q_financial_as_of(spark, sf):
     """V15 alternative: figures keyed to the company version valid at the record stamp."""
-    return pl.build_financial(_fin(spark, sf), _dim_company(spark, sf), versions="as_of")
+    return pl.build_financial(_fin(spark, sf), _silver(spark, sf, "dimcompany"), versions="as_of")
 
 
 def q_sql_view_dim_security(spark, sf):
-    """dim_security written as Spark SQL over named views (SK4, PR6)."""
-    register_views(spark, finwire_sec=_sec(spark, sf), dimcompany=_dim_company(spark, sf))
-    sql = f"""
-    WITH versions AS (
-      SELECT COALESCE(id_based.Companyid, name_based.Companyid) AS SK_CompanyID,
-             CONCAT(fs.SYMBOL, fs.EX_ID, SK_CompanyID) AS SK_SecurityID,  -- lateral alias
-             fs.SYMBOL, fs.ISSUE_TYPE AS Issue, fs.STATUS, fs.NAME, fs.EX_ID AS ExchangeID,
-             fs.SH_OUT AS SharesOutstanding, fs.FIRST_TRADE_DATE AS FirstTrade,
-             fs.FIRST_TRADE_EXCHG AS FirstTradeOnExchange, fs.DIVIDEND, 1 AS BatchID,
-             to_timestamp_ntz(fs.PTS, 'yyyyMMdd-HHmmss') AS effective_timestamp
-      FROM finwire_sec fs
-      LEFT JOIN dimcompany id_based ON fs.CO_NAME_OR_CIK = id_based.Companyid
-      LEFT JOIN dimcompany name_based ON fs.CO_NAME_OR_CIK = name_based.Name
-    )
-    -- a lateral alias may not feed a window, so the end is computed one level down
-    SELECT *, end_timestamp = TIMESTAMP_NTZ '9999-12-31 00:00:00' AS iscurrent
-    FROM (
-      SELECT *, COALESCE(LEAD(effective_timestamp) OVER (PARTITION BY SYMBOL ORDER BY effective_timestamp,
-                  {", ".join(c + " NULLS FIRST" for c in pl.SECURITY_TIEBREAK)}),
-                  TIMESTAMP_NTZ '9999-12-31 00:00:00') AS end_timestamp
-      FROM versions)
-    """
-    return _portable(spark.sql(sql))
+    """dim_security in Spark SQL over named views (SK4, PR6): one lookup join, then the history view."""
+    register_views(spark, finwire_sec=_sec(spark, sf), dimcompany=_silver(spark, sf, "dimcompany"))
+    register_resolution(spark, "company_resolution", "dimcompany", "Companyid", "Name")
+    keyed = spark.sql("""
+        SELECT r.hit AS SK_CompanyID, SYMBOL || EX_ID || SK_CompanyID AS SK_SecurityID,  -- lateral alias
+               SYMBOL, ISSUE_TYPE AS Issue, STATUS, NAME, EX_ID AS ExchangeID, SH_OUT AS SharesOutstanding,
+               FIRST_TRADE_DATE AS FirstTrade, FIRST_TRADE_EXCHG AS FirstTradeOnExchange, DIVIDEND, 1 AS BatchID,
+               to_timestamp_ntz(PTS, 'yyyyMMdd-HHmmss') AS effective_timestamp, nvl(r.copies, 1L) AS copies
+        FROM finwire_sec LEFT JOIN company_resolution r ON r.value = CO_NAME_OR_CIK""")
+    register_views(spark, security_versions=keyed)
+    register_history(spark, "security_history", "security_versions", "SYMBOL", "effective_timestamp",
+                     pl.SECURITY_TIEBREAK, copies="copies")
+    return _portable(spark.sql("SELECT * FROM security_history"))
 
 
 def q_run_all(spark, sf):
@@ -309,16 +373,38 @@ def q_run_all(spark, sf):
     return read_table(spark, out["FactMarketHistory"])
 
 
+def q_run_all_options(spark, sf):
+    """PL1-PL6 with every other choice: company as of the record, unmatched market rows kept,
+    NULL-skipping keys, text placeholders, malformed market lines in quarantine."""
+    raw = fx.write_raw(spark, sf)
+    lake = LakePaths(scratch_path(spark, "lake", unique=True), raw_root=raw.root)
+    out = pl.run_all(spark, lake, versions="as_of", fact_how="left", skip_nulls=True, on_error="null", split="month",
+                     period="month", trim="whitespace", quarantine=True, placeholders="text",
+                     batch_files={n: raw.batch(n, "DailyMarket.txt") for n in (1, 2, 3)})
+    return read_table(spark, out["FactMarketHistory"])
+
+
+def q_dim_security_skip_nulls(spark, sf):
+    """V4: the security key leaves out a missing company instead of being NULL."""
+    return _portable(pl.build_dim_security(_sec(spark, sf), _silver(spark, sf, "dimcompany"), skip_nulls=True))
+
+
+def q_parse_timestamp_null(spark, sf):
+    """FN7 with on_error="null" over every line of the feed, junk included."""
+    line = F.col("value")
+    stamp = F.substring(line, 1, 15)
+    return _lines(spark, sf).select(stamp.alias("stamp"), parse_timestamp(stamp, on_error="null").alias("ts"))
+
+
 def q_fact_market_stream(spark, sf):
     """PL6 as an incremental Structured Streaming load over the batch files."""
     from .streaming import stream_fact_market_history
     raw = fx.write_raw(spark, sf)
     base = scratch_path(spark, "stream", unique=True)
-    write_table(_dim_security(spark, sf), f"{base}/dimsecurity")
-    stream_fact_market_history(spark, raw.raw("Batch*/DailyMarket.txt"),
-                               read_table(spark, f"{base}/dimsecurity"), f"{base}/fact",
+    write_table(_silver(spark, sf, "dimsecurity"), f"{base}/dimsecurity")
+    stream_fact_market_history(spark, raw.raw("Batch*/DailyMarket.txt"), f"{base}/dimsecurity", f"{base}/fact",
                                checkpoint=f"{base}/_checkpoint")
-    return read_table(spark, f"{base}/fact")
+    return read_table(spark, f"{base}/fact").drop("load")
 
 
 QUERIES: dict[str, Query] = {
@@ -358,6 +444,15 @@ QUERIES: dict[str, Query] = {
     "fact_partition_read": q_fact_partition_read,
     "table_overwrite": q_table_overwrite,
     "sql_view_dim_security": q_sql_view_dim_security,
+    "dim_security_skip_nulls": q_dim_security_skip_nulls,
+    "finwire_rejected_values": q_finwire_rejected_values,
+    "stg_finwire_cmp_untrimmed": q_stg_finwire_cmp_untrimmed,
+    "stg_finwire_cmp_stripped": q_stg_finwire_cmp_stripped,
+    "parse_timestamp_null": q_parse_timestamp_null,
+    "market_typed": q_market_typed,
+    "market_quarantine": q_market_quarantine,
+    "table_append": q_table_append,
+    "run_all_options": q_run_all_options,
     "run_all": q_run_all,
     "fact_market_stream": q_fact_market_stream,
 }

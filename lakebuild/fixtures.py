@@ -14,7 +14,7 @@ from .layouts import LAYOUT_CMP, LAYOUT_FIN, LAYOUT_SEC, FieldSpec
 from .paths import LakePaths
 from .session import ensure_checkpoint_dir, scratch_path
 from .functions.scalars import compact_date, compact_stamp
-from .sinks import write_delimited
+from .sinks import write_delimited, write_lines
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +61,9 @@ def symbol(partkey: Column) -> Column:
     return F.concat(F.lit("S"), zpad(partkey, 9))
 
 
-def company_ref(k: Column) -> Column:
+def company_ref(k: Column, companies: int) -> Column:
     """CO_NAME_OR_CIK rule: k % 7 == 0 -> unresolvable; even -> CIK; odd -> name."""
-    c = k % 150
+    c = k % max(1, companies)
     return (F.when(k % 7 == 0, F.lit("NOBODY"))
              .when(k % 2 == 0, zpad(c, 10))
              .otherwise(F.concat(F.lit("Customer#"), zpad(c, 9))))
@@ -73,6 +73,10 @@ def company_ref(k: Column) -> Column:
 RATING_BY_PRIORITY = {"1": "AAA", "2": "BBB-", "3": "BB+", "4": "CCC", "5": ""}
 
 
+# --- Fixed values: texts that stand in a FIN figure where o_orderkey % 50 has the given value. ---
+ODD_FIGURES = {7: "n/a", 11: "nan", 21: "inf", 31: "1_000", 41: "-Infinity", 1: "1e3", 14: "1__0", 24: "+25"}
+
+
 def industry_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     return n.select(zpad(F.col("n_nationkey"), 2).alias("IN_ID"), F.col("n_name").alias("IN_NAME"),
@@ -108,23 +112,24 @@ def cmp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sec_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") == 1)
-    day = compact_date(F.col("l_shipdate"))
+    o = table(spark, sf_dir, "orders")
+    n = table(spark, sf_dir, "customer").count()
+    day = compact_date(F.col("o_orderdate"))
     vals = {
-        "PTS": pts(F.col("l_shipdate"), F.col("l_orderkey")),
+        "PTS": pts(F.col("o_orderdate"), F.col("o_orderkey")),
         "RECTYPE": F.lit("SEC"),
-        "SYMBOL": symbol(F.col("l_partkey")),
+        "SYMBOL": symbol(F.col("o_custkey")),
         "ISSUE_TYPE": F.lit("COMMON"),
         "STATUS": F.lit("ACTV"),
-        "NAME": F.concat(F.lit("Security "), _s(F.col("l_partkey"))),
+        "NAME": F.concat(F.lit("Security "), _s(F.col("o_custkey"))),
         "EX_ID": F.lit("NYSE"),
-        "SH_OUT": _s(F.col("l_orderkey")),
+        "SH_OUT": _s(F.col("o_orderkey")),
         "FIRST_TRADE_DATE": day,
         "FIRST_TRADE_EXCHG": day,
-        "DIVIDEND": money(F.col("l_orderkey") % 1000),
-        "CO_NAME_OR_CIK": company_ref(F.col("l_partkey")),
+        "DIVIDEND": money(F.col("o_orderkey") % 1000),
+        "CO_NAME_OR_CIK": company_ref(F.col("o_custkey"), n),
     }
-    return li.select(fixed_line(LAYOUT_SEC, vals, right_align=("SH_OUT", "DIVIDEND")).alias("value"))
+    return o.select(fixed_line(LAYOUT_SEC, vals, right_align=("SH_OUT", "DIVIDEND")).alias("value"))
 
 
 def fin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,8 +137,11 @@ def fin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     c = cents(F.col("o_totalprice"))
 
-    def gappy(v: Column) -> Column:  # some figures are missing or junk
-        return F.when(k % 50 == 7, F.lit("n/a")).when(k % 20 == 3, F.lit("")).otherwise(v)
+    n = table(spark, sf_dir, "customer").count()
+
+    def gappy(v: Column) -> Column:  # some figures are missing, junk, or numbers in an unusual spelling
+        odd = F.coalesce(*[F.when(k % 50 == r, F.lit(text)) for r, text in ODD_FIGURES.items()])
+        return F.coalesce(odd, F.when(k % 20 == 3, F.lit("")), v)
 
     vals = {
         "PTS": pts(F.col("o_orderdate"), k),
@@ -152,37 +160,52 @@ def fin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "LIABILITIES": money(c * 4),
         "SH_OUT": gappy(_s(k)),
         "DILUTED_SH_OUT": _s(k + 1),
-        "CO_NAME_OR_CIK": company_ref(F.col("o_custkey")),
+        "CO_NAME_OR_CIK": company_ref(F.col("o_custkey"), n),
     }
     right = ("REVENUE", "EARNINGS", "EPS", "DILUTED_EPS", "MARGIN", "INVENTORY", "ASSETS",
              "LIABILITIES", "SH_OUT", "DILUTED_SH_OUT")
     return o.select(fixed_line(LAYOUT_FIN, vals, right_align=right).alias("value"))
 
 
+def junk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines no layout covers, one per supplier, with the file each lies in: unknown codes, too short, blank."""
+    k = F.col("s_suppkey")
+    value = (F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.concat(F.lit("short "), _s(k)))
+              .when(k % 5 == 2, F.concat(F.lit("19970101-000000cmp"), F.col("s_name")))
+              .when(k % 5 == 3, F.concat(F.lit("19970101-000000/.."), F.col("s_name")))
+              .otherwise(F.concat(F.lit("19970101-000000ZZZ"), F.col("s_name"))))
+    fname = F.concat(F.lit("FINWIRE1997Q"), _s(k % 4 + 1))
+    return table(spark, sf_dir, "supplier").select(value.alias("value"), fname.alias("fname"))
+
+
 def finwire_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixed FINWIRE feed: CMP, SEC and FIN records in one line column."""
+    """The records of the FINWIRE feed: CMP, SEC and FIN in one line column."""
     return cmp_lines(spark, sf_dir).unionByName(sec_lines(spark, sf_dir)).unionByName(fin_lines(spark, sf_dir))
 
 
-# --- Fixed values: lineitem line numbers feeding each DailyMarket batch. ---
-MARKET_LINES = {1: (2, 3), 2: (4, 5), 3: (6, 7)}
+def market_batch_no(line_number: Column) -> Column:
+    """The DailyMarket batch a lineitem row goes to; every row goes to one."""
+    return F.when(line_number <= 3, 1).when(line_number <= 5, 2).otherwise(3)
 
 
 def market_feed(spark: SparkSession, sf_dir: str, batch: int) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber").isin(list(MARKET_LINES[batch])))
+    """The text lines of one DailyMarket batch; some are quoted, some lack a field or a value, some have one too many."""
+    li = table(spark, sf_dir, "lineitem").filter(market_batch_no(F.col("l_linenumber")) == batch)
     c = cents(F.col("l_extendedprice"))
-    cols = [
-        F.to_date("l_shipdate").cast("string").alias("DM_DATE"),
-        symbol(F.col("l_partkey")).alias("DM_S_SYMB"),
-        money(c).alias("DM_CLOSE"),
-        money(F.floor(c * 101 / 100)).alias("DM_HIGH"),
-        money(F.floor(c * 99 / 100)).alias("DM_LOW"),
-        _s(F.col("l_quantity").cast("bigint")).alias("DM_VOL"),
+    k = F.col("l_orderkey") % 40
+    close = money(c)
+    volume = F.concat(F.lit("|"), _s(F.col("l_quantity").cast("bigint")))
+    fields = [
+        F.to_date("l_shipdate").cast("string"),
+        symbol(F.col("l_partkey")),
+        F.when(k == 11, F.concat(F.lit('"'), close, F.lit('"'))).otherwise(close),
+        F.when(k == 13, F.lit("")).otherwise(money(F.floor(c * 101 / 100))),
+        money(F.floor(c * 99 / 100)),
     ]
     if batch > 1:
-        cols = [F.lit("I").alias("CDC_FLAG"),
-                _s(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("CDC_DSN"), *cols]
-    return li.select(*cols)
+        fields = [F.lit("I"), _s(F.col("l_orderkey") * 10 + F.col("l_linenumber")), *fields]
+    last = F.when(k == 7, F.lit("|")).when(k == 17, F.lit("")).when(k == 23, F.concat(volume, F.lit("|extra"))).otherwise(volume)
+    return li.select(F.concat(F.concat_ws("|", *fields), last).alias("value"))
 
 
 # ------------------------------------------------------------ raw files
@@ -218,7 +241,7 @@ def write_raw(spark: SparkSession, sf_dir: str, root: str | None = None) -> Lake
     quarter = F.floor((F.substring(stamp, 5, 2).cast("int") - 1) / 3) + 1
     fname = F.concat(F.lit("FINWIRE"), F.substring(stamp, 1, 4), F.lit("Q"), _s(quarter))
     staged = paths.raw("_finwire_staging")
-    (lines.select("value", fname.alias("fname"))
+    (lines.select("value", fname.alias("fname")).unionByName(junk_lines(spark, sf_dir))
           .write.mode("overwrite").partitionBy("fname").text(staged))
     # Audit companions: record counts per quarter file, same directory level.
     (lines.groupBy(fname.alias("fname"), F.substring("value", 16, 3).alias("rt")).count()
@@ -234,6 +257,6 @@ def write_raw(spark: SparkSession, sf_dir: str, root: str | None = None) -> Lake
             fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(paths.batch(1), st.getPath().getName()))
 
     for n in (1, 2, 3):
-        write_delimited(market_feed(spark, sf_dir, n), paths.batch(n, "DailyMarket.txt"))
+        write_lines(market_feed(spark, sf_dir, n), paths.batch(n, "DailyMarket.txt"))
     _WRITTEN[key] = paths
     return paths

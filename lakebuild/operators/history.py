@@ -8,11 +8,21 @@ Two physical shapes, same result:
 
 * ``split=None`` - one Exchange(key) + Sort + Window. A key's whole history
   lands in one task.
-* ``split="day"`` (default) - the window runs per (key, day) and the last row of
-  each (key, day) segment takes the first start of the key's next non-empty
-  segment, found on a per-(key, day) aggregate. A hot key is spread over as
-  many tasks as it has days, and the big side still shuffles once: the join
-  back is co-partitioned with the window's exchange.
+* ``split="day"`` (default) - boundary propagation by aggregates; no window
+  ever sees a wide row. A version that is not the last of those sharing its
+  (key, start) ends where it starts, so only two facts are needed per (key,
+  start): which row is its last, and the key's next start.
+
+  1. Equal rows are folded into one row with a count; everything after reads
+     this one shuffle, so the source is scanned once.
+  2. Per (key, start), the last row by the tie-break (``max_by``, partial
+     before the shuffle): a third of all rows on one (key, start) meets as one
+     row per task.
+  3. Next starts over the distinct starts only: within a (key, segment) by a
+     narrow window, from segment to segment by ``min(start)`` per (key,
+     segment). A hot key is spread over its segments.
+  4. The rows take both by one join on (key, start) that sits on two plain
+     shuffles, so AQE splits a hot pair.
 """
 
 from __future__ import annotations
@@ -24,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import open_end
+from .lookup import explode_copies
 
 _SPLITS = {
     "day": lambda ts: F.unix_date(F.to_date(ts)),
@@ -74,58 +85,50 @@ def with_validity(df: DataFrame, key: str | Sequence[str], start: str,
     ``copies`` names a column saying how many identical copies a row stands
     for (e.g. a lookup fan-out). Identical copies sort next to each other, so
     all but the last get an empty interval ``[start, start)`` and the last
-    gets the row's real end: the window runs on the distinct rows and the
-    copies are only materialised in the output.
+    gets the row's real end: the intervals are found on the distinct rows and
+    the copies are only materialised in the output.
     """
-    if copies:
-        inner = with_validity(df, key, start, [c for c in order_by if c != copies], end, current, split)
-        rep = F.sequence(F.lit(1), F.col(copies).cast("int"))
-        out = inner.withColumn("__copy", F.explode(rep))
-        # an earlier copy ends where its twin starts (a NULL start gives the open end, as LEAD would)
-        earlier = F.coalesce(F.col(start), open_end())
-        out = out.withColumn(end, F.when(F.col("__copy") < F.col(copies), earlier).otherwise(F.col(end)))
-        return out.withColumn(current, F.col(end) == open_end()).drop("__copy", copies)
     keys = [key] if isinstance(key, str) else list(key)
     if split is None:
-        w = Window.partitionBy(*keys).orderBy(*_order(start, order_by))
+        if copies:
+            df = explode_copies(df, copies).drop("__copy", copies)
+        w = Window.partitionBy(*keys).orderBy(*_order(start, [c for c in order_by if c != copies]))
         out = df.withColumn(end, F.coalesce(F.lead(start, 1).over(w), open_end()))
         return out.withColumn(current, F.col(end) == open_end())
     if split not in _SPLITS:
         raise ValueError(f"split must be None or one of {sorted(_SPLITS)}")
 
-    cols = df.columns
-    ts = F.col(start)
-    seg = F.coalesce(_SPLITS[split](ts).cast("long"), F.lit(_LOWEST_SEGMENT)).alias("__seg")
-    kx = _null_free_keys(df, keys)
-    kcols = [n for n, _ in kx]
-    # The encoded key replaces the key in the shuffled rows (decoded at the end).
-    enc = df.select(*[F.col(c) for c in cols if c not in keys], *[e.alias(n) for n, e in kx], seg)
-
-    w = Window.partitionBy(*kcols, "__seg").orderBy(*_order(start, order_by))
-    local = (enc.withColumn("__next", F.lead(start, 1).over(w))
-                .withColumn("__has_next", F.lead(F.lit(True), 1).over(w).isNotNull()))
-
-    # First start of every (key, segment), via the distinct (key, start) pairs.
-    # The inner aggregate sits one Project above the input, so Catalyst drops
-    # left joins in the input that only repeat rows (a history fan-out), and
-    # its partial step collapses repeats before the shuffle. The outer one
-    # reads the inner's aggregate output, which keeps the inner from being
-    # optimised away.
-    pairs = df.groupBy(*[e.alias(n) for n, e in kx], F.col(start).alias("__start")) \
-              .agg(F.max(start).alias("__s"))
-    seg_of_pair = F.coalesce(_SPLITS[split](F.col("__s")).cast("long"), F.lit(_LOWEST_SEGMENT))
-    firsts = pairs.groupBy(*kcols, seg_of_pair.alias("__seg")).agg(F.min("__s").alias("__first"))
-    wk = Window.partitionBy(*kcols).orderBy("__seg")
-    nexts = firsts.select(*kcols, "__seg", F.lead("__first", 1).over(wk).alias("__next_seg_start"))
-
-    joined = local.join(nexts, on=[*kcols, "__seg"], how="left")
-    end_col = F.when(F.col("__has_next"), F.coalesce(F.col("__next"), open_end())) \
-               .otherwise(F.coalesce(F.col("__next_seg_start"), open_end()))
-    decoded = {k: F.when((F.col("__kmask").bitwiseAND(F.lit(1 << i))) == 0, F.col(f"__k{i}"))
-               for i, k in enumerate(keys)}
-    return joined.select(*[decoded[c].alias(c) if c in decoded else F.col(c) for c in cols],
-                         end_col.alias(end)) \
-                 .withColumn(current, F.col(end) == open_end())
+    cols = [c for c in df.columns if c != copies]
+    order_by = [c for c in order_by if c != copies]
+    folded = df.groupBy(*cols).agg((F.sum(copies) if copies else F.count(F.lit(1))).cast("long").alias("__n"))
+    seg = F.coalesce(_SPLITS[split](F.col(start)).cast("long"), F.lit(_LOWEST_SEGMENT))
+    kx = _null_free_keys(df, [*keys, start])
+    names = [n for n, _ in kx]
+    # The row's own mark among those that share (key, start); the count is part of it.
+    mark = F.struct(F.xxhash64(*cols, "__n"), F.xxhash64(F.lit(1), *cols, "__n"))
+    rows = folded.select(*cols, "__n", *[c.alias(n) for n, c in kx], seg.alias("__seg"), mark.alias("__mark"))
+
+    tie_break = F.struct(*[F.col(c) for c in order_by], "__mark")
+    starts = rows.groupBy(*names, "__seg").agg(F.max_by("__mark", tie_break).alias("__last"), F.max(start).alias(start))
+    by_key = [n for n in names if n != names[-1] and n != "__kmask"]
+    # keys compare by value and by which of them are NULL; a NULL start is its own segment
+    key_mask = F.col("__kmask").bitwiseAND(F.lit((1 << len(keys)) - 1))
+    starts = starts.withColumn("__keymask", key_mask)
+    segment = Window.partitionBy("__keymask", *by_key, "__seg").orderBy(F.col(start).asc_nulls_first())
+    local = starts.withColumn("__next", F.lead(start, 1).over(segment))
+    # (the mark comes along so that both readers of ``starts`` are the same shuffle)
+    firsts = starts.groupBy("__keymask", *by_key, "__seg").agg(F.min(F.struct(F.col(start).alias("start"), "__last")).alias("__first"))
+    onward = Window.partitionBy("__keymask", *by_key).orderBy("__seg")
+    nexts = firsts.select("__keymask", *by_key, "__seg", F.lead("__first.start", 1).over(onward).alias("__later"))
+    found = local.join(nexts, ["__keymask", *by_key, "__seg"], "left") \
+                 .select(*names, "__last", F.coalesce("__next", "__later", open_end()).alias("__end"))
+
+    joined = rows.join(found, names)
+    earlier = F.coalesce(F.col(start), open_end())  # as LEAD onto a row with the same start would give
+    out = explode_copies(joined, "__n")
+    is_last = (F.col("__mark") == F.col("__last")) & (F.col("__copy") == F.col("__n"))
+    out = out.select(*cols, F.when(is_last, F.col("__end")).otherwise(earlier).alias(end))
+    return out.withColumn(current, F.col(end) == open_end())
 
 
 def current_only(df: DataFrame, current: str = "iscurrent") -> DataFrame:

@@ -21,7 +21,7 @@ from ..operators.lookup import resolve_reference
 from ..operators.temporal import point_in_time_join
 from ..paths import LakePaths
 from ..sinks import write_split, write_table
-from ..sources import list_matching, read_delimited, read_lines, read_market_batch, read_table
+from ..sources import list_matching, read_delimited, read_lines, read_market_batch, read_table, split_corrupt
 
 FINWIRE_GLOB = "Batch*/FINWIRE*Q[1-4]"
 FINWIRE_REGEX = r"FINWIRE\d{4}Q[1-4]\b"
@@ -72,7 +72,7 @@ def build_dim_company(cmp: DataFrame, industry: DataFrame, how: str = "inner",
 # ---------------------------------------------------------------- PL4
 def build_dim_security(sec: DataFrame, dim_company: DataFrame, versions: str = "all",
                        skip_nulls: bool = False, on_error: str = "fail",
-                       split: str | None = "day") -> DataFrame:
+                       split: str | None = "day", period: str | None = "year") -> DataFrame:
     """dimsecurity: security versions keyed to the company they reference.
 
     ``versions="all"`` reproduces the reference: the company reference joins
@@ -81,7 +81,7 @@ def build_dim_security(sec: DataFrame, dim_company: DataFrame, versions: str = "
     at = parse_timestamp("PTS", on_error=on_error)
     # The fan-out copies stay a count until after the window (see with_validity).
     r = resolve_reference(sec, "CO_NAME_OR_CIK", dim_company, "Companyid", "Name",
-                          out="company_ref_id", versions=versions, at=at, copies="__copies")
+                          out="company_ref_id", versions=versions, at=at, copies="__copies", period=period)
     dim = r.select(
         concat_keys("SYMBOL", "EX_ID", "company_ref_id", skip_nulls=skip_nulls).alias("SK_SecurityID"),
         F.col("SYMBOL"),
@@ -113,11 +113,11 @@ FINANCIAL_COLUMNS = (
 
 
 def build_financial(fin: DataFrame, dim_company: DataFrame, versions: str = "all",
-                    on_error: str = "fail") -> DataFrame:
+                    on_error: str = "fail", period: str | None = "year") -> DataFrame:
     """financial: quarterly figures keyed to the company they reference."""
     at = parse_timestamp("PTS", on_error=on_error) if versions == "as_of" else None
     r = resolve_reference(fin, "CO_NAME_OR_CIK", dim_company, "Companyid", "Name",
-                          out="company_ref_id", versions=versions, at=at)
+                          out="company_ref_id", versions=versions, at=at, period=period)
     return r.select(F.col("company_ref_id").alias("SK_CompanyID"),
                     *[F.col(s).alias(t) for s, t in FINANCIAL_COLUMNS])
 
@@ -128,12 +128,16 @@ PLACEHOLDER_MEASURES = ("PERatio", "Yield", "FiftyTwoWeekHigh", "SK_FiftyTwoWeek
 
 
 def build_fact_market_history(market: DataFrame, dim_security: DataFrame, how: str = "inner",
-                              on_error: str = "fail", period: str | None = "year") -> DataFrame:
+                              on_error: str = "fail", period: str | None = "year",
+                              placeholders: str = "int") -> DataFrame:
     """FactMarketHistory: each market row with the security version valid on its day.
 
     ``market`` is the batch union (see ``union_batches``) with ``BatchID``;
-    ``period`` is that of ``point_in_time_join``.
+    ``period`` is that of ``point_in_time_join``. The placeholder measures are
+    the number 1, or the text '1' with ``placeholders="text"``.
     """
+    if placeholders not in ("int", "text"):
+        raise ValueError("placeholders must be int|text")
     day = parse_date("DM_DATE", on_error=on_error)
     j = point_in_time_join(market, dim_security, "DM_S_SYMB", "SYMBOL", at=day,
                            dim_cols=["SK_SecurityID", "SK_CompanyID"], how=how, period=period)
@@ -142,7 +146,7 @@ def build_fact_market_history(market: DataFrame, dim_security: DataFrame, how: s
         F.col("SK_CompanyID"),
         F.col("DM_DATE").alias("SK_DateID"),
         F.year(day).alias("YearID"),
-        *[F.lit(1).alias(m) for m in PLACEHOLDER_MEASURES],
+        *[F.lit(1 if placeholders == "int" else "1").alias(m) for m in PLACEHOLDER_MEASURES],
         F.col("DM_CLOSE").alias("ClosePrice"),
         F.col("DM_HIGH").alias("DayHigh"),
         F.col("DM_LOW").alias("DayLow"),
@@ -160,18 +164,19 @@ def stage_industry(spark: SparkSession, paths: LakePaths, fmt: str = "parquet")
 
 def stage_finwire(spark: SparkSession, paths: LakePaths, typed: bool = False, fmt: str = "parquet",
                   glob: str = FINWIRE_GLOB, name_regex: str | None = FINWIRE_REGEX,
-                  staged: bool = True) -> None:
-    """PL2: raw FINWIRE<yyyy>Q<n> files -> bronze finwire_cmp / _sec / _fin.
+                  staged: bool = True, trim: str = "spaces") -> dict[str, int]:
+    """PL2: raw FINWIRE<yyyy>Q<n> files -> bronze finwire_cmp / _sec / _fin / _rejects.
 
     ``staged`` reads the raw text once into record-type partitions, so each
-    of the three tables is cut from its own partition (see ``write_split``).
+    of the tables is cut from its own partition (see ``write_split``). Returns
+    the lines written per table; every line read is in one of them.
     """
     lines = read_lines(spark, paths.raw(glob), name_regex=name_regex)
     targets = {"CMP": (LAYOUT_CMP, paths.bronze("finwire_cmp")),
                "SEC": (LAYOUT_SEC, paths.bronze("finwire_sec")),
                "FIN": (LAYOUT_FIN, paths.bronze("finwire_fin"))}
-    write_split(lines, targets, typed=typed, fmt=fmt,
-                staging=paths.bronze("_finwire_by_type") if staged else None)
+    return write_split(lines, targets, typed=typed, fmt=fmt, trim=trim, rejects=paths.bronze("finwire_rejects"),
+                       staging=paths.bronze("_finwire_by_type") if staged else None)
 
 
 def _found_batches(spark: SparkSession, paths: LakePaths) -> dict[int, str]:
@@ -184,24 +189,39 @@ def _found_batches(spark: SparkSession, paths: LakePaths) -> dict[int, str]:
     return found
 
 
-def market_batches(spark: SparkSession, paths: LakePaths,
-                   batch_files: Mapping[int, str] | None = None) -> list[tuple[DataFrame, str]]:
+def market_batches(spark: SparkSession, paths: LakePaths, batch_files: Mapping[int, str] | None = None,
+                   corrupt: str | None = None) -> list[tuple[DataFrame, str]]:
     """(frame, BatchID) per DailyMarket batch; batch 1 is full, later ones incremental.
 
     ``batch_files`` maps batch number to its path; by default every
     ``BatchN/DailyMarket.txt`` found is a batch, and a gap in the numbers is an error.
+    ``corrupt`` names a column that keeps lines of a wrong field count whole.
     """
     files = batch_files or _found_batches(spark, paths)
-    return [(read_market_batch(spark, p, incremental=n > 1), str(n)) for n, p in sorted(files.items())]
+    return [(read_market_batch(spark, p, incremental=n > 1, corrupt=corrupt), str(n)) for n, p in sorted(files.items())]
 
 
 def run_all(spark: SparkSession, paths: LakePaths, fmt: str = "parquet", typed: bool = False,
             distinct_batches: bool = False, company_join: str = "inner",
             steps: Sequence[str] = ("industry", "finwire", "dim_company", "dim_security",
                                     "financial", "fact"),
-            parallel: bool = True, timings: dict | None = None) -> dict[str, str]:
+            parallel: bool = True, timings: dict | None = None, *,
+            versions: str = "all", fact_how: str = "inner", skip_nulls: bool = False,
+            on_error: str = "fail", split: str | None = "day", period: str | None = "year",
+            glob: str = FINWIRE_GLOB, name_regex: str | None = FINWIRE_REGEX, trim: str = "spaces",
+            batch_files: Mapping[int, str] | None = None, quarantine: bool = False,
+            placeholders: str = "int") -> dict[str, str]:
     """Run PL1-PL6, every step reading what the previous one wrote.
 
+    The options are those of the steps: ``versions`` of the company lookups,
+    ``fact_how`` of the point-in-time join, ``skip_nulls`` of the security
+    key, ``on_error`` of all date and timestamp parsing, ``split`` and
+    ``period`` of the histories and interval joins, ``glob`` / ``name_regex``
+    / ``trim`` of the FINWIRE feed, ``batch_files`` and ``placeholders`` of
+    the fact. With ``quarantine`` market lines without exactly the expected
+    fields go to the bronze table ``dailymarket_rejects`` instead of being
+    loaded with NULLs.
+
     Steps that do not depend on each other (industry and finwire; financial
     and dim_security -> fact) are submitted as concurrent Spark jobs, each in
     its own fair-scheduler pool, so one step's tail tasks overlap the next
@@ -214,26 +234,34 @@ def run_all(spark: SparkSession, paths: LakePaths, fmt: str = "parquet", typed:
         stage_industry(spark, paths, fmt)
 
     def finwire():
-        stage_finwire(spark, paths, typed=typed, fmt=fmt)
+        stage_finwire(spark, paths, typed=typed, fmt=fmt, glob=glob, name_regex=name_regex, trim=trim)
 
     def dim_company():
         dc = build_dim_company(read_table(spark, paths.bronze("finwire_cmp"), fmt),
-                               read_table(spark, paths.bronze("industry"), fmt), how=company_join)
+                               read_table(spark, paths.bronze("industry"), fmt), how=company_join,
+                               on_error=on_error, split=split)
         write_table(dc, paths.silver("dimcompany"), fmt)
 
     def dim_security():
         ds = build_dim_security(read_table(spark, paths.bronze("finwire_sec"), fmt),
-                                read_table(spark, paths.silver("dimcompany"), fmt))
+                                read_table(spark, paths.silver("dimcompany"), fmt), versions=versions,
+                                skip_nulls=skip_nulls, on_error=on_error, split=split, period=period)
         write_table(ds, paths.silver("dimsecurity"), fmt)
 
     def financial():
         fi = build_financial(read_table(spark, paths.bronze("finwire_fin"), fmt),
-                             read_table(spark, paths.silver("dimcompany"), fmt))
+                             read_table(spark, paths.silver("dimcompany"), fmt), versions=versions,
+                             on_error=on_error, period=period)
         write_table(fi, paths.silver("financial"), fmt)
 
     def fact():
-        market = union_batches(market_batches(spark, paths), distinct=distinct_batches)
-        f = build_fact_market_history(market, read_table(spark, paths.silver("dimsecurity"), fmt))
+        mark = "corrupt_line" if quarantine else None
+        market = union_batches(market_batches(spark, paths, batch_files, corrupt=mark), distinct=distinct_batches)
+        if quarantine:
+            market, bad = split_corrupt(market, mark)
+            write_table(bad.select("BatchID", F.col(mark).alias("line")), paths.bronze("dailymarket_rejects"), fmt)
+        f = build_fact_market_history(market, read_table(spark, paths.silver("dimsecurity"), fmt), how=fact_how,
+                                      on_error=on_error, period=period, placeholders=placeholders)
         write_table(f, paths.silver("FactMarketHistory"), fmt, partition_by=["YearID"])
 
     fns = {"industry": industry, "finwire": finwire, "dim_company": dim_company,
@@ -260,7 +288,8 @@ def run_all(spark: SparkSession, paths: LakePaths, fmt: str = "parquet", typed:
     spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
 
     out = {}
-    for name in ("industry", "finwire_cmp", "finwire_sec", "finwire_fin"):
+    for name in ("industry", "finwire_cmp", "finwire_sec", "finwire_fin", "finwire_rejects",
+                 *(["dailymarket_rejects"] if quarantine else [])):
         out[name] = paths.bronze(name)
     for name in ("dimcompany", "dimsecurity", "financial", "FactMarketHistory"):
         out[name] = paths.silver(name)

@@ -3,43 +3,84 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..layouts import CDC_COLUMNS, DAILY_MARKET_COLUMNS
+from ..versions import resolve_version
 
 
-def string_schema(columns: Sequence[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
+def string_schema(columns: Sequence[str], types: Mapping[str, str] | None = None) -> T.StructType:
+    """All strings, but for the columns that ``types`` gives a Spark SQL type."""
+    types = types or {}
+    return T.StructType([T.StructField(c, T._parse_datatype_string(types[c]) if c in types else T.StringType(), True) for c in columns])
 
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str],
-                   sep: str = "|", **options) -> DataFrame:
-    """Headerless delimited text, columns named by position, every value a string.
+                   sep: str = "|", types: Mapping[str, str] | None = None, **options) -> DataFrame:
+    """Headerless delimited text, columns named by position, every value a string
+    unless ``types`` names a type for it (a text that is no such value is NULL).
 
     The schema is given, so nothing is inferred and no extra pass is made over
     the input; files are split into ``spark.sql.files.maxPartitionBytes``
     chunks and read in parallel.
     """
-    reader = (spark.read.schema(string_schema(columns))
+    reader = (spark.read.schema(string_schema(columns, types))
               .option("sep", sep).option("header", "false"))
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.csv(path if isinstance(path, str) else list(path))
 
 
-def read_market_batch(spark: SparkSession, path: str, incremental: bool, sep: str = "|") -> DataFrame:
-    """A DailyMarket batch; incremental batches lead with CDC_FLAG, CDC_DSN (SC5).
+def parse_delimited(lines: DataFrame, columns: Sequence[str], sep: str = "|", line_col: str = "value",
+                    corrupt: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Headerless delimited lines -> string columns, for batch and streaming line sources alike.
 
-    The CDC columns are dropped unread, so column pruning keeps them out of
-    the row the scan produces.
+    Spark's CSV parser in PERMISSIVE mode: an empty field is NULL, a quoted
+    field may hold the separator, a short line leaves its last columns NULL, a
+    long one loses its surplus. Lines of white space and control characters
+    only are skipped, as the file reader does. With ``corrupt`` every line
+    that does not have exactly ``columns`` fields is also kept whole in a
+    column of that name (NULL for good lines), so nothing is lost unseen.
     """
-    cols = (*CDC_COLUMNS, *DAILY_MARKET_COLUMNS) if incremental else DAILY_MARKET_COLUMNS
-    df = read_delimited(spark, path, cols, sep=sep)
-    return df.drop(*CDC_COLUMNS) if incremental else df
+    mark = corrupt or "__corrupt"
+    schema = ", ".join(f"`{c}` string" for c in (*columns, mark))
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": mark}
+    rec = F.from_csv(F.col(line_col), schema, options)
+    rows = lines.filter(F.col(line_col).rlike(r"[^\x00-\x20]")).select(*keep, rec.alias("__rec"))
+    return rows.select(*keep, *[F.col(f"__rec.`{c}`").alias(c) for c in (*columns, *([corrupt] if corrupt else []))])
+
+
+def parse_market_lines(lines: DataFrame, incremental: Column | bool, sep: str = "|", line_col: str = "value",
+                       corrupt: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """DailyMarket lines -> the market columns (SC5), whatever kind of batch they come from.
+
+    A line of an incremental batch leads with CDC_FLAG and CDC_DSN, which are
+    never applied; a line of a full batch is read as one with both empty, so
+    that one parser serves both. ``incremental`` may differ from line to line.
+    """
+    inc = incremental if isinstance(incremental, Column) else F.lit(incremental)
+    led = F.when(inc, F.col(line_col)).otherwise(F.concat(F.lit(sep * 2), F.col(line_col)))
+    blank = ~F.col(line_col).rlike(r"[^\x00-\x20]")
+    same = lines.filter(~blank).withColumns({"__line": led, "__inc": inc})
+    df = parse_delimited(same, (*CDC_COLUMNS, *DAILY_MARKET_COLUMNS), sep, "__line", corrupt, keep=[*keep, "__inc"])
+    if corrupt:
+        df = df.withColumn(corrupt, F.when(F.col("__inc"), F.col(corrupt)).otherwise(F.substr(F.col(corrupt), F.lit(2 * len(sep) + 1))))
+    return df.drop(*CDC_COLUMNS, "__inc")
+
+
+def read_market_batch(spark: SparkSession, path: str, incremental: bool, sep: str = "|",
+                      corrupt: str | None = None) -> DataFrame:
+    """A DailyMarket batch; incremental batches lead with CDC_FLAG, CDC_DSN (SC5)."""
+    return parse_market_lines(spark.read.text(path), incremental, sep, corrupt=corrupt)
+
+
+def split_corrupt(df: DataFrame, corrupt: str) -> tuple[DataFrame, DataFrame]:
+    """(the good rows, without the corrupt-record column; the corrupt rows, with it)."""
+    return df.filter(F.col(corrupt).isNull()).drop(corrupt), df.filter(F.col(corrupt).isNotNull())
 
 
 def list_matching(spark: SparkSession, glob: str, name_regex: str | None = None) -> list[str]:
@@ -80,12 +121,14 @@ def read_lines(spark: SparkSession, glob: str, name_regex: str | None = None,
     if line_col != "value":
         df = df.withColumnRenamed("value", line_col)
     if with_source:
-        rx = name_regex or r"[^/]+"
-        src = F.regexp_extract(F.col("_metadata.file_path"), rx.replace(r"\b", ""), 0)
+        # the file, or the folder that holds it as part files
+        src = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+?)(?:/part-[^/]*)?$", 1)
         df = df.select(F.col(line_col), src.alias("source_file"))
     return df
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A stored table by path (SC4); ``fmt="delta"`` where the Delta jar is present."""
-    return spark.read.format(fmt).load(path)
+    """A stored table by path (SC4): the published version where the table has versions
+    (see ``sinks.write_table``), else the folder itself; ``fmt="delta"`` where the Delta
+    jar is present."""
+    return spark.read.format(fmt).load(path if fmt == "delta" else resolve_version(spark, path) or path)

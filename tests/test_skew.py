@@ -144,3 +144,57 @@ def test_hot_reference_as_of_is_split_and_exact(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_hot_key_and_start_is_split_and_exact(spark):
+    """A third of all rows share one (key, start) and differ in the tie-break; others are exact copies."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        hot = F.col("id") % 3 == 0
+        day = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+        df = spark.range(0, 30000, 1, 8).select(
+            F.when(hot, "HOT").otherwise((F.col("id") % 500).cast("string")).alias("k"),
+            F.when(hot, day).otherwise(day + F.make_dt_interval(F.col("id") % 365)).alias("ts"),
+            F.when(F.col("id") % 5 == 0, -1).otherwise(F.col("id")).alias("n"))
+        df = df.unionByName(spark.createDataFrame([("HOT", None, 7)], "k string, ts timestamp_ntz, n long")) \
+               .unionByName(df.where("k = 'HOT' and n = -1").limit(1).withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(9))))
+        out = with_validity(df, "k", "ts", ["n"])
+        got = out.collect()
+        final = out._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in final, final
+        one = [r for r in got if r.k == "HOT" and r.ts is not None and r.ts.day == 1 and r.end_timestamp != r.ts]
+        assert [(r.n, r.end_timestamp.day, r.iscurrent) for r in one] == [(29999 - 29999 % 3, 10, False)]
+        want = with_validity(df, "k", "ts", ["n"], split=None).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def test_history_scans_its_source_once(spark, tmp_path):
+    """dim_company: one FileScan per source, the second reader of the rows reuses their shuffle."""
+    from lakebuild.layouts import LAYOUT_CMP
+    from lakebuild.functions import parse_fixed_width
+    from lakebuild import fixtures as fx
+    from lakebuild.plans import build_dim_company
+    sf = "/root/testdata/sf0.001"
+    cmp, ind = str(tmp_path / "cmp"), str(tmp_path / "ind")
+    parse_fixed_width(fx.cmp_lines(spark, sf), LAYOUT_CMP, "CMP").write.parquet(cmp)
+    fx.industry_feed(spark, sf).write.parquet(ind)
+    dim = build_dim_company(spark.read.parquet(cmp), spark.read.parquet(ind))
+    assert dim.count() > 0
+    dim.collect()
+    final = dim._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan") == 2, final
