@@ -65,15 +65,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per document, fp as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+    """(doc_id, fp[, text_key]): one row per document, fp as a signed long; ``text_key`` tells texts under one id apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names)
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    names = ["doc_id", "fp"] + ["text_key"] * with_key
+    src = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"), *[F.xxhash64(text_col).alias("text_key")] * with_key)
+    return src.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 # ---------------------------------------------------------------- the trees
@@ -218,21 +219,22 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, shard_points: int = 512
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) per document; the component id is the smallest id reachable."""
-    prints = cut(fingerprints(docs, shingle, id_col, text_col))
+                   id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id[, text_key]) per document; the component id is the smallest id reachable."""
+    prints = cut(fingerprints(docs, shingle, id_col, text_col, with_key))
     first = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     found = connected_components(links(first.select("fp"), max_bits))
     named = first.join(found, first["fp"] == found["node"], "left") \
         .select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_fp = named.join(smallest, "component").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id", *["text_key"] * with_key)
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents without those whose group has a smaller id; of repeated rows with the
-    kept id all stay, as do rows with a null id."""
-    groups = simhash_groups(docs.select("doc_id", "text"), shingle, max_bits)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without those whose group has a smaller id. A document is a row's id and text: rows that share
+    an id are judged each by its own text; of repeated rows with the kept id all stay, as do rows with a null id."""
+    groups = simhash_groups(docs.select("doc_id", "text"), shingle, max_bits, with_key=True)
+    gone = groups.where("doc_id <> component_id").select("doc_id", "text_key").distinct().alias("gone")
+    on = (F.col("d.doc_id").cast("long") == F.col("gone.doc_id")) & (F.xxhash64("d.text") == F.col("gone.text_key"))
+    return docs.alias("d").join(gone, on, "left_anti")
