@@ -373,6 +373,6 @@ def scores(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame
     b = sums.alias("b")
     own = F.col("n_tokens") / F.col("n_all")  # below one only where equal rows share their sums
     return scored.alias("a").join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.row_key") == F.col("b.row_key"))).select(
-        "a.doc_id", "held_out", "n_tokens", (F.col("n_known") * own).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        "a.doc_id", "held_out", "n_tokens", F.expr("n_known * n_tokens div n_all").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("log_sum") * own - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
         (F.col("model_sum") + F.col("log_sum") * own - F.col("head_sum") - F.col("n_rare") * float(np.log10(model.rare))).alias("score"))
