@@ -23,6 +23,7 @@ input, as a group's pieces are sorted before packing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,12 @@ MAX_SEGMENTS = 128
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: White space runs from here on go to ``tokenizers`` itself: the pattern's look-ahead backtracks
+#: over a run, and tiktoken's regex gives up at about a million steps.
+LONG_RUN = 100_000
+_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
+
+
 def _byte_of() -> dict[str, int]:
     """The printable characters that stand for bytes in a byte-level vocabulary: printable Latin-1
     bytes stand for themselves, the others take the code points from 256 on, in order."""
@@ -58,6 +65,7 @@ class Encoder:
 
         import tiktoken
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         added = spec.get("added_tokens", [])
@@ -80,9 +88,19 @@ class Encoder:
         return kept[path]
 
     def ids(self, text: str, special: bool = False) -> np.ndarray:
-        found = self.encoding.encode(text, allowed_special="all") if special else self.encoding.encode_ordinary(text)
+        if len(text) >= LONG_RUN and _LONG_RUN.search(text):
+            found = self.slow(special).encode(text, add_special_tokens=False).ids
+        else:
+            found = self.encoding.encode(text, allowed_special="all") if special else self.encoding.encode_ordinary(text)
         return np.array(found, "<u4")
 
+    def slow(self, special: bool):
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(self.path)
+        tok.encode_special_tokens = not special
+        return tok
+
 
 def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, separator: int = 0,
            id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special: bool = False) -> DataFrame:
