@@ -246,18 +246,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.collect_list(F.struct("start", "length")).alias("drawn_ranges")).drop("source_no", "time")
     # a plain key on both sides, so that numbering the copies and the join share one shuffle of the texts
     no_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.withColumns({"drawn_id": no_id, "drawn_key": _row_key()})
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), no_id.alias("drawn_id"), _row_key().alias("drawn_key"))
     keyed = keyed.withColumn("drawn_copy", F.row_number().over(Window.partitionBy("drawn_id", "drawn_key").orderBy("drawn_key")))
     drawn = drawn.select(no_id.alias("drawn_id"), F.col("row_key").alias("drawn_key"), F.col("copy").alias("drawn_copy"), "drawn_ranges")
-    joined = keyed.join(drawn, ["drawn_id", "drawn_key", "drawn_copy"]).select(*docs.columns, "drawn_ranges")
-    at, names = {c: i for i, c in enumerate(joined.columns)}, docs.columns
+    joined = keyed.join(drawn, ["drawn_id", "drawn_key", "drawn_copy"]).select("row", "drawn_ranges")
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ranges = b.column(at["drawn_ranges"]).to_pylist()
-            text = [_cut_text(t, [(r["start"], r["length"]) for r in rs]) for t, rs in zip(b.column(at["text"]).to_pylist(), ranges)]
-            cols = [b.column(at[c]) for c in names]
-            cols[at["text"]] = pa.array(text, pa.string())
+            cols, ranges = b.column(0).flatten(), b.column(1).to_pylist()
+            at = names.index("text")
+            text = [_cut_text(t, [(r["start"], r["length"]) for r in rs]) for t, rs in zip(cols[at].to_pylist(), ranges)]
+            cols[at] = pa.array(text, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
     out = joined.mapInArrow(run, docs.schema)
