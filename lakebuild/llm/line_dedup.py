@@ -39,9 +39,11 @@ from pyspark.sql import functions as F
 from lakebuild.llm.common import cut, let, spaced, text_of
 from lakebuild.llm.components import connected_components
 
-MAX_EDITS, MIN_CHARS = 2, 24
-#: Letters whose counts are compared, four bits each.
-LETTERS = "eaot"
+MAX_EDITS, MIN_CHARS = 2, 1
+#: Letters whose counts are compared, four bits each in one long.
+LETTERS = "eaotnrihsdlucmg"
+#: Bits of the filter of segment keys; in words of 64 at most 2**20 rows are broadcast, whatever the input.
+FILTER_BITS = 26
 
 
 def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -62,16 +64,16 @@ def line_key(line: Column) -> Column:
 
 
 def _profile(line: Column) -> Column:
-    """Counts of the letters modulo 16, packed into one int."""
-    packed = F.lit(0)
+    """Counts of the letters modulo 16, packed into one long."""
+    packed = F.lit(0).cast("long")
     for i, c in enumerate(LETTERS):
-        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 16
+        count = ((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 16).cast("long")
         packed = packed.bitwiseOR(F.shiftleft(count, 4 * i))
     return packed
 
 
 def _profile_gap(a: Column, b: Column) -> Column:
-    """How far the letter counts are apart, at least (differences are taken modulo 256)."""
+    """How far the letter counts are apart, at least (differences are taken modulo 16)."""
     total = F.lit(0)
     for i in range(len(LETTERS)):
         d = (F.shiftrightunsigned(a, 4 * i).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * i).bitwiseAND(F.lit(15)) + 16) % 16
@@ -198,20 +200,37 @@ def _all_keys(keys, text: Column, n: Column, max_edits: int) -> Column:
     return F.concat(*[F.when(_keyed_for(n, e, max_edits), keys(text, n, e)).otherwise(none) for e in range(1, max_edits + 1)], none)
 
 
+def key_filter(segments: DataFrame) -> DataFrame:
+    """(word, any_bits, twice_bits): a bitmap of the hashed keys in ``segments`` and one of those that occur twice or more."""
+    slot = F.pmod("segment", F.lit(1 << FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    counted = segments.groupBy("segment").agg(F.count("*").alias("n"))
+    return counted.groupBy(F.floor(slot / 64).alias("word")).agg(
+        F.bit_or(bit).alias("any_bits"), F.bit_or(F.when(F.col("n") > 1, bit).otherwise(F.lit(0).cast("long"))).alias("twice_bits"))
+
+
 def edit_links(texts: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """(a, b): ids of different lines (columns id, line; equal rows count once) within the edits that the shorter one
     allows, each pair once.
 
-    All uses of ``distinct`` read its three columns, so its shuffle by id is made once and reused. The keys of the two
-    sides are shuffled apart (Spark reuses no shuffle above an explode), so the index side holds own segments only."""
+    Most keys meet no other. A bitmap of the own segments, small and of one size for any input, takes most of these out
+    before the shuffle: a probe goes on if some line owns a segment of that key's bit, an own segment if another line owns
+    one. A bit shared by chance only lets a key through; the join itself is exact. All uses of ``distinct`` read its three
+    columns, so its shuffle by id is made once and reused. The keys of the two sides are shuffled apart (Spark reuses no
+    shuffle above an explode), so the index side holds own segments only."""
     distinct = texts.select("id", "line", _profile(F.col("line")).alias("profile")).dropDuplicates(["id"])
     measured = distinct.withColumn("n", F.length("line"))
     line, n = F.col("line"), F.col("n")
     own, probes = (_all_keys(keys, line, n, max_edits) for keys in (index_keys, probe_keys))
     n_own = sum((F.when(_keyed_for(n, e, max_edits), e + 1).otherwise(0) for e in range(1, max_edits + 1)), F.lit(0))
     index = measured.select("id", "profile", F.explode(own).alias("segment"))
+    filtered = cut(key_filter(index.select("segment", "id", "profile")))
     looked_up = measured.select("id", "profile", n_own.alias("n_own"), F.posexplode(F.concat(own, probes)).alias("no", "segment")) \
         .select("id", "profile", (F.col("no") < F.col("n_own")).alias("own"), "segment")
+    slot = F.pmod("segment", F.lit(1 << FILTER_BITS))
+    bits = F.when(F.col("own"), F.col("twice_bits")).otherwise(F.col("any_bits"))
+    hit = F.call_function("shiftright", bits, (slot % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    looked_up = looked_up.join(F.broadcast(filtered), F.floor(slot / 64) == F.col("word")).where(hit).select("id", "profile", "own", "segment")
     near = _profile_gap(F.col("p.profile"), F.col("i.profile")) <= 2 * max_edits
     other = F.when(F.col("p.own"), F.col("p.id") < F.col("i.id")).otherwise(F.col("p.id") != F.col("i.id"))  # two own segments meet twice
     pairs = looked_up.alias("p").join(index.alias("i"), (F.col("p.segment") == F.col("i.segment")) & other & near) \

@@ -77,7 +77,7 @@ def test_line_distance_and_links(spark):
 def test_line_dedup_removes_later_copies(make_docs):
     line = "this is a long enough line to compare"
     docs = make_docs(ODD + [(20, f"{line}\nshort", "a"), (21, f"keep this other long line please\n{line}s\nshort", "a"), (22, line, "b")])
-    got = {r["doc_id"]: r for r in line_dedup.drop_duplicate_lines(docs).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.drop_duplicate_lines(docs, min_chars=24).collect()}
     assert got[20]["text"] == f"{line}\nshort" and got[22]["text"] == "" and got[22]["n_chars"] == 0
     assert got[21]["text"] == "keep this other long line please\nshort"
     assert got[1]["text"] is None and got[5]["text"] == LONG and got[20]["row_key"] == "clash"
