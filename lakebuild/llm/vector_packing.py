@@ -103,7 +103,7 @@ class Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, separator: int = 0,
-           id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special: bool = False) -> DataFrame:
+           id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, loss, key[, ids]): ids as little-endian 32-bit.
 
     ``loss``: tokens of the piece that carry loss, all but the separator. ``key`` identifies the row's content."""
