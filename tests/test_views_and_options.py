@@ -1,0 +1,64 @@
+"""Operators as SQL views, and the options of run_all from the command line."""
+import pytest
+from pyspark.sql import functions as F
+
+from lakebuild import fixtures as fx
+from lakebuild.__main__ import main
+from lakebuild.operators import resolve_reference, with_validity
+from lakebuild.sinks import register_views
+from lakebuild.sources import read_table
+from lakebuild.views import register_history, register_resolution
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture()
+def dim(spark):
+    v = spark.sql("""SELECT * FROM VALUES ('1', 'Acme', timestamp_ntz'2020-01-01'), ('1', 'Acme', timestamp_ntz'2021-01-01'),
+                     ('2', 'Beta', timestamp_ntz'2020-01-01'), ('3', '2', timestamp_ntz'2020-06-01') AS t(cid, name, effective_timestamp)""")
+    return with_validity(v, "cid", "effective_timestamp", ["name"])
+
+
+@pytest.mark.parametrize("versions", ["all", "current"])
+def test_resolution_view_joins_like_the_operator(spark, dim, versions):
+    facts = spark.sql("SELECT * FROM VALUES (1, '1'), (2, 'Beta'), (3, '2'), (4, 'x'), (5, NULL) AS t(fid, ref)")
+    register_views(spark, v_dim=dim, v_facts=facts)
+    register_resolution(spark, "v_resolution", "v_dim", "cid", "name", versions)
+    got = spark.sql("SELECT fid, r.hit, nvl(r.copies, 1L) AS n FROM v_facts LEFT JOIN v_resolution r ON r.value = ref")
+    want = resolve_reference(facts, "ref", dim, "cid", "name", out="hit", versions=versions, copies="n").select("fid", "hit", "n")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_resolution_timeline_view(spark, dim):
+    register_views(spark, v_dim=dim)
+    register_resolution(spark, "v_timeline", "v_dim", "cid", "name", "as_of")
+    rows = spark.sql("SELECT value, hit, copies, CAST(valid_from AS STRING) AS f FROM v_timeline WHERE value IN ('2', 'Acme') ORDER BY 1, 4").collect()
+    # from June the id 2 is also somebody's name: still one id hit, once
+    assert {(r.value, r.hit, r.copies) for r in rows} == {("2", "2", 1), ("Acme", "1", 1)}
+    with pytest.raises(ValueError):
+        register_resolution(spark, "x", "v_dim", "cid", "name", "newest")
+
+
+def test_history_view(spark, dim):
+    register_views(spark, v_versions=dim.drop("end_timestamp", "iscurrent"))
+    register_history(spark, "v_history", "v_versions", "cid", "effective_timestamp", ["name"])
+    assert spark.sql("SELECT * FROM v_history").exceptAll(dim).count() == 0
+    assert spark.sql("SELECT count(*) AS n FROM v_history WHERE iscurrent").first().n == 3
+
+
+def test_every_option_is_reachable_from_the_command_line(spark, tmp_path, capsys):
+    raw = fx.write_raw(spark, SF, root="file:" + str(tmp_path / "landing"))
+    root = "file:" + str(tmp_path / "lake")
+    main(["all", "--root", root, "--raw-root", raw.root, "--versions", "as_of", "--fact-how", "left", "--skip-nulls", "--on-error", "null",
+          "--split", "none", "--period", "none", "--glob", "Batch1/FINWIRE*", "--trim", "whitespace", "--quarantine", "--placeholders", "text",
+          "--batch-file", "1=" + raw.batch(1, "DailyMarket.txt"), "--batch-file", "2=" + raw.batch(3, "DailyMarket.txt")])
+    out = dict(line.split("\t") for line in capsys.readouterr().out.strip().splitlines())
+    fact, bad = read_table(spark, out["FactMarketHistory"]), read_table(spark, out["dailymarket_rejects"])
+    li = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_linenumber <= 3 or l_linenumber >= 6")
+    assert bad.count() == li.where("l_orderkey % 40 in (17, 23)").count() > 0
+    assert fact.count() + bad.count() == li.count()  # left join, one company version per record: no line lost or doubled
+    assert dict(fact.dtypes)["PERatio"] == "string" and fact.where("SK_SecurityID is null").count() > 0
+    sec = read_table(spark, out["dimsecurity"])
+    assert sec.where(F.col("SK_CompanyID").isNull() & F.col("SK_SecurityID").isNull()).count() == 0  # NULL-skipping keys
+    assert sec.count() == read_table(spark, out["finwire_sec"]).count()
+    assert read_table(spark, out["finwire_rejects"]).count() == spark.read.parquet(f"{SF}/supplier.parquet").count()
