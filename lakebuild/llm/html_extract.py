@@ -45,10 +45,9 @@ BOILER_NAMES = set("""ad ads advert adverts advertisement banner breadcrumb brea
     navbar navigation newsletter notice notices notification popup promo promoted related search share sharing sidebar
     social sponsor sponsored subscribe toolbar widget""".split())
 
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(TO_THE_END) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
-                   r"|<(?:" + "|".join(NESTING + FLAT) + r")\b[^>]*/>"
-                   r"|<(" + "|".join(NESTING) + r")\b[^>]*>.*?</\2\s*>"
-                   r"|<(" + "|".join(FLAT) + r")\b[^>]*>(?:(?!<\3\b).)*?</\3\s*>|<[!?][^>]*>", re.S | re.I)
+_OPENS = re.compile(r"<!--|<[!?]|<(" + "|".join(TO_THE_END + NESTING + FLAT) + r")\b", re.I)
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in TO_THE_END + NESTING + FLAT}
+_START = {name: re.compile(rf"<{name}\b", re.I) for name in FLAT}
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HEADING = re.compile(r"h[1-6]\Z")
@@ -179,6 +178,45 @@ def is_main(tree: tuple | float, features: tuple) -> bool:
     return tree > 0.5
 
 
+def skipped(page: str) -> str:
+    """The page with a space for every comment, declaration, script, style and skipped element. One pass forward: the
+    next end tag of each name is looked up once and kept until it lies behind."""
+    out, at, ends = [], 0, {}
+
+    def next_end(name: str, after: int) -> tuple[int, int]:
+        if name not in ends or ends[name][0] < after:
+            m = _END[name].search(page, after)
+            ends[name] = m.span() if m else (len(page) + 1, len(page) + 1)
+        return ends[name]
+
+    while m := _OPENS.search(page, at):
+        name = (m[1] or "").lower()
+        if m[0] == "<!--":
+            close = page.find("-->", m.end())
+            to = len(page) if close < 0 else close + 3
+        else:
+            close = page.find(">", m.end())
+            if close < 0:
+                break  # no tag ends from here on
+            to = close + 1
+            if name in TO_THE_END:
+                to = min(next_end(name, to)[1], len(page))
+            elif name and page[close - 1] != "/":
+                begin, end = next_end(name, to)
+                whole = begin <= len(page)
+                if whole and name in FLAT:  # another one that opens before means that this one never closed
+                    again = _START[name].search(page, to, begin)
+                    whole = again is None
+                if not whole:  # only the tag goes, as a tag of no meaning
+                    out.append(page[at:to])
+                    at = to
+                    continue
+                to = end
+        out += [page[at:m.start()], " "]
+        at = to
+    return "".join(out) + page[at:]
+
+
 def _names_boiler(attributes: str) -> bool:
     for m in _NAMES.finditer(attributes):
         if not BOILER_NAMES.isdisjoint(re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())):
@@ -260,9 +298,9 @@ class _Blocks:
 
 def blocks(page: str) -> list[list]:
     """The flat text blocks of a page."""
-    page = _SKIP.sub(" ", page)
+    page = skipped(page)
     out, at = _Blocks(), 0
-    for m in _TAG.finditer(page):
+    for m in _TAG.finditer(page, 0, page.rfind(">") + 1):  # no tag ends beyond, so none is sought
         out.add(page[at:m.start()])
         out.tag(m[1], m[2].lower(), m[3])
         at = m.end()
