@@ -103,10 +103,12 @@ class Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, separator: int = 0,
-           id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special: bool = True) -> DataFrame:
+           id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special: bool = True,
+           prompt_col: str | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, loss, key[, ids]): ids as little-endian 32-bit.
 
-    ``loss``: tokens of the piece that carry loss, all but the separator. ``key`` identifies the row's content."""
+    ``loss``: tokens of the piece that carry loss, all but the separator. With ``prompt_col`` (instruction data) a row is
+    its prompt's tokens, which carry no loss, then its text's; a null prompt is empty. ``key`` identifies the row's content."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long, key long" + ", ids binary" * with_ids
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -117,8 +119,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, separator:
             for at in range(0, len(whole), 1000):
                 b = whole.slice(at, 1000)
                 row, cols = [], [[] for _ in range(4 + with_ids)]
+                free = []  # tokens of the prompt
                 for i, text in enumerate(b.column(2).to_pylist()):
                     ids = np.concatenate([encoder.ids(text, special), end])
+                    if prompt_col:
+                        prompt = encoder.ids(b.column(3)[i].as_py(), special)
+                        ids = np.concatenate([prompt, ids])
+                        free.append(len(prompt))
                     for s in range(0, len(ids), limit):
                         data = ids[s:s + limit].tobytes()
                         row.append(i)
@@ -126,13 +133,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, separator:
                             c.append(v)
                 start, length, sums, total = (np.array(c, np.int64) for c in cols[:4])
                 loss = length - (start + length == total)
+                if prompt_col:
+                    loss -= np.clip(np.array(free, np.int64)[row] - start, 0, length)
                 take = pa.array(row, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(take), *map(pa.array, (start, length, sums, total, loss)), b.column(1).take(take),
                      *(pa.array(c, pa.binary()) for c in cols[4:])], names)
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("key"),
-                      text_of(text_col).alias("t"))
+    parts = [text_col, *([prompt_col] if prompt_col else [])]
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, *parts).alias("key"),
+                      *[text_of(c).alias(f"t{i}") for i, c in enumerate(parts)])
     return src.mapInArrow(run, schema)
 
 
