@@ -12,30 +12,34 @@ essential terms are traversed; then the non-essential terms are probed, highest
 first, and only for candidates whose partial score plus the bounds left is still
 competitive. Survivors have exact scores. Equal scores stay competitive, so ties are exact.
 
-Queries are a stated set; they meet the shards in blocks (query block x candidate block),
-each of bounded size. Each block pair returns at most k rows per query; shards are merged
-by rank.
+Queries are a stated set; they meet the candidates in tiles (query block x candidate
+shard), each of bounded size and a group of its own, so that even one query block is
+searched by as many tasks as there are shards. A shard is searched block by block, with
+each query's threshold carried on. Each tile returns at most k rows per query and block;
+tiles are merged by rank.
 
 Defined results: rows with a null id, a null vector, or a null or non-finite component
 take no part; vectors of different length are compared over their common dimensions;
 a query's own id is never its candidate, in whatever row; of rows that repeat a query's
 id the smallest vector is the query, all are candidates of others; ties go to the smaller
-id, then to equal rows; an empty table gives no rows; further columns are ignored.
+id, then to equal rows; an empty table gives no rows; further columns are ignored. Scores
+are added up in doubles, which is exact below 2**53; where a tile's norms do not rule out
+a larger one, that is an error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakebuild.llm.common import group_count
+from lakebuild.llm.common import cut, group_count
+from lakebuild.llm.tiles import longest, matrix, tiles
 
 K, SCALE, QUERY_EVERY = 5, 256, 50
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
+QUERY_BLOCK, CANDIDATE_SHARD, CANDIDATE_BLOCK = 1024, 8192, 4096
+EXACT = float(1 << 53)
 PROBE = 8
 
 
@@ -46,27 +50,6 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
-def _pack(ids: np.ndarray, rows: list[np.ndarray], scale: float) -> Iterator[tuple[bytes, bytes, int]]:
-    """(ids, integer matrix, width) for each width among the rows."""
-    width = np.fromiter(map(len, rows), np.int64, len(rows))
-    for w in np.unique(width).tolist():
-        at = np.nonzero(width == w)[0]
-        m = np.floor(scale * np.array([rows[i] for i in at.tolist()], np.float64).reshape(len(at), w))
-        yield ids[at].tobytes(), m.tobytes(), w
-
-
-def _packer(size: int, scale: float, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, len(whole), size):
-                b = whole.slice(i, size)
-                values = [np.array(x, np.float64) for x in b.column(1).to_pylist()]
-                out = list(_pack(b.column(0).to_numpy(), values, scale))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary()),
-                                                  pa.array([r[2] for r in out], pa.int32())], names)
-    return run
-
-
 def best_in_block(q: np.ndarray, own: int, ids: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray,
                   k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """The k best (ids, scores) of one query in a candidate block, by MaxScore; scores below ``floor`` may be left out."""
@@ -97,42 +80,39 @@ def best_in_block(q: np.ndarray, own: int, ids: np.ndarray, c: np.ndarray, low:
     return ids[live[top]], part[top]
 
 
+def check_exact(q: np.ndarray, c: np.ndarray) -> None:
+    """Raise unless the norms of both sides keep every sum below 2**53."""
+    with np.errstate(over="ignore"):
+        bound = [float(np.sqrt((m * m).sum(axis=1).max(initial=0.0))) for m in (q, c)]
+    if not bound[0] * bound[1] < EXACT:
+        raise OverflowError("an inner product may not be exact in doubles; use a smaller scale")
+
+
 def topk(queries: DataFrame, candidates: DataFrame, k: int = K, scale: float = SCALE,
-         query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+         query_block: int = QUERY_BLOCK, candidate_shard: int = CANDIDATE_SHARD, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score); both inputs as given by ``usable``."""
-    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_blocks = group_count(asked.count(), query_block)
-    dealt = asked.repartition(n_blocks, "vec_id")
-    q = dealt.mapInArrow(_packer(query_block, scale, ["q_ids", "q", "q_width"]), "q_ids binary, q binary, q_width int")
-    q = q.withColumn("block", F.pmod(F.xxhash64("q_ids"), F.lit(n_blocks)))
-    c = candidates.mapInArrow(_packer(candidate_block, scale, ["c_ids", "c", "c_width"]), "c_ids binary, c binary, c_width int")
-    c = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-    pairs = c.join(q, "block").select("q_ids", "q", "q_width", "c_ids", "c", "c_width")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bytes, np.ndarray] = {}  # k-th best so far per query, for the query blocks seen last
-        for b in batches:
-            for r in range(len(b)):
-                qi, qm, qw, ci, cm, cw = (b.column(i)[r].as_py() for i in range(6))
-                q_ids, ids = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
-                qs, cs = np.frombuffer(qm).reshape(len(q_ids), qw), np.frombuffer(cm).reshape(len(ids), cw)
-                w = min(qw, cw)
-                qs, cs = qs[:, :w], np.ascontiguousarray(cs[:, :w])
-                low, high = cs.min(axis=0, initial=np.inf), cs.max(axis=0, initial=-np.inf)
-                if qi not in kept:
-                    if len(kept) >= 16:
-                        kept.clear()
-                    kept[qi] = np.full(len(q_ids), -np.inf)
-                floors, out = kept[qi], []
-                for i in range(len(q_ids)):
-                    got, score = best_in_block(qs[i], int(q_ids[i]), ids, cs, low, high, k, float(floors[i]))
+    asked = cut(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
+    n_q, n_c = group_count(asked.count(), query_block), group_count(candidates.count(), candidate_shard)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64),) * 3]
+        if len(left) and len(right):  # a group without one side comes without its columns
+            width = min(longest(left), longest(right))
+            q_ids, ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+            q, c = matrix(left["v"], width, scale), matrix(right["v"], width, scale)
+            check_exact(q, c)
+            floors = np.full(len(q), -np.inf)
+            for at in range(0, len(c), candidate_block):
+                part, part_ids = c[at:at + candidate_block], ids[at:at + candidate_block]
+                low, high = part.min(axis=0), part.max(axis=0)
+                for i in range(len(q)):
+                    got, score = best_in_block(q[i], int(q_ids[i]), part_ids, part, low, high, k, float(floors[i]))
                     if len(got) == k:
                         floors[i] = max(floors[i], score[-1])
-                    out.append((np.full(len(got), q_ids[i]), got, score))
-                a, d, e = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(d), pa.array(e.astype(np.int64))], ["query_id", "vec_id", "score"])
+                    out.append((np.full(len(got), q_ids[i]), got, score.astype(np.int64)))
+        return pa.table({n: pa.array(np.concatenate(x)) for n, x in zip(("query_id", "vec_id", "score"), zip(*out))})
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = tiles(asked, candidates, n_q, n_c, ["vec_id", "v"]).applyInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -33,11 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakebuild.llm.common import cut, group_count
+from lakebuild.llm.tiles import longest, matrix, tiles
 
 POSITIVES, NEGATIVES, SCALE, ANCHOR_EVERY = 5, 3, 256, 50
 #: The window of a negative's score, in hundredths of the positive's.
 LOW, HIGH = 50, 95
 ANCHOR_TILE, CANDIDATE_TILE, CHUNK = 2048, 8192, 256
+KEY = ["vec_id", "label", "v"]
 LARGEST_PRIME = 251
 EXACT = 1 << 24  # float32 holds every integer up to here
 
@@ -102,31 +104,12 @@ def best(scores: np.ndarray, ids: np.ndarray, live: np.ndarray, k: int) -> np.nd
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def _matrix(column: pa.ChunkedArray, width: int, scale: float) -> np.ndarray:
-    """floor(scale * x) of a list column, rows cut or filled up with zeros to one width (a zero adds nothing)."""
-    out = np.zeros((len(column), width))
-    at = 0
-    for part in column.chunks:
-        sizes = part.value_lengths().to_numpy()
-        values = np.floor(scale * part.flatten().to_numpy())
-        row = at + np.repeat(np.arange(len(part)), sizes)
-        col = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        fits = col < width
-        out[row[fits], col[fits]] = values[fits]
-        at += len(part)
-    return out
-
-
-def _width(table: pa.Table) -> int:
-    return max((int(x.value_lengths().to_numpy().max(initial=0)) for x in table["v"].chunks), default=0)
-
-
 def _tile(anchors: pa.Table, rows: pa.Table, scale: float) -> tuple[np.ndarray, ...]:
     """Ids, labels and components of both sides."""
-    width = min(_width(anchors), _width(rows))
+    width = min(longest(anchors), longest(rows))
     out = []
     for t in (anchors, rows):
-        out += [t["vec_id"].to_numpy(), t["label"].to_numpy(), _matrix(t["v"], width, scale)]
+        out += [t["vec_id"].to_numpy(), t["label"].to_numpy(), matrix(t["v"], width, scale)]
     return tuple(out)
 
 
@@ -139,15 +122,6 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
                        v.cast("array<double>").alias("v")).distinct()
 
 
-def _tiles(anchors: DataFrame, rows: DataFrame, n_a: int, n_c: int):
-    """Both sides dealt to (anchor block, candidate block) and grouped by that pair."""
-    def number(n: int):
-        return F.pmod(F.xxhash64("vec_id", "label", "v"), F.lit(n))
-    a = anchors.select("*", number(n_a).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)).cast("array<long>")).alias("c"))
-    c = rows.select("*", number(n_c).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(n_a - 1)).cast("array<long>")).alias("a"))
-    return a.groupBy("a", "c").cogroup(c.groupBy("a", "c"))
-
-
 def _ranked(found: DataFrame, keys: list[str], score: str, vec_id: str, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), vec_id))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -176,7 +150,7 @@ def mine(anchors: DataFrame, rows: DataFrame, positives: int = POSITIVES, negati
                     out.append((np.full(len(top), a_id[j]), c_id[theirs[top]], s[top]))
         return _table(out, ["anchor_id", "positive_id", "positive_score"])
 
-    near = _tiles(asked, rows, n_a, n_c).applyInArrow(same, "anchor_id long, positive_id long, positive_score long")
+    near = tiles(asked, rows, n_a, n_c, KEY).applyInArrow(same, "anchor_id long, positive_id long, positive_score long")
     near = _ranked(near, ["anchor_id"], "positive_score", "positive_id", positives)
     held = near.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("rank", "positive_id", "positive_score"))).alias("near"))
     armed = cut(asked.join(held, asked["vec_id"] == held["anchor_id"])
@@ -199,7 +173,7 @@ def mine(anchors: DataFrame, rows: DataFrame, positives: int = POSITIVES, negati
                     out.append((np.full(n, a_id[j]), np.full(n, k), np.full(n, pid), np.full(n, ps), c_id[top], s[top]))
         return _table(out, ["anchor_id", "p", "positive_id", "positive_score", "negative_id", "negative_score"])
 
-    far = _tiles(armed, rows, n_a, n_c).applyInArrow(
+    far = tiles(armed, rows, n_a, n_c, KEY).applyInArrow(
         windowed, "anchor_id long, p long, positive_id long, positive_score long, negative_id long, negative_score long")
     far = _ranked(far, ["anchor_id", "p"], "negative_score", "negative_id", negatives)
     return far.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -1,8 +1,13 @@
 """Cases that once went wrong."""
+import random
+import re
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakebuild.llm import maxent_lm, simhash_dedup, source_mix, vector_packing
+from lakebuild.llm import html_extract, maxent_lm, maxscore_topk, simhash_dedup, source_mix, vector_packing
 from lakebuild.llm.queries import tokenizer_path
 
 from .conftest import LONG
@@ -47,3 +52,68 @@ def test_mixed_documents_keep_columns_of_any_name(make_docs):
     assert {tuple(r[k] for k in clash) for r in rows} == {tuple(clash.values())}
     plain = source_mix.mixed_documents(docs).collect()
     assert sorted(map(repr, (r[:6] for r in rows))) == sorted(map(repr, (r[:] for r in plain)))
+
+
+# The elements that are skipped, as one pattern that looks ahead for each: slow on many unclosed ones, plain to read.
+OLD = html_extract
+SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(OLD.TO_THE_END) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
+                  r"|<(?:" + "|".join(OLD.NESTING + OLD.FLAT) + r")\b[^>]*/>"
+                  r"|<(" + "|".join(OLD.NESTING) + r")\b[^>]*>.*?</\2\s*>"
+                  r"|<(" + "|".join(OLD.FLAT) + r")\b[^>]*>(?:(?!<\3\b).)*?</\3\s*>|<[!?][^>]*>", re.S | re.I)
+
+
+def test_skipping_equals_the_pattern():
+    rng = random.Random(3)
+    bits = ["<svg>", "</svg>", "<svg a='1'/>", "<SCRIPT>", "</script >", "<script/>", "<!-- c -->", "<!--", "-->", "<!doctype html>", "<?x?>", "<title>",
+            "</title>", "<textarea b>", "</textarea>", "<object>", "</object>", "<p>", "</p>", "text ", "a < b ", "> ", "<style>", "</style>", "<svgx>", "<iframe>", "</iframe>"]
+    for _ in range(3000):
+        page = "".join(rng.choices(bits, k=rng.randint(0, 14)))
+        assert html_extract.skipped(page) == SKIP.sub(" ", page), page
+
+
+@pytest.mark.parametrize("unit", ["<object a>x ", "<title>x ", "<svg x", "<script>", "<!-- ", "<iframe></object>"])
+def test_many_unclosed_elements_take_linear_time(unit):
+    def seconds(n):
+        start = time.perf_counter()
+        html_extract.blocks("<p>one</p>" + unit * n)
+        return time.perf_counter() - start
+    seconds(100)
+    assert seconds(40_000) < 5
+
+
+def test_products_that_may_be_inexact_are_an_error(spark):
+    rows = maxscore_topk.usable(spark.createDataFrame([(0, [1e20, 1.0]), (1, [1e20, 2.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="exact in doubles"):
+        maxscore_topk.topk(rows, rows).collect()
+
+
+def test_topk_over_many_tiles_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([0.5, -0.5, rng.uniform(-1, 1)]) for _ in range(5)]) for i in range(300)] + [(i, [0.5] * 5) for i in range(300, 400)] + [(400, [0.5] * 3), (401, [])]
+    use = maxscore_topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = maxscore_topk.topk(use.where("vec_id % 7 = 0"), use, query_block=9, candidate_shard=50, candidate_block=16).collect()
+    whole = {i: np.floor(256 * np.array(v)).astype(int).tolist() for i, v in rows}
+    want = []
+    for q in whole:
+        if q % 7 == 0:
+            best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_loss_limit_binds_on_instruction_data(spark):
+    """Prompts carry no loss: a sequence may be full of tokens long before it is full of loss, or the other way round."""
+    docs = spark.createDataFrame([(i, "question " * 40, "answer " * (60 if i % 2 else 10)) for i in range(60)] + [(99, None, "no prompt")],
+                                 "doc_id long, prompt string, text string")
+    parts = vector_packing.pieces(docs, tokenizer_path(), prompt_col="prompt", with_ids=True)
+    plain = {r.doc_id: (r.doc_tokens, r.loss) for r in parts.collect()}
+    enc = vector_packing.Encoder.of(tokenizer_path())
+    for i, (n, loss) in plain.items():
+        prompt, answer = len(enc.ids("question " * 40 if i != 99 else "")), len(enc.ids(("answer " * (60 if i % 2 else 10)) if i != 99 else "no prompt"))
+        assert (n, loss) == (prompt + answer + 1, answer)
+    by_bin = {}
+    for r in vector_packing.pack(parts, 61, max_loss=150).collect():
+        by_bin.setdefault(r.sequence_id, []).append(r.doc_id)
+    totals = [(sum(plain[i][0] for i in b), sum(plain[i][1] for i in b)) for b in by_bin.values()]
+    assert sum(len(b) for b in by_bin.values()) == 61
+    assert all(n <= 1024 and loss <= 150 for n, loss in totals) and any(n < 512 and loss > 100 for n, loss in totals)
