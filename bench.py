@@ -5,7 +5,10 @@ DailyMarket batches 1-3) is written once from the test tables at
 ``$BENCH_SF_DIR``. Timed: ``run_all`` (PL1-PL6, each step reading what the
 previous one wrote; independent steps run concurrently) on
 ``local[$BENCH_CPUS]``; one warm-up run, then the median wall time of
-``$BENCH_RUNS`` (default 5) runs. Per-step times overlap. Prints one JSON line.
+``$BENCH_RUNS`` (default 5) runs. Per-step times overlap. Then the other forms
+of the lookups, the fact and its incremental load are timed once each, on the
+last run's tables. ``calibration_sec`` is a fixed loop on one core, so that two
+machines, or one machine on two days, can be compared. Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -20,8 +23,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from lakebuild import fixtures as fx  # noqa: E402
 from lakebuild.paths import LakePaths  # noqa: E402
+from lakebuild.operators import union_batches  # noqa: E402
 from lakebuild.plans import pipelines as pl  # noqa: E402
 from lakebuild.session import get_spark, scratch_path, size_input_splits  # noqa: E402
+from lakebuild.sinks import write_table  # noqa: E402
+from lakebuild.sources import read_table  # noqa: E402
+from lakebuild.streaming import stream_fact_market_history  # noqa: E402
 
 
 def raw_bytes(spark, root: str) -> int:
@@ -30,8 +37,40 @@ def raw_bytes(spark, root: str) -> int:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
-def one_run(spark, raw: LakePaths) -> tuple[float, dict[str, float]]:
-    """One end-to-end run of PL1-PL6; returns (wall seconds, per-step seconds).
+def calibration() -> float:
+    """Seconds for a fixed amount of work on one core, the best of three."""
+    best = float("inf")
+    for _ in range(3):
+        s = time.perf_counter()
+        sum(i * i % 7 for i in range(5_000_000))
+        best = min(best, time.perf_counter() - s)
+    return best
+
+
+def variants(spark, lake: LakePaths) -> dict[str, float]:
+    """Seconds of the forms that ``run_all`` leaves out by default, each written to a table of its own."""
+    sec, fin = (read_table(spark, lake.bronze(f"finwire_{t}")) for t in ("sec", "fin"))
+    company, security = (read_table(spark, lake.silver(t)) for t in ("dimcompany", "dimsecurity"))
+    market = union_batches(pl.market_batches(spark, lake))
+    frames = {
+        "dim_security_as_of": lambda: pl.build_dim_security(sec, company, versions="as_of"),
+        "financial_as_of": lambda: pl.build_financial(fin, company, versions="as_of"),
+        "fact_left": lambda: pl.build_fact_market_history(market, security, how="left"),
+        "fact_distinct": lambda: pl.build_fact_market_history(union_batches(pl.market_batches(spark, lake), distinct=True), security),
+    }
+    out = {}
+    for name, build in frames.items():
+        s = time.perf_counter()
+        write_table(build(), scratch_path(spark, "bench-variant", unique=True))
+        out[name] = round(time.perf_counter() - s, 3)
+    s = time.perf_counter()
+    stream_fact_market_history(spark, lake.raw("Batch*/DailyMarket.txt"), lake.silver("dimsecurity"), scratch_path(spark, "bench-stream", unique=True))
+    out["fact_stream"] = round(time.perf_counter() - s, 3)
+    return out
+
+
+def one_run(spark, raw: LakePaths) -> tuple[float, dict[str, float], LakePaths]:
+    """One end-to-end run of PL1-PL6; returns (wall seconds, per-step seconds, its lake).
 
     Independent steps run concurrently inside ``run_all``, so per-step times
     overlap and do not add up to the wall time.
@@ -40,7 +79,7 @@ def one_run(spark, raw: LakePaths) -> tuple[float, dict[str, float]]:
     steps: dict[str, float] = {}
     s = time.perf_counter()
     pl.run_all(spark, lake, timings=steps)
-    return time.perf_counter() - s, steps
+    return time.perf_counter() - s, steps, lake
 
 
 def main():
@@ -76,6 +115,8 @@ def main():
         "cpus": cpus,
         "split_bytes": split,
         "spark": spark.version,
+        "calibration_sec": round(calibration(), 3),
+        "variants": variants(spark, results[-1][2]),
     }))
 
 
