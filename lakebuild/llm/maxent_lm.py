@@ -38,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,8 @@ from lakebuild.llm.common import cut, group_count, text_of
 HEAD, CLASSES, BUCKETS, WORD_BUCKETS, ROUNDS = 16_384, 64, 2048, 16, 2
 PRIOR = 2.0
 CHUNK_TOKENS, SHARD_BYTES, MEMO, BATCH = 1_000_000, 32 << 20, 500_000, 32_768
+#: Partial sums that meet in one group: FAN_IN, up to FAN_IN ** (LEVELS + 1) tasks.
+FAN_IN, LEVELS = 64, 2
 FOLDS, HELD_OUT = 7, 2
 END = xxhash.xxh64_intdigest(b"", 11)
 
@@ -290,7 +293,7 @@ class HeadIndex(dict):
 
 
 def _round(places: DataFrame, model: Model) -> None:
-    """One update from the sums over all training tokens."""
+    """One update from the sums over all training tokens, added up in levels of ``FAN_IN`` tasks."""
     piece = 1 << 16
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,41 +302,65 @@ def _round(places: DataFrame, model: Model) -> None:
             model.statistics(tokens, size, sums)
             any_row = True
         if any_row:
+            task = TaskContext.get().partitionId()
             for name, x in sums.items():
                 flat = x.astype(np.float32).ravel()
                 parts = [flat[i:i + piece].tobytes() for i in range(0, flat.size, piece)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts)), pa.array(np.arange(len(parts), dtype=np.int32)),
-                                                  pa.array(parts, pa.binary())], ["name", "part", "sums"])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = 0
-        for x in t["sums"]:
-            total = total + np.frombuffer(x.as_py(), np.float32).astype(np.float64)
-        return pa.table({"name": t["name"].slice(0, 1), "part": t["part"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "name string, part int, sums binary"
-    got = places.where(~F.col("held_out")).mapInArrow(gather, schema).groupBy("name", "part").applyInArrow(add, schema)
+                yield pa.RecordBatch.from_arrays([pa.array([task] * len(parts)), pa.array([name] * len(parts)),
+                                                  pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["task", "name", "part", "sums"])
+
+    def add(kind):
+        def run(t: pa.Table) -> pa.Table:
+            total = 0
+            for x in t["sums"]:
+                total = total + np.frombuffer(x.as_py(), kind).astype(np.float64)
+            return pa.table({**{c: t[c].slice(0, 1) for c in ("task", "name", "part")}, "sums": pa.array([total.tobytes()], pa.binary())})
+        return run
+
+    schema = "task long, name string, part long, sums binary"
+    got, kind = places.where(~F.col("held_out")).mapInArrow(gather, schema), np.float32
+    for _ in range(LEVELS):
+        got = got.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("name", "part", "task").applyInArrow(add(kind), schema)
+        kind = np.float64
     sums = model.zero_sums()
-    for r in got.collect():  # as many rows as the model has blocks
+    for r in got.groupBy("name", "part").applyInArrow(add(kind), schema).collect():  # as many rows as the model has blocks
         part = np.frombuffer(bytes(r["sums"]))
         sums[r["name"]].reshape(-1)[r["part"] * piece:r["part"] * piece + len(part)] = part
     model.update(sums)
 
 
 def _most_frequent(tokens: DataFrame, head: int) -> list:
-    """The most frequent tokens, ``head`` at most: all whose count lies in a step of a scale of eighths of an octave
-    that is reached whole, so no task sends more than it holds of the result."""
+    """The ``head`` most frequent tokens (all, if fewer), equal counts by token.
+
+    Three narrowing aggregates, so that no task sends more than about ``head`` rows and flat vocabularies fill the head
+    as well: the step (an eighth of an octave) in which the last count lies, that count within the step, and of the
+    tokens with just that count, by the leading bits of their hash, those that can still be among the first."""
     step = F.floor(8 * F.log2("count"))
-    sizes = tokens.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
-    least, total = None, 0
-    for r in sizes:
-        total += r["n"]
-        if total > head:
+    left, whole = head, None
+    for r in tokens.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # some hundreds of steps
+        if r["n"] > left:
+            whole = r["step"]
+            break
+        left -= r["n"]
+    if whole is None:
+        return tokens.orderBy(F.desc("count"), "token").select("token", "count").collect()
+    inside = tokens.where(step == whole)
+    last = None
+    for r in inside.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect():  # the counts of one step
+        if r["n"] > left:
+            last = r["count"]
+            break
+        left -= r["n"]
+    ties = tokens.where(F.col("count") == last)
+    lead = F.shiftright("token", 48)  # 65,536 ranges in the order of the tokens
+    bound, seen = None, 0
+    for r in ties.groupBy(lead.alias("lead")).agg(F.count("*").alias("n")).orderBy("lead").collect():
+        bound, seen = r["lead"], seen + r["n"]
+        if seen >= left:
             break
-        least = r["step"]
-    if least is None:
-        return []
-    return tokens.where(step >= least).orderBy(F.desc("count"), "token").select("token", "count").collect()
+    more = ties.where(lead <= bound).orderBy("token").limit(left) if left and bound is not None else ties.limit(0)
+    above = tokens.where(F.col("count") > last)
+    return [*above.orderBy(F.desc("count"), "token").select("token", "count").collect(), *more.select("token", "count").collect()]
 
 
 def train(docs: DataFrame, counted: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> tuple[Model, DataFrame, int, int]:

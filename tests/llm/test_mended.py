@@ -117,3 +117,29 @@ def test_loss_limit_binds_on_instruction_data(spark):
     totals = [(sum(plain[i][0] for i in b), sum(plain[i][1] for i in b)) for b in by_bin.values()]
     assert sum(len(b) for b in by_bin.values()) == 61
     assert all(n <= 1024 and loss <= 150 for n, loss in totals) and any(n < 512 and loss > 100 for n, loss in totals)
+
+
+@pytest.mark.parametrize("head", [1, 5, 7, 60, 500, 2000, 5000])
+def test_head_is_filled_by_count_then_token(spark, head):
+    rng = random.Random(head)
+    rows = [(rng.randint(-2 ** 63, 2 ** 63 - 1), rng.choice([1, 1, 1, 1, 2, 3, 40, 41, 1000])) for _ in range(2000)]
+    got = maxent_lm._most_frequent(spark.createDataFrame(rows, "token long, count long"), head)
+    assert [tuple(r) for r in got] == sorted(rows, key=lambda r: (-r[1], r[0]))[:head]
+
+
+def test_flat_vocabularies_are_trained(make_docs):
+    """Every token as frequent as every other: the head is filled and the model learns what follows what."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(120)]
+    docs = make_docs([(i, " ".join(words[k:] + words[:k]), "s") for i, k in enumerate(rng.choices(range(120), k=150))])
+    got = maxent_lm.scores(docs, head=64).collect()
+    assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+
+
+def test_sums_in_levels_equal_one_sum(make_docs, monkeypatch):
+    docs = make_docs([(i, f"the cat {i % 7} sat on the mat {i % 3}", "s") for i in range(80)]).repartition(9)
+    want = {r.doc_id: r.score for r in maxent_lm.scores(docs, head=8).collect()}
+    monkeypatch.setattr(maxent_lm, "FAN_IN", 2)
+    monkeypatch.setattr(maxent_lm, "LEVELS", 4)
+    got = {r.doc_id: r.score for r in maxent_lm.scores(docs, head=8).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
