@@ -7,7 +7,7 @@
  4  simhash_dedup      vantage-point partitioned SimHash near-duplicate groups
  5  maxent_lm          hashed maximum-entropy language model, train and score
  6  maxscore_topk      exact top-k inner products by MaxScore
- 7  substring_dedup    relative Lempel-Ziv factors as duplicate spans
+ 7  substring_dedup    windows found under a smaller id, joined into duplicate spans
  8  quality_rules      adaptive thresholds per language and source (native)
  9  vector_packing     dot-product vector bin packing of token pieces
 10  html_extract       flat text blocks classified by a trained decision tree

@@ -1,14 +1,15 @@
-"""Duplicate passages by relative Lempel-Ziv parsing against an indexed reference.
+"""Duplicate passages by their windows, looked up in an indexed reference.
 
-The reference of a document is every document with a smaller id. It is indexed by its
-windows of ``window`` words in reference blocks: a window belongs to the block of its
+The reference of a document is every document with a smaller id. It is indexed by the hashes
+of its windows of ``window`` words in reference blocks: a window belongs to the block of its
 minimizer (the least hash of the ``anchor``-word runs in it), so equal windows meet in one
-block and neighbouring windows mostly travel together. Each document is parsed against
-every block that can hold a match of it: its windows are looked up in their blocks, and
-greedily joined, from left to right, into factors, the longest stretches all of whose
-windows occur in the reference. Each factor is at least ``window`` words long; windows
-across the border of two stretches count only if they were found themselves. The words
-under the factors are the duplicate spans.
+block and neighbouring windows mostly travel together. The windows of every document are
+looked up in their blocks; found windows that follow one another are joined, from left to
+right, into factors, the longest stretches all of whose windows occur in the reference. Each
+factor is at least ``window`` words long; a window across the border of two factors counts
+only if it was found itself. The words under the factors are the duplicate spans. No
+Lempel-Ziv parse against reference texts is made: a longest match would cover the same
+windows, and would need the texts of every reference block beside every document.
 
 Traffic. Documents are dealt by a hash into groups of about ``GROUP_BYTES`` of text. Within a
 group a window found under a smaller id is settled at once and not sent, so a passage that
