@@ -5,7 +5,8 @@ than ``max_repeat`` times its size, and what it cannot take is divided again by
 among the others until none is above.
 
 Blocks. The documents of a source, in a pseudorandom order, are one stream of words cut
-into blocks of ``block_words`` (the last may be shorter). Stream positions are prefix sums
+into blocks of one length (the last may be shorter): ``block_words``, or less for a source
+too small to have ``FINEST`` blocks of that, so that its share is met to a thousandth. Stream positions are prefix sums
 in two levels, by source and hash chunk, so a source that holds most rows is spread.
 
 Draws. The mix is a list of output shards of ``shard_slots`` slots each. The counts of the
@@ -44,6 +45,7 @@ WEIGHTS = (5, 2, 1)
 SHARE, MAX_REPEAT = 1.5, 2.0
 BLOCK_WORDS, SHARD_SLOTS, SEED = 128, 4096, 17
 MAX_SOURCES = 50_000
+FINEST = 1024
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -186,16 +188,17 @@ class Mix:
         found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
         sizes = [r["size"] for r in found]
         goal = targets(sizes, weights, share, max_repeat)
-        blocks = [-(-s // block_words) for s in sizes]
+        units = [max(1, min(block_words, s // FINEST)) for s in sizes]
+        blocks = [-(-s // u) for s, u in zip(sizes, units)]
         draws = [round(g * b / s) if s else 0 for g, b, s in zip(goal, blocks, sizes)]
-        known = spark.createDataFrame([(i, r["source"], s, g) for i, (r, s, g) in enumerate(zip(found, sizes, goal))],
-                                      "source_no int, source string, source_size long, target double")
+        known = spark.createDataFrame([(i, r["source"], s, g, u) for i, (r, s, g, u) in enumerate(zip(found, sizes, goal, units))],
+                                      "source_no int, source string, source_size long, target double, unit long")
         on = rows["source"].eqNullSafe(known["source"])
         self.rows = rows.join(F.broadcast(known), on).drop(known["source"])  # at most MAX_SOURCES small rows
-        self.pieces = self._stream(sum(r["n"] for r in found), block_words).join(
+        self.pieces = self._stream(sum(r["n"] for r in found)).join(
             slots(spark, draws, blocks, shard_slots, seed).hint("merge"), ["source_no", "block"])  # estimated by its shards, it would be broadcast
 
-    def _stream(self, n_rows: int, block_words: int) -> DataFrame:
+    def _stream(self, n_rows: int) -> DataFrame:
         chunk = F.pmod(F.xxhash64("doc_id", "row_key", F.lit("order")), F.lit(group_count(n_rows, 4096)))
         rows = self.rows.where("size > 0").withColumn("chunk", chunk)
         sums = rows.groupBy("source_no", "chunk").agg(F.sum("size").alias("total"))
@@ -204,8 +207,8 @@ class Mix:
         within = Window.partitionBy("source_no", "chunk").orderBy(F.xxhash64("row_key", "doc_id", "copy"), "doc_id", "row_key", "copy")
         at = rows.withColumn("upto", F.sum("size").over(within)).join(base, ["source_no", "chunk"]) \
             .withColumn("begin", F.col("base") + F.col("upto") - F.col("size")).withColumn("end", F.col("base") + F.col("upto"))
-        each = at.withColumn("block", F.explode(F.sequence(F.expr(f"begin div {block_words}"), F.expr(f"(end - 1) div {block_words}"))))
-        low, high = F.greatest("begin", F.col("block") * block_words), F.least("end", (F.col("block") + 1) * block_words)
+        each = at.withColumn("block", F.explode(F.sequence(F.expr("begin div unit"), F.expr("(end - 1) div unit"))))
+        low, high = F.greatest("begin", F.col("block") * F.col("unit")), F.least("end", (F.col("block") + 1) * F.col("unit"))
         return each.select("source_no", "block", "doc_id", "row_key", "copy", (low - F.col("begin")).alias("start"), (high - low).alias("length"))
 
 

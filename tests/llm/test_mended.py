@@ -143,3 +143,16 @@ def test_sums_in_levels_equal_one_sum(make_docs, monkeypatch):
     monkeypatch.setattr(maxent_lm, "LEVELS", 4)
     got = {r.doc_id: r.score for r in maxent_lm.scores(docs, head=8).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_small_sources_meet_their_targets(make_docs):
+    docs = make_docs([(i, " ".join(f"{s}{i}{k}" for k in range(20)), s) for s in "abc" for i in range(5)])
+    got = source_mix.taken(docs).collect()
+    by_source = {}
+    for r in got:
+        by_source[r.doc_id, r.target] = by_source.get((r.doc_id, r.target), 0) + r.taken
+        assert r.taken <= 2 * r.size
+    totals = {}
+    for (_, target), n in by_source.items():
+        totals[round(target)] = totals.get(round(target), 0) + n
+    assert totals == {200: 200, 167: 167, 83: 83}
