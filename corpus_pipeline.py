@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakebuild.llm import line_dedup, quality_rules, simhash_dedup, source_mix, vector_packing
 from lakebuild.llm.queries import tokenizer_path
 from lakebuild.session import scratch_path
+from lakebuild.versions import discard
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_duplicate_lines(docs, min_chars=1)
+    return line_dedup.drop_duplicate_lines(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    parts = vector_packing.pieces(docs, tokenizer_path(), with_ids=True, special=True)
+    parts = vector_packing.pieces(docs, tokenizer_path(), with_ids=True)
     return vector_packing.pack(parts, docs.count())
 
 
@@ -59,11 +60,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the tables between them lie in the shared checkpoint folder."""
+    """All stages over ``documents``; the tables between them lie in the shared checkpoint folder, each until the
+    next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = scratch_path(spark, "pipeline", unique=True)
+    folder, done = scratch_path(spark, "pipeline", unique=True), None
     for name, stage in STAGES[:-1]:
         at = os.path.join(folder, name)
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if done:
+            discard(spark, done)
+        done = at
     return STAGES[-1][1](spark, docs, sf_dir)
