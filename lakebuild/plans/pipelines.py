@@ -47,6 +47,7 @@ def build_dim_company(cmp: DataFrame, industry: DataFrame, how: str = "inner",
     """
     ind = industry.select(F.col("IN_ID").alias("__in_id"), F.col("IN_NAME"))
     j = cmp.join(ind, cmp["INDUSTRY_ID"] == ind["__in_id"], how)
+    # --- Fixed values: names and order of the dimcompany columns. ---
     dim = j.select(
         F.col("CIK").alias("Companyid"),
         F.col("STATUS").alias("Status"),
@@ -82,6 +83,7 @@ def build_dim_security(sec: DataFrame, dim_company: DataFrame, versions: str = "
     # The fan-out copies stay a count until after the window (see with_validity).
     r = resolve_reference(sec, "CO_NAME_OR_CIK", dim_company, "Companyid", "Name",
                           out="company_ref_id", versions=versions, at=at, copies="__copies", period=period)
+    # --- Fixed values: names and order of the dimsecurity columns. ---
     dim = r.select(
         concat_keys("SYMBOL", "EX_ID", "company_ref_id", skip_nulls=skip_nulls).alias("SK_SecurityID"),
         F.col("SYMBOL"),
@@ -103,6 +105,7 @@ def build_dim_security(sec: DataFrame, dim_company: DataFrame, versions: str = "
 
 
 # ---------------------------------------------------------------- PL5
+# --- Fixed values: FIN fields and their names in the financial table, in order. ---
 FINANCIAL_COLUMNS = (
     ("YEAR", "FI_YEAR"), ("QUARTER", "FI_QTR"), ("QTR_START_DATE", "FI_QTR_START_DATE"),
     ("REVENUE", "FI_REVENUE"), ("EARNINGS", "FI_NET_EARN"), ("EPS", "FI_BASIC_EPS"),
@@ -141,6 +144,7 @@ def build_fact_market_history(market: DataFrame, dim_security: DataFrame, how: s
     day = parse_date("DM_DATE", on_error=on_error)
     j = point_in_time_join(market, dim_security, "DM_S_SYMB", "SYMBOL", at=day,
                            dim_cols=["SK_SecurityID", "SK_CompanyID"], how=how, period=period)
+    # --- Fixed values: names and order of the FactMarketHistory columns. ---
     return j.select(
         F.col("SK_SecurityID"),
         F.col("SK_CompanyID"),
