@@ -12,17 +12,20 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from lakebuild import fixtures as fx  # noqa: E402
 from lakebuild.paths import LakePaths  # noqa: E402
 from lakebuild.plans import pipelines as pl  # noqa: E402
 from lakebuild.session import get_spark, scratch_path  # noqa: E402
 from lakebuild.sources import read_lines, read_table  # noqa: E402
-from lakebuild.functions import parse_fixed_width  # noqa: E402
+from lakebuild.catalog import QUERIES  # noqa: E402
+from lakebuild.functions import parse_fixed_width, record_type  # noqa: E402
 from lakebuild.layouts import LAYOUT_CMP  # noqa: E402
 
 
 def tree(df, width: int = 150) -> str:
-    txt = df._jdf.queryExecution().executedPlan().toString()
+    txt = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
     return "\n".join(line if len(line) <= width else line[:width] + " ..." for line in txt.strip().splitlines())
 
 
@@ -32,11 +35,14 @@ def main(argv):
     raw = fx.write_raw(spark, sf_dir)
     lake = LakePaths(scratch_path(spark, "plans", unique=True), raw_root=raw.root)
     pl.run_all(spark, lake)
+    at = scratch_path(spark, "plans-staged", unique=True)
+    lines = read_lines(spark, lake.raw(pl.FINWIRE_GLOB), name_regex=pl.FINWIRE_REGEX)
+    lines.select(F.col("value").alias("line"), record_type(F.col("value")).alias("rt")).filter(F.col("rt").isin("CMP", "SEC", "FIN")) \
+         .write.partitionBy("rt").parquet(at)
+    staged = spark.read.parquet(at)
     steps = {
         "PL2 stg_finwire (CMP branch over the staged record-type partitions)":
-            lambda: parse_fixed_width(
-                spark.read.parquet(lake.bronze("_finwire_by_type")).filter("rt = 'CMP'"),
-                LAYOUT_CMP, "CMP", line_col="line"),
+            lambda: parse_fixed_width(staged.filter("rt = 'CMP'"), LAYOUT_CMP, "CMP", line_col="line"),
         "PL2 raw scan by name pattern":
             lambda: read_lines(spark, lake.raw(pl.FINWIRE_GLOB), name_regex=pl.FINWIRE_REGEX),
         "PL3 dim_company": lambda: pl.build_dim_company(read_table(spark, lake.bronze("finwire_cmp")),
@@ -47,6 +53,9 @@ def main(argv):
                                                     read_table(spark, lake.silver("dimcompany"))),
         "PL6 fact_market_history": lambda: pl.build_fact_market_history(
             pl.union_batches(pl.market_batches(spark, lake)), read_table(spark, lake.silver("dimsecurity"))),
+        "JO3 financial, company as of the record": lambda: pl.build_financial(
+            read_table(spark, lake.bronze("finwire_fin")), read_table(spark, lake.silver("dimcompany")), versions="as_of"),
+        "SK4 dim_security in SQL over the operators' views": lambda: QUERIES["sql_view_dim_security"](spark, sf_dir),
         "SK2 partition-pruned read of the fact table": lambda: read_table(
             spark, lake.silver("FactMarketHistory")).filter("YearID = 1997"),
     }
