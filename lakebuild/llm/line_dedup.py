@@ -216,11 +216,11 @@ def edit_links(texts: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     other = F.when(F.col("p.own"), F.col("p.id") < F.col("i.id")).otherwise(F.col("p.id") != F.col("i.id"))  # two own segments meet twice
     pairs = looked_up.alias("p").join(index.alias("i"), (F.col("p.segment") == F.col("i.segment")) & other & near) \
         .select(F.least("p.id", "i.id").alias("a"), F.greatest("p.id", "i.id").alias("b")).distinct()
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    found = ends.join(distinct, "id")  # ``distinct`` lies by id already
-    both = found.groupBy("a", "b").agg(F.min(F.struct("line", "profile")).alias("x"), F.max(F.struct("line", "profile")).alias("y"))
+    # each pair takes the text of one line, then that of the other; ``distinct`` lies by id already
+    both = pairs.join(distinct.alias("x"), F.col("a") == F.col("x.id")).join(distinct.alias("y"), F.col("b") == F.col("y.id"))
     allowed = allowed_edits(F.least(F.length("x.line"), F.length("y.line")), max_edits)
-    return both.where(near_distance(F.col("x.line"), F.col("y.line"), max_edits) <= allowed).select("a", "b")
+    alike = _profile_gap(F.col("x.profile"), F.col("y.profile")) <= 2 * max_edits  # known already; all columns are read, see above
+    return both.where(alike & (near_distance(F.col("x.line"), F.col("y.line"), max_edits) <= allowed)).select("a", "b")
 
 
 def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
