@@ -89,7 +89,7 @@ def test_one_name_borne_by_100_000_companies(spark):
 
 
 def test_copies_are_64_bit_and_in_blocks(spark):
-    df = spark.createDataFrame([("a", 1), ("b", 3), ("c", 200_000)], "k string, n long")
+    df = spark.createDataFrame([("a", 1), ("b", 3), ("c", 200_000), ("d", 0), ("e", -1)], "k string, n long")
     got = expand_copies(df, "n").groupBy("k").count().collect()
     assert sorted(tuple(r) for r in got) == [("a", 1), ("b", 3), ("c", 200_000)]
 
