@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from lakebuild.llm.common import cut, let, spaced, text_of
 from lakebuild.llm.components import connected_components
+from lakebuild.llm.exact_dedup import _bit, _slot, survivor_bitmap
 
 MAX_EDITS, MIN_CHARS = 2, 1
 #: Letters whose counts are compared, four bits each in one long.
@@ -248,13 +249,24 @@ def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = M
 
 
 def drop_duplicate_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The documents without their removed lines; ``n_chars`` follows the text. Untouched texts stay as they are."""
-    gone = line_classes(docs, max_edits, min_chars).where(~F.col("kept")).groupBy("doc_id", "row_key") \
-        .agg(F.collect_set("line_no").alias("gone")).alias("g")
-    own = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.row_key"))
+    """The documents without their removed lines; ``n_chars`` follows the text. Untouched texts stay as they are.
+
+    Only documents that may lose a line are shuffled to their removed lines: a bitmap of those, of bounded size, is looked
+    up first. A document that shares a bit by chance meets no removed line and stays as it is."""
+    gone = cut(line_classes(docs, max_edits, min_chars).where(~F.col("kept")).groupBy("doc_id", "row_key")
+               .agg(F.collect_set("line_no").alias("gone")))
+    bitmap, bits = survivor_bitmap(gone.select(F.col("doc_id").alias("size"), F.col("row_key").alias("head")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"),
+                       F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    slot = _slot(F.col("own_id"), F.col("own_key"), bits)
+    marked = rows.withColumn("slot", slot).join(F.broadcast(bitmap), F.bitmap_bucket_number("slot") == F.col("bucket"), "left")
+    maybe = _bit(F.col("bitmap"), F.bitmap_bit_position("slot"))
+    own = F.col("own_id").eqNullSafe(F.col("g.doc_id")) & (F.col("own_key") == F.col("g.row_key"))
     text, hit = F.col("d.text"), F.col("g.gone").isNotNull()
     rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("g.gone"), i)), "\n")
     new = {"text": F.when(hit, rest).otherwise(text)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(hit, F.length(rest).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("d.n_chars"))
-    return docs.alias("d").join(gone, own, "left").select(*[new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
+    touched = marked.where(maybe).select("d", "own_id", "own_key").join(gone.alias("g"), own, "left") \
+        .select(*[new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
+    return touched.union(marked.where(~maybe).select(*[F.col(f"d.`{c}`") for c in docs.columns]))

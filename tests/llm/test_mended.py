@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakebuild.llm import html_extract, maxent_lm, maxscore_topk, simhash_dedup, source_mix, vector_packing
+from lakebuild.llm import html_extract, line_dedup, maxent_lm, maxscore_topk, simhash_dedup, source_mix, vector_packing
 from lakebuild.llm.queries import tokenizer_path
 
 from .conftest import LONG
@@ -156,3 +156,19 @@ def test_small_sources_meet_their_targets(make_docs):
     for (_, target), n in by_source.items():
         totals[round(target)] = totals.get(round(target), 0) + n
     assert totals == {200: 200, 167: 167, 83: 83}
+
+
+def test_removed_lines_reach_their_documents(make_docs, monkeypatch):
+    """Documents that lose nothing pass by the join; a bitmap that lets all through gives the same rows."""
+    line = "a line that is long enough to be compared with others"
+    rows = [(i, f"own {i} text of this document only, number {i * 7919}\n{line}{'s' * (i % 2)}", "s") for i in range(30)] + [(40, None, "s"), (41, "", "s"), (None, line, "s"), (7, line, "t")]
+    docs = make_docs(rows).withColumns({c: F.lit(c) for c in ("d", "slot", "bucket", "bitmap", "own_id", "gone", "size")})
+    got = line_dedup.drop_duplicate_lines(docs)
+    assert got.columns == docs.columns and dict(got.dtypes) == dict(docs.dtypes)
+    first = got.collect()
+    assert len(first) == len(rows) and all(r.slot == "slot" and r.d == "d" for r in first)
+    assert [r.text for r in first if r.doc_id == 0] == [rows[0][1]] and [r.text for r in first if r.doc_id is None] == [""]
+    assert all(line not in r.text and r.n_chars == len(r.text) for r in first if r.doc_id and 0 < r.doc_id < 30)
+    monkeypatch.setattr(line_dedup, "_slot", lambda size, head, bits: F.lit(1).cast("long") + 0 * F.coalesce(head, F.lit(0)))
+    monkeypatch.setattr(line_dedup, "_bit", lambda bitmap, at: F.lit(True) | (at < 0))
+    assert sorted(map(repr, line_dedup.drop_duplicate_lines(docs).collect())) == sorted(map(repr, first))
