@@ -43,3 +43,29 @@ def test_a_query_runs_only_the_steps_before_it(spark, monkeypatch):
     assert catalog.QUERIES["dim_security"](spark, SF).count() > 0 and len(ran) == 3
     assert catalog.QUERIES["point_in_time_inner"](spark, SF).count() > 0
     assert ran[3:] == [("dim_security",)]
+
+
+def _some_nulls(spark, folder):
+    """Small tables in which every column that stands in a FINWIRE record is null in some row."""
+    from pyspark.sql import functions as F
+    for name, cols in (("orders", ("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority")),
+                       ("customer", ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))):
+        df = spark.read.parquet(f"{SF}/{name}.parquet")
+        n = F.pmod(F.xxhash64(*df.columns), F.lit(40))
+        df.withColumns({c: F.when(n != i, F.col(c)) for i, c in enumerate(cols)}).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def test_audit_counts_every_line_without_building_it(spark, tmp_path):
+    for sf in (SF, _some_nulls(spark, f"file:{tmp_path}")):
+        stamps = fx.finwire_stamps(spark, sf)
+        got = stamps.groupBy(fx.quarter_file(stamps["time"], 6).alias("fname"), "rt").count().collect()
+        lines = fx.finwire_lines(spark, sf)
+        made = lines.groupBy(fx.quarter_file(lines["value"]).alias("fname"), lines["value"].substr(16, 3).alias("rt")).count().collect()
+        assert sorted(map(str, got)) == sorted(map(str, made)) and len(got) > 60
+        assert "pad(" not in stamps._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pads_are_laid_on_at_once(spark):
+    plan = fx.cmp_lines(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "pad(" in plan and ",  )" not in plan and ", 0)" not in plan  # a pad of one character is copied once per place
