@@ -13,15 +13,16 @@ segments; a line within ``max_edits`` of it must hold one of them unchanged. Seg
 indexed under (n, segment number, text). A line probes the indexes of the lengths from its own
 down to ``max_edits`` less, and for each segment only the substrings whose start allows for the
 edits left and right of it to fit the limit, so each linked pair is found and few others.
-A candidate pair must also agree in the counts of common letters up to what the edits can
-change (one edit changes at most two counts by one), which is tested inside the join, so near
-copies that share segments but differ more are not emitted as pairs.
+Keys that meet no other line's key are left out before the join. A candidate pair must also
+agree in the counts of common letters up to what the edits can change (one edit changes at most
+two counts by one), which is tested inside the join, so near copies that share segments but
+differ more are not emitted as pairs.
 
 Verification takes off what two lines share at their ends, then runs a bit-parallel edit distance
 over the band of ``2 * max_edits + 1`` diagonals: one bit per diagonal and error level, all in one
 long, updated per character.
 
-Texts are shuffled once, to a 64-bit hash of their line; keys and candidate pairs are longs.
+Only the texts of lines that share a segment are shuffled; keys and candidate pairs are longs.
 Candidates are verified on the texts themselves, and equal lines are told by 128 bits, so a
 collision of the 64 bits can at worst leave one of two colliding lines without its links.
 
@@ -33,7 +34,7 @@ further columns are kept by ``drop_duplicate_lines`` and otherwise ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakebuild.llm.common import cut, let, spaced, text_of
@@ -90,12 +91,13 @@ def _key(n: Column, i: int, text: Column, start: Column, size: Column) -> Column
     return F.xxhash64(n, F.lit(i), F.substr(text, (start + 1).cast("int"), size.cast("int")))
 
 
-def index_keys(text: Column, n: Column, max_edits: int) -> Column:
+def index_keys(text: Column, n: Column, max_edits: int) -> list[Column]:
+    """Keys of the segments of a line of n characters."""
     parts = max_edits + 1
-    return F.array(*[_key(n, i, text, *_segment(n, i, parts)) for i in range(parts)])
+    return [_key(n, i, text, *_segment(n, i, parts)) for i in range(parts)]
 
 
-def probe_keys(text: Column, n: Column, max_edits: int) -> Column:
+def probe_keys(text: Column, n: Column, max_edits: int) -> list[Column]:
     """Keys of the substrings that a line of n characters looks up for indexed lines of n - d characters, but for
     its own segments, which are indexed already. All lie inside a line of ``least_chars(max_edits)`` characters or more."""
     parts, keys = max_edits + 1, []
@@ -106,7 +108,7 @@ def probe_keys(text: Column, n: Column, max_edits: int) -> Column:
             # i edits at most left of segment i, the others right of it
             low, high = max(-i, d - (max_edits - i)), min(i, d + (max_edits - i))
             keys += [_key(m, i, text, start + shift, size) for shift in range(low, high + 1) if d or shift]
-    return F.array(*keys)
+    return keys
 
 
 def _common_start(a: Column, b: Column) -> Column:
@@ -194,44 +196,68 @@ def _keyed_for(n: Column, edits: int, max_edits: int) -> Column:
     return enough if edits == max_edits else enough & (n < least_chars(edits + 1) + edits)
 
 
-def _all_keys(keys, text: Column, n: Column, max_edits: int) -> Column:
-    none = F.array().cast("array<long>")
-    return F.concat(*[F.when(_keyed_for(n, e, max_edits), keys(text, n, e)).otherwise(none) for e in range(1, max_edits + 1)], none)
+def _all_keys(keys, text: Column, n: Column, max_edits: int) -> list[Column]:
+    """The keys for every number of edits, null where the line has none for it."""
+    return [F.when(_keyed_for(n, e, max_edits), k) for e in range(1, max_edits + 1) for k in keys(text, n, e)]
 
 
-def edit_links(texts: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """(a, b): ids of different lines (columns id, line; equal rows count once) within the edits that the shorter one
-    allows, each pair once.
+def shared_segments(texts: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(id, own, segment): the keys of the lines (columns id, line) that meet the key of another line, at least one of
+    the two being a segment of its own line (``own``).
 
-    All uses of ``distinct`` read its three columns, so its shuffle by id is made once and reused. The keys of the two
-    sides are shuffled apart (Spark reuses no shuffle above an explode), so the index side holds own segments only."""
-    distinct = texts.select("id", "line", _profile(F.col("line")).alias("profile")).dropDuplicates(["id"])
-    measured = distinct.withColumn("n", F.length("line"))
+    No text is shuffled: a line's keys, one long each, are brought together by its id, so copies count once, and then
+    once more by key. Nearly all keys end here, as most lines are near to no other."""
     line, n = F.col("line"), F.col("n")
+    measured = texts.select("id", "line", F.length("line").alias("n"))
     own, probes = (_all_keys(keys, line, n, max_edits) for keys in (index_keys, probe_keys))
-    n_own = sum((F.when(_keyed_for(n, e, max_edits), e + 1).otherwise(0) for e in range(1, max_edits + 1)), F.lit(0))
-    index = measured.select("id", "profile", F.explode(own).alias("segment"))
-    looked_up = measured.select("id", "profile", n_own.alias("n_own"), F.posexplode(F.concat(own, probes)).alias("no", "segment")) \
-        .select("id", "profile", (F.col("no") < F.col("n_own")).alias("own"), "segment")
+    names = [f"k{i}" for i in range(len(own) + len(probes))]
+    keyed = measured.select("id", *[k.alias(c) for k, c in zip(own + probes, names)])
+    once = keyed.groupBy("id").agg(*[F.max(c).alias(c) for c in names])  # equal in all rows of an id
+    keys = once.select("id", F.posexplode(F.array(*names)).alias("no", "segment")).where("segment is not null") \
+        .select("id", (F.col("no") < len(own)).alias("own"), "segment")
+    met = Window.partitionBy("segment")
+    return keys.withColumns({"least": F.min("id").over(met), "most": F.max("id").over(met), "indexed": F.max("own").over(met)}) \
+        .where("indexed and least < most").select("id", "own", "segment")
+
+
+def verified_links(shared: DataFrame, texts: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(a, b): the pairs of lines that share a segment and lie within the edits that the shorter one allows, each pair
+    once. ``texts`` (id, line) holds at least the lines of ``shared``."""
+    distinct = texts.select("id", "line", _profile(F.col("line")).alias("profile")).dropDuplicates(["id"])
+    known = shared.join(distinct.select("id", "profile"), "id")
     near = _profile_gap(F.col("p.profile"), F.col("i.profile")) <= 2 * max_edits
     other = F.when(F.col("p.own"), F.col("p.id") < F.col("i.id")).otherwise(F.col("p.id") != F.col("i.id"))  # two own segments meet twice
-    pairs = looked_up.alias("p").join(index.alias("i"), (F.col("p.segment") == F.col("i.segment")) & other & near) \
+    pairs = known.alias("p").join(known.where("own").alias("i"), (F.col("p.segment") == F.col("i.segment")) & other & near) \
         .select(F.least("p.id", "i.id").alias("a"), F.greatest("p.id", "i.id").alias("b")).distinct()
-    # each pair takes the text of one line, then that of the other; ``distinct`` lies by id already
+    # each pair takes the text of one line, then that of the other
     both = pairs.join(distinct.alias("x"), F.col("a") == F.col("x.id")).join(distinct.alias("y"), F.col("b") == F.col("y.id"))
     allowed = allowed_edits(F.least(F.length("x.line"), F.length("y.line")), max_edits)
-    alike = _profile_gap(F.col("x.profile"), F.col("y.profile")) <= 2 * max_edits  # known already; all columns are read, see above
-    return both.where(alike & (near_distance(F.col("x.line"), F.col("y.line"), max_edits) <= allowed)).select("a", "b")
+    return both.where(near_distance(F.col("x.line"), F.col("y.line"), max_edits) <= allowed).select("a", "b")
+
+
+def edit_links(texts: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """(a, b): ids of different lines (columns id, line; equal rows count once) within the edits that the shorter one
+    allows, each pair once."""
+    return verified_links(cut(shared_segments(texts, max_edits)), texts, max_edits)
 
 
 def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, row_key, line_no, class_doc, class_line, n_links, kept) per compared line: the class is named by its
-    first occurrence; ``n_links`` counts the different lines linked to this one."""
+    first occurrence; ``n_links`` counts the different lines linked to this one.
+
+    The texts are read twice and shuffled only where a line shares a segment: the pass that lists the places of the lines
+    looks their ids up in a bitmap of bounded size and keeps those lines (and a few more, which meet no pair)."""
     compared = lines(docs, min_chars).withColumn("id", F.xxhash64("line"))
-    links = cut(edit_links(compared.select("id", "line"), max_edits))
+    shared = cut(shared_segments(compared.select("id", "line"), max_edits))
+    bitmap, bits = survivor_bitmap(shared.select(F.col("id").alias("size"), F.col("id").alias("head")).distinct())
+    marked = compared.withColumn("slot", _slot(F.col("id"), F.col("id"), bits)) \
+        .join(F.broadcast(bitmap), F.bitmap_bucket_number("slot") == F.col("bucket"), "left")
+    shares = _bit(F.col("bitmap"), F.bitmap_bit_position("slot"))
+    places = cut(marked.select("doc_id", "row_key", "line_no", "id", line_key(F.col("line")).alias("key"), F.when(shares, F.col("line")).alias("line")))
+    links = cut(verified_links(shared, places.where("line is not null").select("id", "line"), max_edits))
+    places = places.drop("line")
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     parts = connected_components(links).withColumnRenamed("node", "id")
-    places = cut(compared.select("doc_id", "row_key", "line_no", "id", line_key(F.col("line")).alias("key")))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "line_no")
     first = places.groupBy("id", "key").agg(F.min(place).alias("place"), F.count("*").alias("n"))
     named = first.join(parts, "id", "left").join(degree, "id", "left") \

@@ -172,3 +172,16 @@ def test_removed_lines_reach_their_documents(make_docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "_slot", lambda size, head, bits: F.lit(1).cast("long") + 0 * F.coalesce(head, F.lit(0)))
     monkeypatch.setattr(line_dedup, "_bit", lambda bitmap, at: F.lit(True) | (at < 0))
     assert sorted(map(repr, line_dedup.drop_duplicate_lines(docs).collect())) == sorted(map(repr, first))
+
+
+def test_line_dedup_brings_lines_together_by_keys_not_by_their_texts(spark):
+    rows = [(i, f"line {i} of a text that is like no other, {i * 7919 % 1000}") for i in range(20)] + [(99, "line 3 of a text that is like no other, 757!")]
+    texts = spark.createDataFrame(rows, "id long, line string")
+    shared = line_dedup.shared_segments(texts)
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert all("line" not in x for x in plan.splitlines() if "HashAggregate" in x or "Sort " in x)
+    found = {r["id"] for r in shared.collect()}
+    assert {3, 99} <= found
+    lonely = spark.createDataFrame([(1, "nothing here is near"), (2, "quite another sentence")], "id long, line string")
+    assert line_dedup.shared_segments(lonely).count() == 0
