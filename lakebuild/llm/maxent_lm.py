@@ -16,9 +16,10 @@ training tokens. log P(token | h) = log P(class | h) + log P(token | class, h):
 * P(token | class, h) is a softmax over the class's tokens of a bias and the weight of the
   hashed token before.
 
-Training covers all training tokens in every round: tasks sum observed and expected feature
-counts, the difference of which is the gradient of the log likelihood; the sums are added up
-in blocks and every weight moves by ``log((observed + prior) / (expected + prior))`` over the
+Training covers all training tokens in every round: tasks sum observed feature counts (once, as
+no weight changes them) and expected ones (in the first round, where all weights are zero, they
+follow from the observed), the difference of which is the gradient of the log likelihood; the
+sums are added up in blocks and every weight moves by ``log((observed + prior) / (expected + prior))`` over the
 number of features (the gradient scaled per weight, as in generalized iterative scaling, which
 does not overshoot). What the driver and the broadcasts hold is the model: about
 (3 x ``buckets`` + 1) x classes + ``word_buckets`` x head floats, whatever the input's size.
@@ -33,7 +34,7 @@ training texts nothing is known, and all scores are zero; further columns are ig
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -246,14 +247,17 @@ class Model:
         return out
 
     def statistics(self, tokens: np.ndarray, size: np.ndarray, sums: dict) -> None:
-        """Adds observed and expected counts of every weight to ``sums``."""
+        """Adds to ``sums`` the counts that it names: those observed, which no weight changes, or those expected."""
         rows, before = self.features(tokens, size)
-        k, n = self.n_classes, len(self.head)
-        t = tokens.astype(np.int64)
-        observed = (rows * k + self.class_of[t][:, None]).ravel()
-        sums["observed"] += np.bincount(observed, minlength=sums["observed"].size).reshape(-1, k)
-        is_head = t < n
-        sums["word"] += np.bincount(before[is_head] * n + t[is_head], minlength=sums["word"].size).reshape(-1, n)
+        if "observed" in sums:
+            k, n = self.n_classes, len(self.head)
+            t = tokens.astype(np.int64)
+            observed = (rows * k + self.class_of[t][:, None]).ravel()
+            sums["observed"] += np.bincount(observed, minlength=sums["observed"].size).reshape(-1, k)
+            is_head = t < n
+            sums["word"] += np.bincount(before[is_head] * n + t[is_head], minlength=sums["word"].size).reshape(-1, n)
+        if "expected" not in sums:
+            return
         for i in range(0, len(tokens), BATCH):
             r = rows[i:i + BATCH].astype(np.uint16)
             r = r[np.argsort(r[:, 0], kind="stable")]
@@ -265,9 +269,14 @@ class Model:
                 first = np.nonzero(np.r_[True, at[1:] != at[:-1]])[0]
                 sums["expected"][at[first]] += np.add.reduceat(p[order], first, axis=0)
 
-    def zero_sums(self) -> dict:
-        return {"observed": np.zeros(self.weights.shape), "expected": np.zeros(self.weights.shape),
-                "word": np.zeros(self.word_weights.shape)}
+    def zero_sums(self, names: Iterable[str] = ("observed", "expected", "word")) -> dict:
+        return {x: np.zeros(self.word_weights.shape if x == "word" else self.weights.shape) for x in names}
+
+    def expected_at_start(self, observed: np.ndarray) -> np.ndarray:
+        """The expected counts while all weights are zero: every token then has the same odds, so the tokens that a row
+        is active for are all that counts, and each of them is observed in one class."""
+        odds = np.exp(self.bias)
+        return observed.sum(axis=1, keepdims=True) * (odds / odds.sum())
 
     def update(self, sums: dict) -> None:
         self.weights += (np.log((sums["observed"] + PRIOR) / (sums["expected"] + PRIOR)) / 3).astype(np.float32)
@@ -292,12 +301,12 @@ class HeadIndex(dict):
         return i
 
 
-def _round(places: DataFrame, model: Model) -> None:
-    """One update from the sums over all training tokens, added up in levels of ``FAN_IN`` tasks."""
+def _sums(places: DataFrame, model: Model, counts: Sequence[str]) -> dict:
+    """The named counts over all training tokens, added up in levels of ``FAN_IN`` tasks."""
     piece = 1 << 16
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, any_row = model.zero_sums(), False
+        sums, any_row = model.zero_sums(counts), False
         for _, size, tokens in place_chunks(batches, CHUNK_TOKENS // 4):
             model.statistics(tokens, size, sums)
             any_row = True
@@ -322,11 +331,11 @@ def _round(places: DataFrame, model: Model) -> None:
     for _ in range(LEVELS):
         got = got.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("name", "part", "task").applyInArrow(add(kind), schema)
         kind = np.float64
-    sums = model.zero_sums()
+    sums = model.zero_sums(counts)
     for r in got.groupBy("name", "part").applyInArrow(add(kind), schema).collect():  # as many rows as the model has blocks
         part = np.frombuffer(bytes(r["sums"]))
         sums[r["name"]].reshape(-1)[r["part"] * piece:r["part"] * piece + len(part)] = part
-    model.update(sums)
+    return sums
 
 
 def _most_frequent(tokens: DataFrame, head: int) -> list:
@@ -372,8 +381,10 @@ def train(docs: DataFrame, counted: DataFrame, head: int = HEAD, rounds: int = R
     c = np.array([r[1] for r in top], np.int64)
     model = Model(h, c, n - int(c.sum()), v - len(h))
     places = indexed(docs, model)
-    for _ in range(rounds if len(h) else 0):
-        _round(places, model)
+    seen = _sums(places, model, ("observed", "word")) if len(h) and rounds else {}  # the same in every round
+    for i in range(rounds if seen else 0):
+        expected = _sums(places, model, ("expected",))["expected"] if i else model.expected_at_start(seen["observed"])
+        model.update(seen | {"expected": expected})
     return model, places, n, v
 
 

@@ -185,3 +185,25 @@ def test_line_dedup_brings_lines_together_by_keys_not_by_their_texts(spark):
     assert {3, 99} <= found
     lonely = spark.createDataFrame([(1, "nothing here is near"), (2, "quite another sentence")], "id long, line string")
     assert line_dedup.shared_segments(lonely).count() == 0
+
+
+def test_first_round_of_maxent_needs_no_pass_for_expected_counts(spark, monkeypatch):
+    import numpy as np
+
+    from lakebuild.llm import maxent_lm
+
+    rng = np.random.default_rng(5)
+    head = np.arange(1, 301, dtype=np.uint64)
+    model = maxent_lm.Model(head, np.arange(600, 300, -1), 50, 20)
+    size = rng.integers(1, 60, 80)
+    tokens = rng.integers(0, 301, size.sum()).astype("<u2")
+    sums = model.zero_sums()
+    model.statistics(tokens, size, sums)
+    assert np.allclose(model.expected_at_start(sums["observed"]), sums["expected"], rtol=1e-4, atol=1e-3)
+
+    asked = []
+    one = maxent_lm._sums
+    monkeypatch.setattr(maxent_lm, "_sums", lambda places, model, counts: (asked.append(tuple(counts)), one(places, model, counts))[1])
+    docs = spark.createDataFrame([(i, f"a b c d{i % 3} a b") for i in range(40)], "doc_id long, text string")
+    assert maxent_lm.scores(docs).count() == 40
+    assert asked == [("observed", "word"), ("expected",)]
