@@ -37,20 +37,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakebuild.llm.common import cut, let, spaced, text_of
+from lakebuild.llm.common import cut, let, text_of
 from lakebuild.llm.components import connected_components
 from lakebuild.llm.exact_dedup import _bit, _slot, survivor_bitmap
 
 MAX_EDITS, MIN_CHARS = 2, 1
+#: ASCII white space; a line of nothing else holds no word.
+SPACES = " \t\n\x0b\f\r"
+#: Lines are cut into segments in this form, whose code points have one width in bytes: a cut needs no walk from the start.
+CHARSET, WIDTH = "UTF-32", 4
 #: Letters whose counts are compared, four bits each in one long.
 LETTERS = "eaotnrihsd"
 
 
 def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, row_key, line_no, line): the compared lines."""
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"),
-                       F.posexplode(F.split(text_of(), "\n")).alias("line_no", "line"))
-    return each.where((F.length("line") >= min_chars) & (F.trim(spaced(F.col("line"))) != ""))
+    # a text is hashed before it is split, so once, not once per line
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), text_of().alias("text"))
+    each = keyed.select("doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return each.where((F.length("line") >= min_chars) & (F.ltrim("line", F.lit(SPACES)) != ""))
 
 
 def least_chars(edits: int) -> int:
@@ -81,33 +86,39 @@ def _profile_gap(a: Column, b: Column) -> Column:
     return total
 
 
-def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """(0-based start, length) of segment i of a line of n characters."""
-    start = F.floor(n * i / parts)
-    return start, F.floor(n * (i + 1) / parts) - start
+def _bound(edits: int, d: int, i: int) -> str:
+    return f"at_{edits}_{d}_{i}"
 
 
-def _key(n: Column, i: int, text: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(n, F.lit(i), F.substr(text, (start + 1).cast("int"), size.cast("int")))
+def segment_bounds(n: Column, edits: int) -> list[Column]:
+    """The bytes at which the inner segments of lines of n - d characters start, d up to ``edits``, as columns."""
+    return [(F.floor((n - d) * i / (edits + 1)).cast("int") * WIDTH).alias(_bound(edits, d, i))
+            for d in range(edits + 1) for i in range(1, edits + 1)]
 
 
-def index_keys(text: Column, n: Column, max_edits: int) -> list[Column]:
-    """Keys of the segments of a line of n characters."""
-    parts = max_edits + 1
-    return [_key(n, i, text, *_segment(n, i, parts)) for i in range(parts)]
+def _key(units: Column, n: Column, edits: int, d: int, i: int, shift: int = 0) -> Column:
+    """The key under which a line of n - d characters has segment i, for the substring ``shift`` characters further.
+    ``segment_bounds`` are taken as columns: worked out in each key, they make the generated code of all keys outgrow
+    what the JVM compiles (8,000 bytes a method), and all of it is interpreted."""
+    m = n - d if d else n
+    start, end = (F.lit(0) if j == 0 else m * WIDTH if j > edits else F.col(_bound(edits, d, j)) for j in (i, i + 1))
+    return F.xxhash64(m, F.lit(i), F.substr(units, start + (WIDTH * shift + 1), end - start))
 
 
-def probe_keys(text: Column, n: Column, max_edits: int) -> list[Column]:
+def index_keys(units: Column, n: Column, max_edits: int) -> list[Column]:
+    """Keys of the segments of a line of n characters, given in ``CHARSET``."""
+    return [_key(units, n, max_edits, 0, i) for i in range(max_edits + 1)]
+
+
+def probe_keys(units: Column, n: Column, max_edits: int) -> list[Column]:
     """Keys of the substrings that a line of n characters looks up for indexed lines of n - d characters, but for
     its own segments, which are indexed already. All lie inside a line of ``least_chars(max_edits)`` characters or more."""
-    parts, keys = max_edits + 1, []
+    keys = []
     for d in range(max_edits + 1):
-        m = n - d
-        for i in range(parts):
-            start, size = _segment(m, i, parts)
+        for i in range(max_edits + 1):
             # i edits at most left of segment i, the others right of it
             low, high = max(-i, d - (max_edits - i)), min(i, d + (max_edits - i))
-            keys += [_key(m, i, text, start + shift, size) for shift in range(low, high + 1) if d or shift]
+            keys += [_key(units, n, max_edits, d, i, shift) for shift in range(low, high + 1) if d or shift]
     return keys
 
 
@@ -196,9 +207,9 @@ def _keyed_for(n: Column, edits: int, max_edits: int) -> Column:
     return enough if edits == max_edits else enough & (n < least_chars(edits + 1) + edits)
 
 
-def _all_keys(keys, text: Column, n: Column, max_edits: int) -> list[Column]:
+def _all_keys(keys, units: Column, n: Column, max_edits: int) -> list[Column]:
     """The keys for every number of edits, null where the line has none for it."""
-    return [F.when(_keyed_for(n, e, max_edits), k) for e in range(1, max_edits + 1) for k in keys(text, n, e)]
+    return [F.when(_keyed_for(n, e, max_edits), k) for e in range(1, max_edits + 1) for k in keys(units, n, e)]
 
 
 def shared_segments(texts: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
@@ -207,9 +218,11 @@ def shared_segments(texts: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
 
     No text is shuffled: a line's keys, one long each, are brought together by its id, so copies count once, and then
     once more by key. Nearly all keys end here, as most lines are near to no other."""
-    line, n = F.col("line"), F.col("n")
-    measured = texts.select("id", "line", F.length("line").alias("n"))
-    own, probes = (_all_keys(keys, line, n, max_edits) for keys in (index_keys, probe_keys))
+    units, n = F.col("units"), F.col("n")
+    coded = texts.select("id", F.coalesce(F.encode("line", CHARSET), F.lit(b"")).alias("units"))
+    measured = coded.select("id", "units", (F.octet_length("units") / WIDTH).cast("int").alias("n"))
+    measured = measured.select("*", *[b for e in range(1, max_edits + 1) for b in segment_bounds(n, e)])
+    own, probes = (_all_keys(keys, units, n, max_edits) for keys in (index_keys, probe_keys))
     names = [f"k{i}" for i in range(len(own) + len(probes))]
     keyed = measured.select("id", *[k.alias(c) for k, c in zip(own + probes, names)])
     once = keyed.groupBy("id").agg(*[F.max(c).alias(c) for c in names])  # equal in all rows of an id

@@ -187,6 +187,51 @@ def test_line_dedup_brings_lines_together_by_keys_not_by_their_texts(spark):
     assert line_dedup.shared_segments(lonely).count() == 0
 
 
+def test_line_keys_are_cut_in_code_that_the_jvm_compiles(spark, make_docs, tmp_path):
+    """HotSpot interprets methods of 8,000 bytes and more for good."""
+    make_docs([(1, A, "s"), (2, B, "s")]).write.parquet(str(tmp_path / "documents.parquet"))
+    lines = line_dedup.lines(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the code is made as the stages run
+    try:
+        made = line_dedup.shared_segments(lines.select(F.xxhash64("line").alias("id"), "line"))._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())]
+    assert sizes and 0 < max(sizes) < 8000
+
+
+def test_a_text_is_hashed_once_and_not_once_per_line(spark, make_docs, tmp_path):
+    make_docs([(1, A + "\n" + B, "s"), (2, None, "s")]).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    lines = line_dedup.lines(docs)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("xxhash64(text")
+    key = docs.where("doc_id = 1").select(F.xxhash64("text")).first()[0]
+    assert [tuple(r) for r in lines.orderBy("line_no").collect()] == [(1, key, 0, A), (1, key, 1, B)]
+
+
+def test_lines_of_wide_characters_meet_by_their_code_points(spark):
+    """Code points of one to four bytes against a brute force; bytes that are no UTF-8 fail nothing."""
+    rng = random.Random(8)
+    seen = set()
+    for n in [6, 14, 15, 16, 17, 18, 30, 31, 32] * 3:
+        base = rng.choices("aé今🙂", k=n)
+        for _ in range(5):
+            s = base[:]
+            for _ in range(rng.randint(0, 3)):
+                at, what = rng.randrange(len(s)), rng.randint(0, 2)
+                s[at:at + (what > 0)] = [rng.choice("aé今🙂")] if what < 2 else []
+            seen.add("".join(s))
+    lines = spark.createDataFrame(list(enumerate(sorted(seen))), "id long, line string")
+    allowed = "case when least(length(a.line), length(b.line)) >= 15 then 2 when least(length(a.line), length(b.line)) >= 6 then 1 else 0 end"
+    pairs = lines.alias("a").crossJoin(lines.alias("b")).where(f"a.id < b.id and levenshtein(a.line, b.line) <= {allowed}")
+    want = {tuple(r) for r in pairs.select("a.id", "b.id").collect()}
+    assert {tuple(r) for r in line_dedup.edit_links(lines).collect()} == want and len(want) > 30
+    broken = "select 1L as id, cast(X'FF61FE{0}61' as string) as line union all select 2L, cast(X'FF61FE{0}62' as string)".format("61" * 20)
+    assert [tuple(r) for r in line_dedup.edit_links(spark.sql(broken)).collect()] == [(1, 2)]
+
+
 def test_first_round_of_maxent_needs_no_pass_for_expected_counts(spark, monkeypatch):
     import numpy as np
 
