@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.pipelines import build_fact_market_history
-from ..session import scratch_path
+from ..session import DROP_SHUFFLES, held, scratch_path
 from ..sources import parse_market_lines, read_table, split_corrupt
 
 #: Partition column that names the micro-batch a fact row came with.
@@ -73,7 +73,8 @@ def stream_fact_market_history(spark: SparkSession, market_glob: str,
             rows, bad = split_corrupt(rows, mark)
             bad.select("BatchID", F.col(mark).alias("line")).write.mode("overwrite").parquet(f"{quarantine}/{at}")
         fact = build_fact_market_history(rows, dimension(rows.sparkSession), how=how, on_error=on_error)
-        (fact.hint("rebalance", "YearID").write.mode("overwrite").partitionBy("YearID").parquet(f"{sink}/{at}"))
+        with held(fact.sparkSession, DROP_SHUFFLES):
+            (fact.hint("rebalance", "YearID").write.mode("overwrite").partitionBy("YearID").parquet(f"{sink}/{at}"))
 
     market = market_line_stream(spark, market_glob, max_files_per_trigger=max_files_per_trigger, corrupt=mark)
     q = (market.writeStream.foreachBatch(load)
