@@ -83,3 +83,18 @@ def test_settings_of_overlapping_writes_are_put_back(spark):
     go.set()
     t.join()
     assert spark.conf.get(key) == old
+
+
+def _dim(spark):
+    dim = spark.createDataFrame([("S1", "S1NYSE1", "1", T(1960, 1, 1)), ("S1", "S1NYSE2", "2", T(2020, 6, 1)), ("S2", "S2NYSE2", "2", T(2020, 1, 1))],
+                                "SYMBOL string, SK_SecurityID string, SK_CompanyID string, effective_timestamp timestamp_ntz")
+    return with_validity(dim, "SYMBOL", "effective_timestamp", ["SK_SecurityID"])
+
+
+def test_a_market_line_is_parsed_once_per_reading(spark):
+    lines = spark.range(6).select(F.concat(F.lit("2020-01-0"), F.col("id") + 1, F.lit("|S1|1.00|1.10|0.90|10")).alias("value"))
+    market = union_batches([(parse_market_lines(lines, False), "1")])
+    fact = pl.build_fact_market_history(market, _dim(spark))
+    # one reading for the facts, one for the periods they fall in
+    assert spark._jvm.PythonSQLUtils.explainString(fact._jdf.queryExecution(), "simple").count("from_csv") == 2
+    assert fact.count() == 6
