@@ -98,3 +98,67 @@ def test_a_market_line_is_parsed_once_per_reading(spark):
     # one reading for the facts, one for the periods they fall in
     assert spark._jvm.PythonSQLUtils.explainString(fact._jdf.queryExecution(), "simple").count("from_csv") == 2
     assert fact.count() == 6
+
+
+def test_facts_are_shuffled_with_one_date(spark, plain_plans, tmp_path):
+    rows = [("2020-01-02", "S1", "a"), ("2020-1-3", "S1", "b"), (" 2020-07-01", "S1", "c"), ("1959-01-01", "S1", "d"), (None, "S1", "e"), ("no date", "S2", "f")]
+    spark.createDataFrame([(d, s, v, v, v, v, "1") for d, s, v in rows],
+                          "DM_DATE string, DM_S_SYMB string, DM_CLOSE string, DM_HIGH string, DM_LOW string, DM_VOL string, BatchID string") \
+         .write.parquet(f"{tmp_path}/m")
+    fact = pl.build_fact_market_history(spark.read.parquet(f"{tmp_path}/m"), _dim(spark), how="left", on_error="null")
+    wide = [i for i in _shuffle_inputs(spark, fact) if "DM_CLOSE#" in i]
+    assert len(wide) == 1 and "__pit_at#" not in wide[0], wide
+    got = {r.Volume: (r.SK_DateID, r.YearID, r.SK_CompanyID) for r in fact.collect()}
+    assert got == {"a": ("2020-01-02", 2020, "1"), "b": ("2020-1-3", 2020, "1"), "c": (" 2020-07-01", 2020, "2"),
+                   "d": ("1959-01-01", 1959, None), "e": (None, None, None), "f": ("no date", None, None)}
+
+
+def test_repeats_are_removed_for_the_facts_only(spark, plain_plans, tmp_path):
+    """The set of a key's periods is the same with repeats in, so that reading shuffles no whole rows."""
+    lines = [f"2020-01-0{d}|S1|1.00|1.10|0.90|10" for d in (1, 2, 2, 3)]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(f"{tmp_path}/m")
+    one = parse_market_lines(spark.read.text(f"{tmp_path}/m"), False)
+    fact = pl.build_fact_market_history(union_batches([(one, "1"), (one, "1")], distinct=True), _dim(spark))
+    assert sum("DM_CLOSE#" in i for i in _shuffle_inputs(spark, fact)) == 2
+    assert fact.count() == 3
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_periods_of_any_size_give_the_same_rows(spark, how):
+    days = [dt.date(1969, 12, 30) + dt.timedelta(days=n) for n in (-4000, -64, -1, 0, 1, 2, 63, 64, 65, 700, 18000, 18413, 18414)]
+    facts = spark.createDataFrame([(s, d) for s in ("S1", "S2", None) for d in [*days, None]], "k string, d date")
+    want = None
+    for period in (None, "day", "month", "year"):
+        out = point_in_time_join(facts, _dim(spark), "k", "SYMBOL", F.col("d"), ["SK_SecurityID"], how=how, period=period)
+        got = sorted(map(str, out.collect()))
+        want = want or got
+        assert got == want
+        assert sorted(map(str, point_in_time_join(facts, _dim(spark), "k", "SYMBOL", "d", ["SK_SecurityID"], how=how, period=period).collect())) == want
+
+
+@pytest.mark.parametrize("split", [None, "day"])
+@pytest.mark.parametrize("copies", [None, "n"])
+def test_derived_columns_are_those_of_the_rows_and_not_shuffled(spark, plain_plans, tmp_path, copies, split):
+    day = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+    spark.range(80).select((F.col("id") % 5).alias("k"), F.when(F.col("id") % 9 > 0, day + F.make_dt_interval(F.col("id") % 3)).alias("ts"),
+                           (F.col("id") * 7 % 11).alias("v"), (F.col("id") % 3).alias("n")).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    df = df if copies else df.drop("n")
+    made = F.concat(F.lit("x"), F.format_string("%03d", 100 - F.col("v")))
+    stored = df.withColumn("w", made)
+    out = with_validity(df, "k", "ts", ["w", "v"], split=split, copies=copies, derived={"w": made})
+    want = with_validity(stored, "k", "ts", ["w", "v"], split=split, copies=copies).select(out.columns)
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    if split:
+        assert not any(re.search(r"\bw#", i) for i in _shuffle_inputs(spark, out))
+
+
+def test_stamps_that_are_no_time_stay_in_the_version_key(spark):
+    fields = [f.name for f in LAYOUT_CMP]
+    stamps = ["19970101-000000", "19970102-101112", "1997-bad", "", None]
+    cmp = spark.createDataFrame([tuple({"PTS": s, "CIK": "7", "INDUSTRY_ID": "01", "SP_RATING": "BB"}.get(f, f) for f in fields) for s in stamps],
+                                ", ".join(f"{f} string" for f in fields))
+    industry = spark.createDataFrame([("01", "Metal")], "IN_ID string, IN_NAME string")
+    got = pl.build_dim_company(cmp, industry, on_error="null")
+    assert sorted(str(r.sku_company_id) for r in got.collect()) == sorted(["199701010000007", "199701021011127", "1997bad7", "7", "None"])
+    assert got.columns[-5:] == ["effective_timestamp", "sku_company_id", "isLowgrade", "end_timestamp", "iscurrent"]
